@@ -1,0 +1,286 @@
+"""Near copies: exact set-similarity self-join of documents on runs of consecutive terms.
+
+Method: set-relation skipping. A prefix index (rarest runs first) lists documents by run. Each list is ordered by set
+size, and the position of the run in a document's order gives the largest partner its remaining runs can still
+reach; the block of the list beyond that is jumped over (`_list_pairs`). A document's answers are then derived from
+those of a highly similar one, its leader: overlaps with the leader are computed once, and the overlap of two
+documents of one leader follows from their differences to it alone (`_overlap_by_differences`). Documents whose sets
+are equal form one class, computed once and represented by its lowest id.
+
+Defined results: null, empty and short texts (fewer than min_terms terms, or fewer than `width`) have no row in any
+result; repeated ids count once each row is distinct by (id, set) - ids are expected to be unique; an empty table gives
+empty results; extra columns are ignored.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.arrays import mixed, run_hashes, slices, terms_of
+from ..session import staged
+
+SET_COLUMNS = "id long, n int, set_a long, set_b long, bits array<long>, items array<long>"
+BIT_WORDS = 4
+
+
+def _sets(width: int, min_terms: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            out = {k: [] for k in ("id", "n", "set_a", "set_b")}
+            bits, items = [], []
+            known: dict[str, int] = {}
+            for key, text in zip(b.column("id").to_pylist(), b.column("text").to_pylist()):
+                terms = terms_of(text)
+                if len(terms) < max(min_terms, width):
+                    continue
+                codes = np.fromiter((known.get(t) or known.setdefault(t, xxhash.xxh64_intdigest(t)) for t in terms), np.uint64, len(terms))
+                runs = np.unique(run_hashes(codes, width))
+                out["id"].append(key)
+                out["n"].append(len(runs))
+                again = mixed(runs)
+                out["set_a"].append(np.bitwise_xor.reduce(again).view(np.int64))
+                with np.errstate(over="ignore"):
+                    out["set_b"].append(again.sum(dtype=np.uint64).view(np.int64))
+                parity = np.bincount((again & np.uint64(64 * BIT_WORDS - 1)).astype(np.int64), minlength=64 * BIT_WORDS) & 1
+                bits.append(np.packbits(parity.astype(np.uint8)).view(np.int64))
+                items.append(runs.view(np.int64))
+            if out["id"]:
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(out["id"], pa.int64()),
+                        pa.array(out["n"], pa.int32()),
+                        pa.array(out["set_a"], pa.int64()),
+                        pa.array(out["set_b"], pa.int64()),
+                        _lists(bits),
+                        _lists(items),
+                    ],
+                    names=["id", "n", "set_a", "set_b", "bits", "items"],
+                )
+
+    return run
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if arrays else np.empty(0, np.int64), pa.int64()))
+
+
+def run_sets(docs: DataFrame, id_col: str, text_col: str, width: int = 3, min_terms: int = 20) -> DataFrame:
+    """One row per document long enough: its set of runs (hashes, sorted), two sums identifying the set, and a parity bitmap."""
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
+    return src.mapInArrow(_sets(width, min_terms), SET_COLUMNS)
+
+
+def _least(n: np.ndarray, m: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Fewest shared items for a Jaccard similarity of num/den: ceil(num (n+m) / (num+den))."""
+    return -((-num * (n + m)) // (num + den))
+
+
+def _list_pairs(num: int, den: int):
+    """Candidate pairs of each list. Rows come sorted by (item, block_a, block_b, n, id).
+
+    A posting at position p of a set of n items has rest = n - p items from p on, so a partner of m items must have
+    least(n, m) <= rest, that is m <= (num+den)/num * rest - n: its reach. In order of size everything past the reach is
+    skipped as one block. Of what remains, pairs whose parity bitmaps differ too much for the overlap are dropped."""
+
+    def pairs(t: dict[str, np.ndarray], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+        new = np.ones(len(t["id"]), bool)
+        new[1:] = (t["item"][1:] != t["item"][:-1]) | (t["block_a"][1:] != t["block_a"][:-1]) | (t["block_b"][1:] != t["block_b"][:-1])
+        group = np.cumsum(new) - 1
+        ends = np.append(np.flatnonzero(new)[1:], len(new))
+        n, reach = t["n"].astype(np.int64), t["reach"].astype(np.int64)
+        big = int(max(n.max(), reach.max())) + 1
+        place = group * (big + 1) + n  # ascending: lists in order, sizes within
+        stop = np.minimum(np.searchsorted(place, group * (big + 1) + np.clip(reach, 0, big), "right"), ends[group])
+        limit = np.minimum(stop, np.searchsorted(place, group * (big + 1) + np.minimum(n * den // num, big), "right"))
+        live = np.arange(len(n))
+        step = 1
+        while len(live := live[live + step < limit[live]]):
+            for part in np.array_split(live, max(1, len(live) // 2_000_000)):
+                i, j = part, part + step
+                ok = reach[j] >= n[i]
+                cross = t["block_a"][i] != t["block_b"][i]
+                ok &= ~cross | (t["block"][i] != t["block"][j])
+                i, j = i[ok], j[ok]
+                apart = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
+                ok = (n[i] + n[j] - apart) // 2 >= _least(n[i], n[j], num, den)
+                i, j = i[ok], j[ok]
+                a, b = t["id"][i], t["id"][j]
+                ok = a != b
+                a, b = a[ok], b[ok]
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["id_a", "id_b"])
+            step += 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("item", "block_a", "block_b", "block", "id", "n", "reach")
+        held, rows = [], 0
+
+        def flush(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, rows
+            tb = pa.Table.from_batches(held).combine_chunks()
+            t = {k: tb[k].to_numpy() for k in names}
+            bits = tb["bits"].combine_chunks()
+            bits = (bits.chunk(0) if isinstance(bits, pa.ChunkedArray) else bits).flatten().to_numpy().view(np.uint64).reshape(-1, BIT_WORDS)
+            end = len(t["id"])
+            if not last:  # the last list may go on in the next batch
+                same = (t["item"] == t["item"][-1]) & (t["block_a"] == t["block_a"][-1]) & (t["block_b"] == t["block_b"][-1])
+                end -= int(same[::-1].argmin()) if not same.all() else end
+            if end:
+                yield from pairs({k: v[:end] for k, v in t.items()}, bits[:end])
+            held = tb.slice(end).to_batches()
+            rows = len(t["id"]) - end
+
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                rows += b.num_rows
+                if rows >= 200_000:
+                    yield from flush(False)
+        if rows:
+            yield from flush(True)
+
+    return run
+
+
+def candidates(reps: DataFrame, num: int = 1, den: int = 2, block: int = 4096) -> DataFrame:
+    """Pairs (id_a < id_b) of sets sharing a run of both prefixes that no bound excludes. No pair with
+    similarity >= num/den is lost. Lists longer than `block` are cut into blocks, each pair of blocks its own group,
+    so that a run held by a third of all documents spreads over many tasks."""
+    spread = reps.select("id", F.explode("items").alias("item"))
+    df = spread.groupBy("item").agg(F.count("*").alias("df")).filter("df > 1")
+    shared = spread.join(df, "item").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("shared"))
+    ranked = reps.select("id", "n", "bits").join(shared, "id")
+    alone = F.col("n") - F.size("shared")  # runs of no other set; they come first in the order
+    prefix = F.col("n") - F.ceil(F.col("n") * num / den).cast("int") + 1
+    postings = (
+        ranked.withColumn("alone", alone)
+        .withColumn("shared", F.slice("shared", F.lit(1), F.greatest(F.lit(0), prefix - F.col("alone"))))
+        .select("id", "n", "bits", "alone", F.posexplode("shared").alias("k", "s"))
+        .select(
+            F.col("s.item").alias("item"),
+            F.ceil(F.col("s.df") / block).cast("int").alias("blocks"),
+            "id",
+            "n",
+            F.least(F.lit(2**30), F.floor((F.col("n") - F.col("alone") - F.col("k")) * (num + den) / num) - F.col("n")).cast("int").alias("reach"),
+            "bits",
+        )
+        .filter("reach > 0")
+        .withColumn("block", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).otherwise(0))
+        .withColumn("other", F.explode(F.when(F.col("blocks") > 1, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.lit(0)))))
+        .select("item", F.least("block", "other").alias("block_a"), F.greatest("block", "other").alias("block_b"), "block", "id", "n", "reach", "bits")
+    )
+    lists = postings.repartition("item", "block_a", "block_b").sortWithinPartitions("item", "block_a", "block_b", "n", "id")
+    return lists.mapInArrow(_list_pairs(num, den), "id_a long, id_b long").distinct()
+
+
+def _overlap(a: str, b: str):
+    return F.size(F.array_intersect(a, b))
+
+
+def _overlap_by_differences(pairs: DataFrame) -> DataFrame:
+    """|x ∩ y| of two sets from their differences to a common leader L:
+    |L| - |L\\x| - |L\\y| + |(L\\x) ∩ (L\\y)| + |(x\\L) ∩ (y\\L)|."""
+    return pairs.withColumn(
+        "common",
+        F.col("n_lead") - F.size("less_a") - F.size("less_b") + _overlap("less_a", "less_b") + _overlap("more_a", "more_b"),
+    )
+
+
+def similar_sets(reps: DataFrame, num: int = 1, den: int = 2, block: int = 4096) -> DataFrame:
+    """Pairs (id_a < id_b, n_a, n_b, common) of sets with Jaccard similarity >= num/den; exact."""
+    cand = staged(candidates(reps, num, den, block))
+    sets = reps.select("id", "n", "items")
+    lead = cand.groupBy("id_b").agg(F.min("id_a").alias("lead")).withColumnRenamed("id_b", "id")
+    as_lead = sets.select(F.col("id").alias("lead"), F.col("n").alias("n_lead"), F.col("items").alias("lead_items"))
+    led = (
+        lead.join(sets, "id")
+        .join(as_lead, "lead")
+        .select(
+            "id", "n", "lead", "n_lead",
+            F.array_except("lead_items", "items").alias("less"),
+            F.array_except("items", "lead_items").alias("more"),
+        )
+    )
+    led = staged(led)
+    direct = led.select(F.col("lead").alias("id_a"), F.col("id").alias("id_b"), F.col("n_lead").alias("n_a"), F.col("n").alias("n_b"), (F.col("n_lead") - F.size("less")).alias("common"))
+
+    def side(s: str) -> DataFrame:
+        return led.select(F.col("id").alias(f"id_{s}"), F.col("n").alias(f"n_{s}"), F.col("lead").alias(f"lead_{s}"), F.col("n_lead").alias(f"nl_{s}"), F.col("less").alias(f"less_{s}"), F.col("more").alias(f"more_{s}"))
+
+    slim = led.select("id", "lead")
+    rest = (
+        cand.join(slim.select(F.col("id").alias("id_b"), F.col("lead").alias("lead_b")), "id_b")
+        .filter("id_a <> lead_b")
+        .join(slim.select(F.col("id").alias("id_a"), F.col("lead").alias("lead_a")), "id_a", "left")
+    )
+    same = rest.filter("lead_a = lead_b").select("id_a", "id_b").join(side("a"), "id_a").join(side("b").drop("lead_b", "nl_b"), "id_b").withColumnRenamed("nl_a", "n_lead")
+    derived = _overlap_by_differences(same).select("id_a", "id_b", "n_a", "n_b", "common")
+    other = rest.filter("lead_a is null or lead_a <> lead_b").select("id_a", "id_b")
+    fetched = (
+        other.join(sets.select(F.col("id").alias("id_a"), F.col("n").alias("n_a"), F.col("items").alias("items_a")), "id_a")
+        .join(sets.select(F.col("id").alias("id_b"), F.col("n").alias("n_b"), F.col("items").alias("items_b")), "id_b")
+        .select("id_a", "id_b", "n_a", "n_b", _overlap("items_a", "items_b").alias("common"))
+    )
+    found = direct.unionByName(derived).unionByName(fetched)
+    return found.filter(F.col("common") * (num + den) >= num * (F.col("n_a") + F.col("n_b")))
+
+
+def classes(sets: DataFrame) -> DataFrame:
+    """(id, rep): documents with equal sets share rep, their lowest id."""
+    key = ["set_a", "set_b", "n"]
+    return sets.select("id", *key).join(sets.groupBy(*key).agg(F.min("id").alias("rep")), key).select("id", "rep")
+
+
+def near_copies(docs: DataFrame, id_col: str = "id", text_col: str = "body_z", num: int = 1, den: int = 2, width: int = 3, min_terms: int = 20, block: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """(members: id, rep; links: id_a, id_b, n_a, n_b, common between representatives)."""
+    sets = staged(run_sets(docs, id_col, text_col, width, min_terms))
+    members = staged(classes(sets))
+    reps = staged(sets.join(members.filter("id = rep").select("id"), "id", "left_semi").select("id", "n", "bits", "items"))
+    return members, similar_sets(reps, num, den, block)
+
+
+def near_copy_pairs(docs: DataFrame, id_col: str = "id", text_col: str = "body_z", **options) -> DataFrame:
+    """All pairs (id_a < id_b) of documents, exact copies included. Its size is that of the answer: a class of k equal
+    documents has k(k-1)/2 pairs; near_copies gives the same answer unexpanded."""
+    members, links = near_copies(docs, id_col, text_col, **options)
+    links = links.select("id_a", "id_b")
+    m = members.select("rep", "id")
+    between = (
+        links.join(m.select(F.col("rep").alias("id_a"), F.col("id").alias("x")), "id_a")
+        .join(m.select(F.col("rep").alias("id_b"), F.col("id").alias("y")), "id_b")
+        .select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+    )
+    many = m.groupBy("rep").agg(F.count("*").alias("k")).filter("k > 1").select("rep")
+    copies = m.join(many, "rep")
+    within = copies.alias("p").join(copies.alias("q"), (F.col("p.rep") == F.col("q.rep")) & (F.col("p.id") < F.col("q.id"))).select(F.col("p.id").alias("id_a"), F.col("q.id").alias("id_b"))
+    return between.unionByName(within)
+
+
+def near_copy_groups(docs: DataFrame, id_col: str = "id", text_col: str = "body_z", max_rounds: int = 30, **options) -> DataFrame:
+    """One row per document long enough: id, group_id (lowest id reachable over links), rep, links (of its representative).
+
+    Groups are connected components by repeated lowest-label exchange with pointer jumping; each round is a join on the
+    links of representatives, staged in the shared folder, until nothing changes."""
+    members, links = near_copies(docs, id_col, text_col, **options)
+    links = staged(links.select("id_a", "id_b"))
+    both = links.unionByName(links.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b")))
+    label = staged(both.groupBy(F.col("id_a").alias("id")).agg(F.min("id_b").alias("m"), F.count("*").alias("links")).select("id", F.least("id", "m").alias("label"), "links"))
+    for _ in range(max_rounds):
+        near = both.join(label.select(F.col("id").alias("id_b"), "label"), "id_b").groupBy(F.col("id_a").alias("id")).agg(F.min("label").alias("m"))
+        step = label.join(near, "id").select("id", F.least("label", "m").alias("label"), "links", F.col("label").alias("old"))
+        jump = step.select(F.col("id").alias("label"), F.col("label").alias("far"))
+        new = staged(step.join(jump, "label", "left").select("id", F.least("label", "far").alias("label"), "links", "old"))
+        changed = new.filter("label <> old").limit(1).count()
+        label = new.drop("old")
+        if not changed:
+            break
+    else:
+        raise RuntimeError(f"groups not settled after {max_rounds} rounds")
+    return members.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("label", "rep").alias("group_id"), "rep", F.coalesce("links", F.lit(0)).alias("links"))

@@ -1,0 +1,137 @@
+"""Counts of all terms and runs of terms: in how many places, in how many records.
+
+Method: a suffix array over blocks of records. Suffixes (cut at max_n terms, never past their record) are sorted by
+prefix doubling; common prefixes of neighbours delimit the interval of each n-gram; its length is the number of
+occurrences, and subtracting the neighbours within the interval that belong to one record gives the number of records.
+Blocks hold disjoint records, so their counts add up; a block is a bounded number of terms, and only its counts are
+shuffled.
+
+Defined results: null and empty values are no records; a value without terms is a record without terms; repeated rows
+are separate records; an empty table gives no rows; extra columns are ignored.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.arrays import slices, terms_of
+
+BLOCK_TERMS = 2_000_000
+
+
+def suffix_array(codes: np.ndarray, record: np.ndarray, depth: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Suffixes of codes in order of their first `depth` codes within their record (ties by place), and for each
+    length 1..depth the rank of every suffix's prefix of that length (shorter suffixes count as ending in nothing)."""
+    n = len(codes)
+    left = np.append(np.flatnonzero(record[1:] != record[:-1]), n - 1)[record - record[0]] - np.arange(n) + 1 if n else np.empty(0, np.int64)
+    rank = np.unique(codes, return_inverse=True)[1].astype(np.int64) + 1
+    ranks = [rank]
+    for d in range(2, depth + 1):
+        h = 1 << ((d - 1).bit_length() - 1)  # longest finished power of two below d
+        head = ranks[h - 1]
+        tail = np.zeros(n, np.int64)
+        tail[: n - (d - h)] = ranks[h - 1][d - h :]
+        # a suffix shorter than d sorts by what it has
+        tail[left < d] = 0
+        key = head * (int(head.max(initial=0)) + 1) + tail
+        if h < d - 1:  # overlapping halves: short suffixes fall back to the rank one shorter
+            key = ranks[d - 2] * (n + 2) + tail
+        ranks.append(np.unique(key, return_inverse=True)[1].astype(np.int64) + 1)
+    order = np.argsort(ranks[depth - 1], kind="stable")
+    return order, ranks
+
+
+def interval_counts(codes: np.ndarray, record: np.ndarray, depth: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each length: (length, place of one occurrence, occurrences, records) of every n-gram."""
+    n = len(codes)
+    if not n:
+        return
+    dense = np.cumsum(np.append(0, record[1:] != record[:-1]))
+    order, ranks = suffix_array(codes, dense, depth)
+    ends = np.append(np.flatnonzero(dense[1:] != dense[:-1]), n - 1)
+    left = (ends[dense] - np.arange(n) + 1)[order]
+    # the suffix before in the array that starts in the same record
+    by_record = np.argsort(dense[order], kind="stable")
+    before = np.full(n, -1)
+    before[by_record[1:]] = np.where(dense[order][by_record[1:]] == dense[order][by_record[:-1]], by_record[:-1], -1)
+    for d in range(1, depth + 1):
+        r = ranks[d - 1][order]
+        first = np.ones(n, bool)
+        first[1:] = r[1:] != r[:-1]  # common prefix with the neighbour shorter than d: a new interval
+        interval = np.cumsum(first) - 1
+        whole = left >= d
+        again = whole & (before >= 0)
+        again[again] = interval[before[again]] == interval[again]
+        k = int(interval[-1]) + 1
+        occurrences = np.bincount(interval[whole], minlength=k)
+        duplicates = np.bincount(interval[again], minlength=k)
+        start = order[np.flatnonzero(first)]
+        real = occurrences > 0
+        yield d, start[real], occurrences[real], (occurrences - duplicates)[real]
+
+
+def _counts(max_n: int, whole: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        codes: list[np.ndarray] = []
+        sizes: list[int] = []
+        held = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal known, codes, sizes, held
+            words = np.array(list(known), dtype=object)
+            all_codes = np.concatenate(codes)
+            record = np.repeat(np.arange(len(sizes)), sizes)
+            for d, start, occurrences, records in interval_counts(all_codes, record, max_n):
+                gram = words[all_codes[start]]
+                for k in range(1, d):
+                    gram = gram + " " + words[all_codes[start + k]]
+                for a in range(0, len(gram), 100_000):
+                    z = slice(a, a + 100_000)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(gram[z], pa.string()), pa.array(np.full(len(gram[z]), d, np.int32)), pa.array(occurrences[z].astype(np.int64)), pa.array(records[z].astype(np.int64))],
+                        names=["term", "n", "occurrences", "records"],
+                    )
+            known, codes, sizes, held = {}, [], [], 0
+
+        for b in slices(batches, "value"):
+            for value in b.column("value").to_pylist():
+                terms = [value] if whole else terms_of(value)
+                if terms:
+                    codes.append(np.fromiter((known.setdefault(t, len(known)) for t in terms), np.int64, len(terms)))
+                    sizes.append(len(terms))
+                    held += len(terms)
+                    if held >= BLOCK_TERMS:
+                        yield from flush()
+        if held:
+            yield from flush()
+
+    return run
+
+
+def term_counts(df: DataFrame, column: str, max_n: int = 1, whole: bool = False) -> DataFrame:
+    """(term, n, occurrences, records) of every run of 1..max_n terms of column; with whole, of every value as stored."""
+    src = df.select(F.col(column).cast("string").alias("value")).filter("value is not null and value <> ''")
+    part = src.mapInArrow(_counts(max_n, whole), "term string, n int, occurrences long, records long")
+    return part.groupBy("term", "n").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
+
+
+def marked_counts(fields: dict[str, tuple[DataFrame, str, bool]], limits: DataFrame) -> DataFrame:
+    """(field, term, occurrences, records, mark) over fields {field: (table, column, whole)}; mark is 'rare' under
+    limits.min_records records, 'common' above limits.max_percent of the field's records, else null. Of both, rare."""
+    counts, totals = None, None
+    for field, (df, column, whole) in fields.items():
+        c = term_counts(df, column, 1, whole).select(F.lit(field).alias("field"), "term", "occurrences", "records")
+        n = df.filter(F.col(column).isNotNull() & (F.col(column) != "")).agg(F.count("*").alias("total")).select(F.lit(field).alias("field"), "total")
+        counts = c if counts is None else counts.unionByName(c)
+        totals = n if totals is None else totals.unionByName(n)
+    limits = limits.filter("field is not null").groupBy("field").agg(F.max("min_records").alias("min_records"), F.max("max_percent").alias("max_percent"))
+    # one row per field on this side: bounded by the call
+    rules = F.broadcast(totals.join(limits, "field", "left"))
+    mark = F.when(F.col("records") < F.col("min_records"), "rare").when(F.col("records") * 100 > F.col("max_percent") * F.col("total"), "common")
+    return counts.join(rules, "field", "left").select("field", "term", "occurrences", "records", mark.alias("mark"))

@@ -1,0 +1,73 @@
+"""Queries of the general training-data operators (near copies, term counts)."""
+
+from __future__ import annotations
+
+from ..operators.nearcopies import near_copies, near_copy_groups, near_copy_pairs
+from ..operators.termcounts import marked_counts, term_counts
+from ..session import table
+
+
+def p2_found(spark, d):
+    return near_copy_pairs(table(spark, d, "docs"))
+
+
+def p2_groups(spark, d):
+    return near_copy_groups(table(spark, d, "docs"))
+
+
+def p2_links(spark, d):
+    return near_copies(table(spark, d, "docs"))[1]
+
+
+def _marked(spark, d):
+    fields = {"body_z": (table(spark, d, "docs"), "body_z", False), "mime": (table(spark, d, "files"), "mime", True)}
+    return marked_counts(fields, table(spark, d, "term_limits"))
+
+
+def p4_found(spark, d):
+    return _marked(spark, d).filter("mark is not null").select("field", "term", "mark")
+
+
+def p4_terms(spark, d):
+    return _marked(spark, d)
+
+
+def p4_pairs(spark, d):
+    return term_counts(table(spark, d, "docs"), "body_z", 2).filter("n = 2 and records > 1").select("term", "occurrences", "records")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_groups, p2_links, p4_found, p4_terms, p4_pairs)}
+
+_TERMS = """
+select id, lower(t) as term from (select id, unnest(regexp_extract_all(body_z, '[\\p{L}\\p{N}]+')) as t from docs)
+"""
+_COUNTS = f"""
+select 'body_z' as field, term, count(*) as occurrences, count(distinct id) as records from ({_TERMS}) group by term
+union all
+select 'mime', mime, count(*), count(*) from files where mime is not null and mime <> '' group by mime
+"""
+_MARKED = f"""
+with n as (select 'body_z' as field, count(*) as total from docs where body_z <> ''
+           union all select 'mime', count(*) from files where mime <> '')
+select c.field, c.term, c.occurrences::bigint as occurrences, c.records::bigint as records,
+       case when c.records < l.min_records then 'rare' when 100 * c.records > l.max_percent * n.total then 'common' end as mark
+from ({_COUNTS}) c join n using (field) join term_limits l using (field)
+"""
+_SETS = """
+with t as (select id, list_transform(regexp_extract_all(body_z, '[\\p{L}\\p{N}]+'), lambda x: lower(x)) as w from docs),
+s as (select distinct id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) as sh from t where len(w) >= 20),
+n as (select id, count(*) as n from s group by id),
+p as (select a.id as id_a, b.id as id_b, count(*) as common from s a join s b on a.sh = b.sh and a.id < b.id
+      where a.sh in (select sh from s group by sh having count(*) > 1) group by 1, 2)
+"""
+
+ORACLES = {
+    "p2_found": _SETS + "select id_a, id_b from p join n x on x.id = id_a join n y on y.id = id_b where 3 * common >= x.n + y.n",
+    "p4_found": f"select field, term, mark from ({_MARKED}) where mark is not null",
+    "p4_terms": _MARKED,
+    "p4_pairs": """
+with t as (select id, list_transform(regexp_extract_all(body_z, '[\\p{L}\\p{N}]+'), lambda x: lower(x)) as w from docs),
+g as (select id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as term from t where len(w) >= 2)
+select term, count(*)::bigint as occurrences, count(distinct id)::bigint as records from g group by term having count(distinct id) > 1
+""",
+}
