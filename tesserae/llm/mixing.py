@@ -74,23 +74,27 @@ def document_sizes(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id",
 
 
 def _round_heavy(g: pd.DataFrame) -> pd.DataFrame:
-    """Round a source's heavy documents; of the last open one, either way only if light documents can make up for it."""
-    g = g.sort_values(["draw", "doc_id", "tokens"], ignore_index=True)
-    rng = np.random.default_rng([int(g["draw"].iloc[0]) & 0x7FFFFFFF, len(g)])
-    w = g["tokens"].to_numpy(float)
-    p = pivotal(g["p"].to_numpy(), w, rng)
-    open_ = np.flatnonzero((p > 0) & (p < 1))
-    if len(open_):
-        k = open_[0]
-        rest = float(((g["base"] + p) * w).sum() - p[k] * w[k])
-
-        def lacks(x: float) -> float:
-            need = float(g["goal"].iloc[0]) - rest - x * w[k]
-            return max(-need, need - float(g["light_most"].iloc[0]), 0.0)
-
-        down, up = lacks(0), lacks(1)
-        p[k] = float(rng.random() < p[k]) if down == up else float(up < down)
-    g["p"] = p
+    """Round a source's heavy documents, the largest first, each against the pooled rest: its probability is the rate
+    that the rest of the goal still needs, so expectations are kept; a side the rest could not make up for is not taken."""
+    g = g.sort_values(["tokens", "draw", "doc_id"], ascending=[False, True, True], ignore_index=True)
+    draws = np.random.default_rng([int(g["draw"].iloc[0]) & 0x7FFFFFFF, len(g)]).random(len(g))
+    cap, need = int(g["cap"].iloc[0]), float(g["goal"].iloc[0])
+    rest = float(g["tokens"].sum() + g["light_tokens"].iloc[0])
+    copies = []
+    for w, draw in zip(g["tokens"].to_numpy(float), draws):
+        rate = min(max(need / rest, 0.0), float(cap))
+        rest -= w
+        low = int(rate)
+
+        def lacks(c: int) -> float:
+            left = need - c * w
+            return max(-left, left - cap * rest, 0.0)
+
+        up, down = (lacks(low + 1) if low < cap else np.inf), lacks(low)
+        c = low + int(draw < rate - low) if up == down else low + int(up < down)
+        need -= c * w
+        copies.append(c)
+    g["base"], g["p"] = np.array(copies, np.int32), 0.0
     return g[["doc_id", "source", "tokens", "base", "draw", "block", "p"]]
 
 
@@ -115,13 +119,13 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 17, heavy: float = 0.01
     light = {r["source"]: (r["tokens"] or 0, r["docs"]) for r in light_stats}
 
     def plan(rates: dict[str, float]) -> DataFrame:
-        rows = [(s, *_parts(r), max(1, -(-light.get(s, (0, 0))[1] // BLOCK_DOCS)), float(caps[s] * light.get(s, (0, 0))[0])) for s, r in sorted(rates.items())]
-        return F.broadcast(spark.createDataFrame(rows, "source string, base int, part double, blocks int, light_most double"))
+        rows = [(s, *_parts(r), max(1, -(-light.get(s, (0, 0))[1] // BLOCK_DOCS)), int(caps[s]), int(light.get(s, (0, 0))[0])) for s, r in sorted(rates.items())]
+        return F.broadcast(spark.createDataFrame(rows, "source string, base int, part double, blocks int, cap int, light_tokens long"))
 
     heavies = staged(
         known.filter("is_heavy")
         .join(plan({s: goals[s] / avail[s] for s in goals}), "source")
-        .select("doc_id", "source", "tokens", "base", "draw", F.lit(0).alias("block"), F.col("part").alias("p"), "goal", "light_most")
+        .select("doc_id", "source", "tokens", "base", "draw", F.lit(0).alias("block"), F.lit(0.0).alias("p"), "goal", "cap", "light_tokens")
         .groupBy("source")
         .applyInPandas(_round_heavy, _SCHEMA)
     )
