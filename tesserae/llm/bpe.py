@@ -185,6 +185,13 @@ class BytePairEncoder:
         get = self.known.__getitem__
         return [list(map(get, p)) for p in pieces]
 
+    def encode_words(self, words: list[str]) -> list[tuple[int, ...]]:
+        """The ids of single pre-tokens."""
+        known = self.known
+        if any(w not in known for w in words):
+            self.learn([words])
+        return [known[w] for w in words]
+
     def ids(self, texts: list[str]) -> list[list[int]]:
         return [list(chain.from_iterable(e)) for e in self.encode(texts)]
 

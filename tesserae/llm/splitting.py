@@ -16,6 +16,7 @@ and at most half the limit; empty tables give empty results; extra columns are i
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +44,7 @@ class _Text:
         self.text, self.words, self.ids, self.enc = text, words, ids, enc
         chars = np.fromiter(map(len, words), np.int64, len(words))
         tokens = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.word = np.arange(len(words) + 1)  # the word a unit starts in
+        self.word = range(len(words) + 1)  # the word a unit starts in
         inner = np.zeros(len(words) + 1, bool)
         if tokens.max(initial=0) > largest:
             c, t, w, inside = [], [], [], []
@@ -55,11 +56,11 @@ class _Text:
                     for n, m in self.places(k):
                         c.append(m - a), t.append(n - b), w.append(k), inside.append(b > 0)
                         a, b = m, n
-            chars, tokens, self.word, inner = np.array(c), np.array(t), np.array([*w, len(words)]), np.array([*inside, False])
-        self.char = np.append(0, np.cumsum(chars))
-        self.token = np.append(0, np.cumsum(tokens))
+            chars, tokens, self.word, inner = np.array(c), np.array(t), [*w, len(words)], np.array([*inside, False])
+        ends = np.append(0, np.cumsum(chars))
+        self.char, self.token = ends.tolist(), np.append(0, np.cumsum(tokens)).tolist()
         code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        at = self.char[1:-1]
+        at = ends[1:-1]
         before, after = code[at - 1], code[at]
         two = code[np.maximum(at - 2, 0)]
         s = np.ones(len(at), np.int8)
@@ -71,9 +72,9 @@ class _Text:
         s[line] = 5
         s[line & (two == 10)] = 6
         s[inner[1:-1]] = 0
-        self.strength = np.concatenate([[7], s, [7]]).astype(np.int8)
-        self.is_blank = _BLANK[code]
-        self.inner = inner
+        self.strength = b"\x07" + s.tobytes() + b"\x07"
+        self.is_blank = _BLANK[code].tobytes()
+        self.inner = inner.tobytes()
 
     def places(self, k: int) -> list[tuple[int, int]]:
         """(tokens, characters) after each token of word k that ends a whole character."""
@@ -93,63 +94,81 @@ class _Text:
         cuts, stack = [0], [(0, len(token) - 1)]
         while stack:
             i, j = stack.pop()
-            a, size = token[i], token[j] - token[i]
+            a = token[i]
+            size = token[j] - a
             if size <= most or j - i == 1:
                 cuts.append(j)
                 continue
             mid = a + size / 2
-            lo = max(int(np.searchsorted(token, mid - size / 6)), i + 1)
-            hi = min(int(np.searchsorted(token, mid + size / 6, "right")), j)
-            if lo < hi:
-                s = strength[lo:hi]
-                best = np.flatnonzero(s == s.max()) + lo
+            lo = bisect_left(token, mid - size / 6, i + 1, j)
+            hi = bisect_right(token, mid + size / 6, i + 1, j)
+            near = bisect_left(token, mid, i + 1, j)
+            if lo < hi:  # strongest of the middle third; of equals the one nearest to the middle
+                best = max(strength[lo:hi])
+                x, y = strength.rfind(best, lo, min(near, hi)), strength.find(best, max(near, lo), hi)
             else:
-                near = int(np.searchsorted(token, mid))
-                best = np.array([x for x in (near - 1, near) if i < x < j] or [i + 1])
-            k = int(best[np.argmin(np.abs(token[best] - mid))])
+                x, y = (near - 1 if near - 1 > i else -1), (near if near < j else -1)
+            k = y if x < 0 else x if y < 0 or mid - token[x] <= token[y] - mid else y
             stack.append((k, j))
             stack.append((i, k))
         return cuts
 
-    def overlap_starts(self, unit: int, overlap: int) -> list[tuple[int, int, bool]]:
-        """(character, tokens of overlap, inside a word) of possible starts before unit, the widest first."""
-        t = int(self.token[unit])
+    def overlap_starts(self, unit: int, overlap: int) -> Iterator[tuple[int, int, int]]:
+        """(character, tokens of overlap, first whole unit) of possible starts before unit, the widest first."""
+        token, char = self.token, self.char
+        t = token[unit]
         want = max(0, t - overlap)
-        m = int(np.searchsorted(self.token, want, "right")) - 1
-        out = []
-        if self.token[m] == want:
-            out.append((int(self.char[m]), t - want, bool(self.inner[m])))
-        else:
-            k, base_t, base_c = int(self.word[m]), int(self.token[m]), int(self.char[m])
-            if not self.inner[m] and self.word[m + 1] != k:  # a whole word: look inside
-                for n, c in self.places(k)[:-1]:
-                    if base_t + n >= want:
-                        out.append((base_c + c, t - base_t - n, True))
-                        break
+        m = bisect_right(token, want) - 1
+        if token[m] == want:
+            yield char[m], t - want, m
+        elif not self.inner[m] and not self.inner[m + 1]:  # a whole word: look inside
+            for n, c in self.places(self.word[m])[:-1]:
+                if token[m] + n >= want:
+                    yield char[m] + c, t - token[m] - n, m + 1
+                    break
         for x in range(m + 1, unit + 1):
-            out.append((int(self.char[x]), t - int(self.token[x]), bool(self.inner[x])))
-        return out
-
-
-def split_text(text: str, words: list[str], ids: list[tuple[int, ...]], max_tokens: int, overlap: int, enc: BytePairEncoder) -> list[tuple[int, int, int, int, int]]:
+            yield char[x], t - token[x], x
+
+    def count(self, start: int, i: int, j: int) -> int:
+        """Tokens of the text from character start, at or inside the unit before unit i, up to unit j, read by itself."""
+        token, char, blank = self.token, self.char, self.is_blank
+        end = char[j]
+        if self.inner[j] or self.inner[i]:
+            return self.enc.count([self.text[start:end]])[0]
+        n, k = token[j] - token[i], j
+        while k > i and blank[char[k] - 1] and blank[char[k - 1] : char[k]].count(1) == char[k] - char[k - 1]:
+            k -= 1
+        if k < j - 1:  # several blank words at the end are read as one
+            if k == i:
+                return self.enc.count([self.text[start:end]])[0]
+            n += len(self.enc.encode_words([self.text[char[k] : end]])[0]) - token[j] + token[k]
+        if start == char[i]:
+            return n
+        # inside a word: the part of it and the next word are split again; the rest reads as before
+        if i < k and not blank[char[i + 1] - 1]:
+            head = self.enc.split(self.text[start : char[i + 1]])
+            if head[-1] == self.words[self.word[i]]:
+                return n + sum(map(len, self.enc.encode_words(head[:-1])))
+        return self.enc.count([self.text[start:end]])[0]
+
+
+def split_text(text: str, words: list[str], ids: list[tuple[int, ...]], max_tokens: int, overlap: int, enc: BytePairEncoder, made: dict[int, _Text]) -> list[tuple[int, int, int, int, int]]:
     """Pieces (start character, end character, tokens, overlap tokens, kind of the end) of an oversized text."""
     most = max(1, max_tokens - overlap)
+    largest = max(map(len, ids))
     while True:
-        u = _Text(text, words, ids, most, enc)
+        size = most if largest > most else 0  # without very large words the units are the same for every limit
+        if size not in made:
+            made[size] = _Text(text, words, ids, most, enc)
+        u = made[size]
         cuts = u.bisect(most)
         pieces = []
         for i, j in zip(cuts, cuts[1:]):
-            end = int(u.char[j])
-            core = int(u.token[j] - u.token[i])
-            tail = end >= 2 and bool(u.is_blank[end - 1] and j - i > 1 and u.is_blank[int(u.char[j - 1]) - 1])
-            starts = u.overlap_starts(i, overlap) if i and overlap else [(int(u.char[i]), 0, bool(u.inner[i]))]
-            for start, over, inside in starts:
-                n = core + over
-                if inside or tail or u.inner[j]:
-                    n = enc.count([text[start:end]])[0]
+            for start, over, first in u.overlap_starts(i, overlap) if i and overlap else [(u.char[i], 0, i)]:
+                n = u.count(start, first, j)
                 if n <= max_tokens:
                     break
-            pieces.append((start, end, n, over, int(u.strength[j])))
+            pieces.append((start, u.char[j], n, over, u.strength[j]))
         if all(p[2] <= max_tokens for p in pieces) or most == 1:
             return pieces
         most = max(1, most * 3 // 4)  # parts of very large pre-tokens can need more tokens by themselves
@@ -168,9 +187,10 @@ def _split(limits: list[tuple[str, int, int]], name: str, folder: str, keep_smal
             for key, text, w in zip(keys, texts, words):
                 ids = list(map(enc.known.__getitem__, w)) if text else []
                 total = sum(map(len, ids))
+                made: dict[int, _Text] = {}
                 for limit, most, overlap in limits:
                     if total > most:
-                        pieces = split_text(text, w, ids, most, overlap, enc)
+                        pieces = split_text(text, w, ids, most, overlap, enc, made)
                     elif keep_small and text:
                         pieces = [(0, len(text), total, 0, 7)]
                     else:
