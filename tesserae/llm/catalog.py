@@ -2,12 +2,44 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..session import table
 from .encode import token_ids
+from .encodings import LanguageModel, mended
+from .lookalike import plain_forms
 from .mixing import mix, shares
 from .splitting import split, split_report
 
 
+def _garbled(spark, d, results):
+    return mended(results, "result_id", "text", LanguageModel.fit(table(spark, d, "documents")))
+
+
+def p3_found(spark, d):
+    """Texts whose form differs are held against the test of p5: a garbled text is no case here."""
+    names = plain_forms(table(spark, d, "files"), "id", "name").filter("changed").select(F.lit("name").alias("field"), "rec_id")
+    results = table(spark, d, "extract_results")
+    texts = plain_forms(results, "result_id", "text").filter("changed").select("rec_id")
+    suspects = results.join(texts.withColumnRenamed("rec_id", "result_id"), "result_id", "left_semi")
+    clear = _garbled(spark, d, suspects).filter("not garbled").select(F.lit("text").alias("field"), "rec_id")
+    return names.unionByName(clear)
+
+
+def p3_forms(spark, d):
+    names = plain_forms(table(spark, d, "files"), "id", "name").select(F.lit("name").alias("field"), "rec_id", "form", "changed")
+    texts = plain_forms(table(spark, d, "extract_results"), "result_id", "text").select(F.lit("text").alias("field"), "rec_id", "form", "changed")
+    return names.unionByName(texts)
+
+
+def p5_found(spark, d):
+    return _garbled(spark, d, table(spark, d, "extract_results")).filter("garbled").select(F.col("rec_id").alias("result_id"))
+
+
+def p5_mended(spark, d):
+    return _garbled(spark, d, table(spark, d, "extract_results")).filter("garbled").withColumnRenamed("rec_id", "result_id")
+
+
 def p6_ids(spark, d):
     return token_ids(table(spark, d, "documents"), "doc_id", "text")
 
@@ -28,5 +60,5 @@ def p8_report(spark, d):
     return split_report(p8_pieces(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p7_mix, p7_shares, p8_pieces, p8_report)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_forms, p5_found, p5_mended, p6_ids, p7_mix, p7_shares, p8_pieces, p8_report)}
 ORACLES: dict[str, str] = {}
