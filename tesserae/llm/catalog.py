@@ -10,6 +10,29 @@ from .encodings import LanguageModel, mended
 from .lookalike import plain_forms
 from .mixing import mix, shares
 from .splitting import split, split_report
+from .truncation import source_shares, truncated
+
+
+def _cut(spark, d):
+    options = table(spark, d, "extract_options")
+    results = table(spark, d, "extract_results").select(F.lit("extract_results").alias("origin"), F.col("result_id").alias("rec_id"), "source", "text")
+    docs = table(spark, d, "docs").select("id", "body_z").filter("body_z is not null and body_z <> ''")
+    # the folders of the options, a fixed table of settings: the longest that holds the path gives the source
+    roots = options.filter("root is not null").groupBy("root").agg(F.min("source").alias("source")).collect()
+    source = F.lit(None).cast("string")
+    for r in sorted(roots, key=lambda r: (len(r["root"]), r["root"])):
+        source = F.when(F.col("path").startswith(r["root"].rstrip("/") + "/"), r["source"]).otherwise(source)
+    known = table(spark, d, "files").select("id", source.alias("source"))
+    bodies = docs.join(known, "id", "left").select(F.lit("docs").alias("origin"), F.col("id").alias("rec_id"), "source", F.col("body_z").alias("text"))
+    return truncated(results.unionByName(bodies), options.select("source", F.col("max_text_bytes").alias("value")))
+
+
+def p1_found(spark, d):
+    return _cut(spark, d).filter("truncated").select("origin", "rec_id")
+
+
+def p1_shares(spark, d):
+    return source_shares(_cut(spark, d))
 
 
 def _garbled(spark, d, results):
@@ -60,5 +83,5 @@ def p8_report(spark, d):
     return split_report(p8_pieces(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_forms, p5_found, p5_mended, p6_ids, p7_mix, p7_shares, p8_pieces, p8_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_shares, p3_found, p3_forms, p5_found, p5_mended, p6_ids, p7_mix, p7_shares, p8_pieces, p8_report)}
 ORACLES: dict[str, str] = {}
