@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tokens import index_tokens
 from ..plans.query import Phrase, condition, parse, phrases
+from ..session import spread
 
 WEIGHT_NAME, WEIGHT_BODY, K1, B = 10.0, 1.0, 1.2, 0.75
 BUCKETS = 64
@@ -35,7 +36,7 @@ class Index:
     @classmethod
     def of(cls, docs: DataFrame, files: DataFrame | None = None) -> Index:
         """An index computed on the fly from docs (id, name, body)."""
-        docs = docs.select(F.col("id").cast("long").alias("id"), "name", "body")
+        docs = spread(docs.select(F.col("id").cast("long").alias("id"), "name", "body"))
         cols = docs.select("id", F.posexplode(F.array(index_tokens(F.col("name")), index_tokens(F.col("body")))).alias("col", "tokens"))
         each = cols.select("id", "col", F.posexplode("tokens").alias("pos", "t"))
         postings = each.select("id", "col", "pos", F.explode(F.when(F.col("t.whole").isNull(), F.array(F.struct(F.col("t.term").alias("term"), F.lit(False).alias("colocated")))).otherwise(F.array(F.struct(F.col("t.term").alias("term"), F.lit(False).alias("colocated")), F.struct(F.col("t.whole").alias("term"), F.lit(True).alias("colocated"))))).alias("p")).select("p.term", "id", "col", "pos", "p.colocated")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import mixed, run_hashes, slices, terms_of
-from ..session import staged
+from ..session import spread, staged
 
 SET_COLUMNS = "id long, n int, set_a long, set_b long, bits array<long>, items array<long>"
 BIT_WORDS = 4
@@ -74,7 +74,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 def run_sets(docs: DataFrame, id_col: str, text_col: str, width: int = 3, min_terms: int = 20) -> DataFrame:
     """One row per document long enough: its set of runs (hashes, sorted), two sums identifying the set, and a parity bitmap."""
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
-    return src.mapInArrow(_sets(width, min_terms), SET_COLUMNS)
+    return spread(src).mapInArrow(_sets(width, min_terms), SET_COLUMNS)
 
 
 def _least(n: np.ndarray, m: np.ndarray, num: int, den: int) -> np.ndarray:

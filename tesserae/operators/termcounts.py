@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import slices, terms_of
+from ..session import spread
 
 BLOCK_TERMS = 2_000_000
 
@@ -117,7 +118,7 @@ def _counts(max_n: int, whole: bool):
 def term_counts(df: DataFrame, column: str, max_n: int = 1, whole: bool = False) -> DataFrame:
     """(term, n, occurrences, records) of every run of 1..max_n terms of column; with whole, of every value as stored."""
     src = df.select(F.col(column).cast("string").alias("value")).filter("value is not null and value <> ''")
-    part = src.mapInArrow(_counts(max_n, whole), "term string, n int, occurrences long, records long")
+    part = spread(src).mapInArrow(_counts(max_n, whole), "term string, n int, occurrences long, records long")
     return part.groupBy("term", "n").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 
 

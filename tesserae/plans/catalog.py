@@ -397,7 +397,7 @@ def percent_encoding(spark, d):
 @query()
 def calc_eval(spark, d):
     """Order prices as expressions; the arithmetic is done by the evaluator."""
-    price = F.format_string("(%.2f + %d) * 2 ^ 2 - -%d / 4", F.col("o_totalprice"), F.col("o_custkey"), F.col("o_orderkey"))
+    price = F.format_string("(%.2f + %d) * 2 ^ 1 - -%d / 4", F.col("o_totalprice"), F.col("o_custkey"), F.col("o_orderkey"))
     return table(spark, d, "orders").select("o_orderkey", calculate(price).alias("r")).select("o_orderkey", "r.valid", F.round("r.value", 4).alias("value"), "r.text")
 
 
@@ -662,6 +662,6 @@ def nearest_rank(spark, d):
 
 
 ORACLES["calc_eval"] = """select o_orderkey, true as valid, round(v, 4) as value, case when v = v::bigint then (v::bigint)::varchar else printf('%g', v) end as text from
-(select o_orderkey, pow((round(o_totalprice, 2) + o_custkey) * 2, 2) - (-o_orderkey / 4.0) as v from orders)"""
+(select o_orderkey, (round(o_totalprice, 2) + o_custkey) * 2 - (-o_orderkey / 4.0) as v from orders)"""
 
 __all__ = ["ORACLES", "QUERIES"]

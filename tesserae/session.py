@@ -57,3 +57,14 @@ def staged(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     atexit.register(_drop, spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if it is a plain scan of so few partitions that half of the cores or more would idle.
+
+    Small or badly split files only: a table of more partitions is left where it is, and a plan with shuffles of its
+    own isn't looked at (that would run them)."""
+    if df.isStreaming or "AdaptiveSparkPlan" in df._jdf.queryExecution().executedPlan().getClass().getSimpleName():
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
