@@ -2,7 +2,8 @@
 
 The index of docs (id, name, body) is four tables: postings (term, id, col, pos, colocated), lengths (id, len), vocab
 (term, doc, cnt) and corpus (n_docs, avg_len). Written with a hash bucket of the term as partition, a query reads only
-the buckets of its terms. Ranking is BM25 with the name weighing ten times the body; ties go to the lower id.
+the buckets of its terms. An index computed on the fly (Index.of) answers from the token arrays of each document
+instead: no posting is shuffled, and only (id, length, frequencies) of the documents that match go on. Ranking is BM25 with the name weighing ten times the body; ties go to the lower id.
 
 Defined results: null names and bodies have no tokens (the document still counts); an empty query, or one without terms,
 or a limit of 0 or less, gives no rows; ids are expected to be unique; extra columns are ignored.
@@ -11,6 +12,7 @@ or a limit of 0 or less, gives no rows; ids are expected to be unique; extra col
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,6 +25,34 @@ WEIGHT_NAME, WEIGHT_BODY, K1, B = 10.0, 1.0, 1.2, 0.75
 BUCKETS = 64
 
 
+def _length() -> Column:
+    return (F.size("name") + F.size("body")).cast("long").alias("len")
+
+
+def _count(array: str, phrase: Phrase) -> Column:
+    """Places of a token array where a phrase starts."""
+    n = len(phrase.terms)
+
+    def hit(x: Column, k: int) -> Column:
+        t = phrase.terms[k]
+        if phrase.prefix and k == n - 1:
+            return x["term"].startswith(t) | F.coalesce(x["whole"].startswith(t), F.lit(False))
+        return (x["term"] == t) | x["whole"].eqNullSafe(t)
+
+    if n == 1:
+        return F.size(F.filter(array, lambda x: hit(x, 0)))
+    # neighbours side by side, so that the condition looks at one element only
+    room = F.greatest(F.size(array) - n + 1, F.lit(0))
+    rows = F.arrays_zip(*[F.slice(array, F.lit(k + 1), room).alias(f"t{k}") for k in range(n)])
+    return F.size(F.filter(rows, lambda r: reduce(Column.__and__, [hit(r[f"t{k}"], k) for k in range(n)])))
+
+
+def _part(tf: Column, df: Column) -> Column:
+    """What one phrase adds to the score."""
+    ratio = F.log((F.col("n_docs") - df + 0.5) / (df + 0.5))
+    return F.when(ratio > 0, ratio).otherwise(1e-6) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+
+
 @dataclass
 class Index:
     postings: DataFrame
@@ -30,6 +60,7 @@ class Index:
     docs: DataFrame
     files: DataFrame | None = None
     bucketed: bool = False
+    arrays: DataFrame | None = None  # (id, name, body) as arrays of tokens
 
     # ---- building
 
@@ -37,11 +68,11 @@ class Index:
     def of(cls, docs: DataFrame, files: DataFrame | None = None) -> Index:
         """An index computed on the fly from docs (id, name, body)."""
         docs = spread(docs.select(F.col("id").cast("long").alias("id"), "name", "body"))
-        cols = docs.select("id", F.posexplode(F.array(index_tokens(F.col("name")), index_tokens(F.col("body")))).alias("col", "tokens"))
+        arrays = docs.select("id", index_tokens(F.col("name")).alias("name"), index_tokens(F.col("body")).alias("body"))
+        cols = arrays.select("id", F.posexplode(F.array("name", "body")).alias("col", "tokens"))
         each = cols.select("id", "col", F.posexplode("tokens").alias("pos", "t"))
         postings = each.select("id", "col", "pos", F.explode(F.when(F.col("t.whole").isNull(), F.array(F.struct(F.col("t.term").alias("term"), F.lit(False).alias("colocated")))).otherwise(F.array(F.struct(F.col("t.term").alias("term"), F.lit(False).alias("colocated")), F.struct(F.col("t.whole").alias("term"), F.lit(True).alias("colocated"))))).alias("p")).select("p.term", "id", "col", "pos", "p.colocated")
-        lengths = docs.select("id", (F.size(index_tokens(F.col("name"))) + F.size(index_tokens(F.col("body")))).cast("long").alias("len"))
-        return cls(postings, lengths, docs, files)
+        return cls(postings, arrays.select("id", _length()), docs, files, arrays=arrays)
 
     def write(self, path: str) -> None:
         """Postings partitioned by a bucket of the term and sorted by it, so that term ranges are pruned."""
@@ -57,6 +88,12 @@ class Index:
     # ---- statistics
 
     def vocab(self) -> DataFrame:
+        """(term, doc, cnt). With token arrays each document gives its distinct terms and all its tokens, which are
+        counted before the shuffle."""
+        if self.arrays is not None:
+            every = self.arrays.select(F.concat("name", "body").alias("t")).select(F.concat(F.transform("t", lambda x: x["term"]), F.filter(F.transform("t", lambda x: x["whole"]), lambda x: x.isNotNull())).alias("t"))
+            each = every.select(F.explode(F.array(F.struct(F.lit(0).alias("d"), F.col("t")), F.struct(F.lit(1).alias("d"), F.array_distinct("t").alias("t")))).alias("s")).select("s.d", F.explode("s.t").alias("term"))
+            return each.groupBy("term").agg(F.sum("d").alias("doc"), F.sum(1 - F.col("d")).alias("cnt"))
         return self.postings.groupBy("term").agg(F.count_distinct("id").alias("doc"), F.count("*").alias("cnt"))
 
     def corpus(self) -> DataFrame:
@@ -100,6 +137,21 @@ class Index:
             found = rows if found is None else found.join(rows, ["id", "col", "pos"])
         return found
 
+    def _matches(self, wanted: list[Phrase]) -> DataFrame:
+        """(id, len, tf0, tf1, ...) of all documents from their token arrays."""
+        tf = [(WEIGHT_NAME * _count("name", p) + WEIGHT_BODY * _count("body", p)).alias(f"tf{k}") for k, p in enumerate(wanted)]
+        return self.arrays.select("id", _length(), *tf)
+
+    def _scan_scores(self, wanted: list[Phrase], keep: DataFrame | None) -> DataFrame:
+        found = self._matches(wanted)
+        names = [f"tf{k}" for k in range(len(wanted))]
+        corpus = found.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"), *[F.count_if(F.col(t) > 0).alias(f"df{k}") for k, t in enumerate(names)])
+        hits = found.filter(reduce(Column.__and__, [F.col(t) > 0 for t in names]))
+        if keep is not None:
+            hits = hits.join(keep, "id", "left_semi")
+        hits = hits.withColumn("one", F.lit(1)).join(F.broadcast(corpus.withColumn("one", F.lit(1))), "one")
+        return hits.select("id", reduce(Column.__add__, [_part(F.col(t), F.col(f"df{k}")) for k, t in enumerate(names)]).alias("score"))
+
     def _frequencies(self, wanted: list[Phrase], keep: DataFrame | None) -> DataFrame:
         """(id, phrase, tf) of documents with all phrases, and df of each phrase over all documents."""
         tf = None
@@ -113,15 +165,18 @@ class Index:
 
     def scores(self, wanted: list[Phrase], keep: DataFrame | None = None) -> DataFrame:
         """(id, score) of documents with all phrases (and in keep)."""
+        if self.arrays is not None:
+            return self._scan_scores(wanted, keep)
         corpus = self.corpus().select("n_docs", "avg_len", F.lit(1).alias("one"))
         hits = self._frequencies(wanted, keep).join(self.lengths, "id").withColumn("one", F.lit(1)).join(F.broadcast(corpus), "one")
-        ratio = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        idf = F.when(ratio > 0, ratio).otherwise(1e-6)
-        part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-        return hits.groupBy("id").agg(F.sum(part).alias("score"), F.count("*").alias("k")).filter(F.col("k") == len(wanted)).select("id", "score")
+        return hits.groupBy("id").agg(F.sum(_part(F.col("tf"), F.col("df"))).alias("score"), F.count("*").alias("k")).filter(F.col("k") == len(wanted)).select("id", "score")
 
     def newest(self, wanted: list[Phrase], budget: int, keep: DataFrame | None = None) -> DataFrame:
         """The `budget` highest ids among documents with all phrases."""
+        if self.arrays is not None:
+            hits = self._matches(wanted).filter(reduce(Column.__and__, [F.col(f"tf{k}") > 0 for k in range(len(wanted))])).select("id")
+            hits = hits.join(keep, "id", "left_semi") if keep is not None else hits
+            return hits.orderBy(F.desc("id")).limit(budget)
         tf = self._frequencies(wanted, keep).groupBy("id").agg(F.count("*").alias("k")).filter(F.col("k") == len(wanted))
         return tf.select("id").orderBy(F.desc("id")).limit(budget)
 
