@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import slices
+from ..session import spread
 from .bpe import TOKENIZER_DIR, encoder
 
 TOKENIZER = "byte_bpe_50k"
@@ -36,7 +37,7 @@ def _ids(name: str, folder: str):
 def token_ids(df: DataFrame, id_col: str, text_col: str, name: str = TOKENIZER, folder: str = TOKENIZER_DIR) -> DataFrame:
     """(id_col, ids list of int) of every row, without special tokens."""
     src = df.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"))
-    return src.mapInArrow(_ids(name, folder), "key long, ids array<int>").withColumnRenamed("key", id_col)
+    return spread(src).mapInArrow(_ids(name, folder), "key long, ids array<int>").withColumnRenamed("key", id_col)
 
 
 def token_counter(name: str, folder: str):

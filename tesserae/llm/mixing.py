@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import staged
+from ..session import spread, staged
 from .bpe import TOKENIZER_DIR
 from .encode import TOKENIZER, token_counter
 
@@ -70,7 +70,7 @@ def document_sizes(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id",
     """(doc_id, source, tokens) of the documents of listed sources."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), "source", F.col(text_col).alias("text"))
     listed = targets.filter("source is not null").select("source").distinct()
-    return src.join(F.broadcast(listed), "source", "left_semi").select("doc_id", "source", "text").mapInArrow(token_counter(name, folder), "doc_id long, source string, tokens long")
+    return spread(src).join(F.broadcast(listed), "source", "left_semi").select("doc_id", "source", "text").mapInArrow(token_counter(name, folder), "doc_id long, source string, tokens long")
 
 
 def _round_heavy(g: pd.DataFrame) -> pd.DataFrame:

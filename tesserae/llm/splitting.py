@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import slices
+from ..session import spread
 from .bpe import TOKENIZER_DIR, BytePairEncoder, encoder
 from .encode import TOKENIZER
 
@@ -211,7 +212,7 @@ def split(docs: DataFrame, limits: DataFrame, id_col: str = "doc_id", text_col:
     rows = limits.filter("max_tokens >= 1").select("limit_name", "max_tokens", "overlap_tokens").distinct().orderBy("limit_name", "max_tokens").collect()
     rules = [(r[0], int(r[1]), min(max(0, int(r[2] or 0)), int(r[1]) // 2)) for r in rows]
     src = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text")).filter("text is not null and text <> ''")
-    return src.mapInArrow(
+    return spread(src).mapInArrow(
         _split(rules, name, folder, keep_small),
         "doc_id long, limit_name string, piece int, pieces int, start_char long, end_char long, n_tokens int, overlap_tokens int, boundary string, text string",
     )
