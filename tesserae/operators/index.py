@@ -68,7 +68,9 @@ class Index:
     def of(cls, docs: DataFrame, files: DataFrame | None = None) -> Index:
         """An index computed on the fly from docs (id, name, body)."""
         docs = spread(docs.select(F.col("id").cast("long").alias("id"), "name", "body"))
-        arrays = docs.select("id", index_tokens(F.col("name")).alias("name"), index_tokens(F.col("body")).alias("body"))
+        # through a generator, so that the optimizer doesn't repeat the tokenizing in every expression on the arrays
+        tokens = F.struct(index_tokens(F.col("name")).alias("name"), index_tokens(F.col("body")).alias("body"))
+        arrays = docs.select("id", F.explode(F.array(tokens)).alias("t")).select("id", "t.name", "t.body")
         cols = arrays.select("id", F.posexplode(F.array("name", "body")).alias("col", "tokens"))
         each = cols.select("id", "col", F.posexplode("tokens").alias("pos", "t"))
         postings = each.select("id", "col", "pos", F.explode(F.when(F.col("t.whole").isNull(), F.array(F.struct(F.col("t.term").alias("term"), F.lit(False).alias("colocated")))).otherwise(F.array(F.struct(F.col("t.term").alias("term"), F.lit(False).alias("colocated")), F.struct(F.col("t.whole").alias("term"), F.lit(True).alias("colocated"))))).alias("p")).select("p.term", "id", "col", "pos", "p.colocated")
