@@ -26,7 +26,7 @@ from ..functions.arrays import mixed, run_hashes, slices, terms_of
 from ..session import spread, staged
 
 SET_COLUMNS = "id long, n int, set_a long, set_b long, bits array<long>, items array<long>"
-BIT_WORDS = 4
+BIT_WORDS = 8  # of 64 bits; with sets of some hundred runs, as good as all pairs below the similarity are excluded
 
 
 def _sets(width: int, min_terms: int):
