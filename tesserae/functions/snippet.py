@@ -21,7 +21,7 @@ _TOKEN = regex.compile(r"[\p{L}\p{N}]+")
 WIDTH, BEFORE = 12, 5
 
 
-def excerpt(body: str | None, wanted: list[Phrase], width: int = WIDTH) -> str:
+def excerpt(body: str | None, wanted: list[Phrase], width: int = WIDTH, marks: tuple[str, str] = ("[", "]")) -> str:
     spans = [m.span() for m in _TOKEN.finditer(body or "")]
     if not spans:
         return ""
@@ -51,17 +51,17 @@ def excerpt(body: str | None, wanted: list[Phrase], width: int = WIDTH) -> str:
     at = 0 if start == 0 else spans[start][0]
     for k in range(start, end):
         a, b = spans[k]
-        out += body[at:a] + (f"[{body[a:b]}]" if k in marked else body[a:b])
+        out += body[at:a] + (marks[0] + body[a:b] + marks[1] if k in marked else body[a:b])
         at = b
     return out + (body[at:] if end == len(spans) else "…")
 
 
-def with_snippets(hits: DataFrame, docs: DataFrame, wanted: list[Phrase], width: int = WIDTH) -> DataFrame:
+def with_snippets(hits: DataFrame, docs: DataFrame, wanted: list[Phrase], width: int = WIDTH, marks: tuple[str, str] = ("[", "]")) -> DataFrame:
     """hits (few rows, with id) with a column snippet; bodies are fetched for the hits only."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "snippet": [excerpt(b, wanted, width) for b in pdf["body"]]})
+            yield pd.DataFrame({"id": pdf["id"], "snippet": [excerpt(b, wanted, width, marks) for b in pdf["body"]]})
 
     bodies = docs.select("id", "body").join(F.broadcast(hits.select("id")), "id", "left_semi")
     return hits.join(bodies.mapInPandas(run, "id long, snippet string"), "id", "left")

@@ -51,8 +51,8 @@ def importer(mime: Column, path: Column, enabled: tuple[str, ...] = ("text", "pd
 
 
 def sanitized(text: Column) -> Column:
-    """Without NUL, other control characters but tab, line feed and carriage return as blanks."""
-    return F.regexp_replace(F.regexp_replace(text, r"\x00", ""), r"[\x01-\x08\x0b\x0c\x0e-\x1f]", " ")
+    """Without NUL, other control characters but the white ones (9 to 13) as blanks."""
+    return F.regexp_replace(F.regexp_replace(text, r"\x00", ""), r"[\x01-\x08\x0e-\x1f]", " ")
 
 
 def capped(content: Column, most: int) -> Column:
@@ -63,7 +63,7 @@ def capped(content: Column, most: int) -> Column:
 def looks_like_text(text: Column) -> Column:
     """No NUL in the first 8192 characters, and control characters under 5 % of them; empty isn't text."""
     head = F.substring(text, 1, 8192)
-    odd = F.length(head) - F.length(F.regexp_replace(head, r"[\x01-\x08\x0b\x0c\x0e-\x1f]", ""))
+    odd = F.length(head) - F.length(F.regexp_replace(head, r"[\x01-\x08\x0e-\x1f]", ""))
     return F.coalesce((F.length(head) > 0) & ~F.contains(head, F.lit("\x00")) & (odd * 100 < F.length(head) * 5), F.lit(False))
 
 
@@ -71,20 +71,21 @@ def looks_like_text(text: Column) -> Column:
 ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "))
 
 
+#: Script and style blocks, tags (the group keeps their '<' as a mark), and a tag without end.
+MARKUP = r"(?s)<script.*?(?:</script>|\z)|<style.*?(?:</style>|\z)|(<)[^>]*>|<[^>]*\z"
+
+
 def strip_html(text: Column) -> Column:
     """Script and style blocks dropped (with the rest of the text if not closed), tags as blanks, a tag without end
     drops the rest, then seven entities one kind after the other; &amp; keeps being decoded where it yields another."""
-    out = text
-    for tag in ("script", "style"):
-        out = F.regexp_replace(out, rf"(?s)<{tag}.*?(?:</{tag}>|\z)", " ")
-    out = F.regexp_replace(out, r"(?s)<[^>]*(?:>|\z)", " ")
+    out = F.translate(F.regexp_replace(text, MARKUP, "$1"), "<", " ")
     for name, char in ENTITIES:
         out = F.regexp_replace(out, r"&(?:amp;)+", "&") if name == "&amp;" else F.replace(out, F.lit(name), F.lit(char))
     return out
 
 
-_XML_ENTITY = re.compile(r"&([^;&\s]{1,10});")
-_XML_NAMES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
+_XML_ENTITY = re.compile(r"&([^;&]{1,9});")
+_XML_NAMES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " "}
 
 
 def _xml_entity(m: re.Match) -> str:
@@ -102,7 +103,7 @@ def _xml_entity(m: re.Match) -> str:
 
 def strip_xml_text(text: str) -> str:
     """Tags as blanks, named and numeric entities decoded in one pass."""
-    return _XML_ENTITY.sub(_xml_entity, re.sub(r"<[^>]*(?:>|\Z)", " ", text, flags=re.S))
+    return _XML_ENTITY.sub(_xml_entity, re.sub(r"(<)[^>]*>|<[^>]*\Z", lambda m: " " if m[1] else "", text))
 
 
 @F.pandas_udf(StringType())
@@ -111,9 +112,7 @@ def strip_xml(text: pd.Series) -> pd.Series:
 
 
 def strip_html_text(text: str) -> str:
-    for tag in ("script", "style"):
-        text = re.sub(rf"<{tag}.*?(?:</{tag}>|\Z)", " ", text, flags=re.S)
-    text = re.sub(r"<[^>]*(?:>|\Z)", " ", text, flags=re.S)
+    text = re.sub(MARKUP.replace(r"\z", r"\Z"), lambda m: " " if m[1] else "", text)
     for name, char in ENTITIES:
         text = re.sub(r"&(?:amp;)+", "&", text) if name == "&amp;" else text.replace(name, char)
     return text
@@ -141,11 +140,12 @@ def icon(path: Column) -> Column:
     """Icon family by extension."""
     ext = extension(path)
     return (
-        F.when(ext.isin("png", "jpg", "jpeg", "gif", "svg", "webp"), "image-x-generic")
+        F.when(ext.isin("png", "jpg", "jpeg", "gif", "svg", "webp", "bmp"), "image-x-generic")
         .when(ext.isin("mp3", "flac", "ogg", "wav", "m4a"), "audio-x-generic")
-        .when(ext.isin("mp4", "mkv", "webm", "avi", "mov"), "video-x-generic")
+        .when(ext.isin("mp4", "mkv", "webm", "mov"), "video-x-generic")
         .when(ext == "pdf", "application-pdf")
         .when(ext.isin("zip", "tar", "gz", "xz", "7z", "rar"), "package-x-generic")
+        .when(ext.isin("cpp", "hpp", "h", "c", "py", "js", "ts", "rs", "go", "java", "sh"), "text-x-script")
         .otherwise("text-x-generic")
     )
 
@@ -164,10 +164,10 @@ def escape_markup(text: Column) -> Column:
     return text
 
 
-def snippet_markup(snippet: Column) -> Column:
-    """An excerpt's [hits] as bold markup; line breaks and tabs as blanks."""
-    flat = F.regexp_replace(escape_markup(snippet), r"[\n\r\t]", " ")
-    return F.replace(F.replace(flat, F.lit("["), F.lit("<b>")), F.lit("]"), F.lit("</b>"))
+def snippet_markup(snippet: Column, accent: str = "#3584e4") -> Column:
+    """An excerpt whose hits stand between the characters 2 and 3, as markup; a mark without its pair is dropped."""
+    spans = F.regexp_replace(escape_markup(snippet), r"\x02([^\x03]*)\x03", f'<span foreground="{accent}" weight="bold">$1</span>')
+    return F.translate(spans, "\x02", "")
 
 
 def percent_encoded(path: Column) -> Column:
@@ -190,9 +190,24 @@ def expanded(path: Column, home: str) -> Column:
 
 
 def monogram(label: Column) -> Column:
-    """First ASCII letter, in capitals; '?' without one."""
+    """First ASCII letter, in capitals; without one the first character, '#' for an empty label."""
     c = F.upper(F.regexp_extract(label, "[A-Za-z]", 0))
-    return F.when(c == "", "?").otherwise(c)
+    return F.when(c != "", c).when(label == "", "#").otherwise(F.substring(label, 1, 1))
+
+
+def entry_names(app_id: Column) -> Column:
+    """File names an application id may have, sorted and distinct: as it is, its last and its first part, with dashes,
+    with underscores."""
+    forms = (app_id, F.substring_index(app_id, ".", -1), F.substring_index(app_id, ".", 1), F.translate(app_id, ".", "-"), F.translate(app_id, ".", "_"))
+    return F.array_sort(F.array_distinct(F.array(*[F.concat(f, F.lit(".desktop")) for f in forms])))
+
+
+def application_matches(query: str, columns: tuple[str, ...] = ("name", "generic_name", "comment", "categories")) -> Column:
+    """The query is part of any of the columns, in any case."""
+    out = F.lit(False)
+    for c in columns:
+        out = out | F.lower(F.coalesce(c, F.lit(""))).contains(query.lower())
+    return out
 
 
 def within(path: Column, folder: str) -> Column:

@@ -187,7 +187,7 @@ def substring_match(spark, d):
 
 
 @query()
-def snippet(spark, d):
+def snippets(spark, d):
     ix = _index(spark, d, True)
     wanted = phrases("archive fold", True)
     return with_snippets(ix.search("archive fold", 6, NOW, plan="full"), ix.docs, wanted)
@@ -327,14 +327,40 @@ def desktop_entries(spark, d):
 # ---------------------------------------------------------------- scalar functions
 
 
-@query("select result_id, regexp_replace(regexp_replace(text, '\\x00', '', 'g'), '[\\x01-\\x08\\x0b\\x0c\\x0e-\\x1f]', ' ', 'g') as text from extract_results")
+@query(
+    f"""select id, case when {_EXT} in ('png','jpg','jpeg','gif','svg','webp','bmp') then 'image-x-generic' when {_EXT} = 'pdf' then 'application-pdf' when {_EXT} in ('mp3','flac','wav','ogg','m4a') then 'audio-x-generic'
+    when {_EXT} in ('mp4','mkv','webm','mov') then 'video-x-generic' when {_EXT} in ('zip','tar','gz','xz','7z','rar') then 'package-x-generic' when {_EXT} in ('cpp','hpp','h','c','py','js','ts','rs','go','java','sh') then 'text-x-script' else 'text-x-generic' end as icon from files"""
+)
+def icons(spark, d):
+    return _files(spark, d).select("id", T.icon(F.col("path")).alias("icon"))
+
+
+@query(
+    """select id, list_sort(list_distinct([name || '.desktop', list_last(string_split(name, '.')) || '.desktop', string_split(name, '.')[1] || '.desktop', replace(name, '.', '-') || '.desktop', replace(name, '.', '_') || '.desktop'])) as names from files where name is not null"""
+)
+def entry_names(spark, d):
+    return _files(spark, d).filter("name is not null").select("id", T.entry_names(F.col("name")).alias("names"))
+
+
+@query("select p_partkey from part where contains(lower(p_name), 'al') or contains(lower(p_brand), 'al') or contains(lower(p_type), 'al')")
+def application_search(spark, d):
+    return table(spark, d, "part").filter(T.application_matches("AL", ("p_name", "p_brand", "p_type"))).select("p_partkey")
+
+
+@query("select id, '<span foreground=\"#3584e4\" weight=\"bold\">' || regexp_extract(m, '^[A-Za-z]+') || '</span>' || substring(m, length(regexp_extract(m, '^[A-Za-z]+')) + 1) as markup from (select id, replace(replace(replace(replace(replace(name, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&apos;') as m from files where regexp_matches(name, '^[A-Za-z]'))")
+def snippet_markup(spark, d):
+    marked = F.regexp_replace("name", "^([A-Za-z]+)", "\x02$1\x03")
+    return _files(spark, d).filter(F.col("name").rlike("^[A-Za-z]")).select("id", T.snippet_markup(marked).alias("markup"))
+
+
+@query("select result_id, regexp_replace(regexp_replace(text, '\\x00', '', 'g'), '[\\x01-\\x08\\x0e-\\x1f]', ' ', 'g') as text from extract_results")
 def sanitized_text(spark, d):
     return table(spark, d, "extract_results").select("result_id", T.sanitized(F.col("text")).alias("text"))
 
 
 @query(
     """select result_id, coalesce(length(substring(text, 1, 8192)) > 0 and not contains(substring(text, 1, 8192), chr(0))
-    and 100 * (length(substring(text, 1, 8192)) - length(regexp_replace(substring(text, 1, 8192), '[\\x01-\\x08\\x0b\\x0c\\x0e-\\x1f]', '', 'g'))) < 5 * length(substring(text, 1, 8192)), false) as is_text from extract_results"""
+    and 100 * (length(substring(text, 1, 8192)) - length(regexp_replace(substring(text, 1, 8192), '[\\x01-\\x08\\x0e-\\x1f]', '', 'g'))) < 5 * length(substring(text, 1, 8192)), false) as is_text from extract_results"""
 )
 def text_test(spark, d):
     return table(spark, d, "extract_results").select("result_id", T.looks_like_text(F.col("text")).alias("is_text"))
@@ -345,8 +371,7 @@ _HTML = "'<html><head><style>p { x: 1 }</style></head><script>var a = \"<b>\";</
 
 @query(
     f"""with h as (select doc_id, {_HTML} as html from documents)
-    select doc_id, replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<script.*?(?:</script>|\\z)', ' ', 'g'), '(?s)<style.*?(?:</style>|\\z)', ' ', 'g'),
-      '(?s)<[^>]*(?:>|\\z)', ' ', 'g'), '&(?:amp;)+', '&', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&nbsp;', ' ') as text from h"""
+    select doc_id, replace(replace(replace(replace(replace(replace(regexp_replace(replace(regexp_replace(html, '(?s)<script.*?(?:</script>|\\z)|<style.*?(?:</style>|\\z)|(<)[^>]*>|<[^>]*\\z', '\\1', 'g'), '<', ' '), '&(?:amp;)+', '&', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&nbsp;', ' ') as text from h"""
 )
 def strip_html(spark, d):
     body = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
@@ -363,7 +388,7 @@ def strip_xml(spark, d):
 @query(
     f"""select id, regexp_extract(path, '[^/]*$') as name, regexp_extract(path, '^(.*)/[^/]*$', 1) as parent, length(path) - length(replace(path, '/', '')) as depth,
     case when {_EXT} = '' then 'FILE' else upper(substring({_EXT}, 1, 5)) end as badge,
-    case when regexp_extract(name, '[A-Za-z]') = '' then '?' else upper(regexp_extract(name, '[A-Za-z]')) end as monogram,
+    case when regexp_extract(name, '[A-Za-z]') <> '' then upper(regexp_extract(name, '[A-Za-z]')) when name = '' then '#' else substring(name, 1, 1) end as monogram,
     case when path = '/home/desk' then '~' when starts_with(path, '/home/desk/') then '~' || substring(path, 11) else path end as short from files"""
 )
 def path_parts(spark, d):

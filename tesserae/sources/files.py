@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import fnmatch
 import io
+import os
 import shutil
 import subprocess
 import tempfile
@@ -26,6 +27,9 @@ MEMBERS = {
     "odt": ("content.xml",), "ods": ("content.xml",), "odp": ("content.xml",),
     "epub": ("*.xhtml", "*.html", "*.htm"),
 }
+#: Folders skipped, and folders never read.
+NOISE = (".git", "node_modules", ".cache", "target", ".venv", "__pycache__", ".cargo", ".rustup", "go/pkg", ".local/share/Trash", ".npm", "build")
+PRIVATE = ("~/.ssh", "~/.gnupg", "~/.mozilla", "~/.local/share/keyrings", "~/.password-store")
 _BY_MIME = (("wordprocessingml", "docx"), ("spreadsheetml", "xlsx"), ("presentationml", "pptx"), ("opendocument", "odt"), ("epub", "epub"))
 
 
@@ -47,22 +51,28 @@ class ContentConfig:
     reconcile_interval_degraded_s: int = 180
 
     @classmethod
-    def load(cls, path: str, private: tuple[str, ...] = ()) -> ContentConfig:
-        """From the tables [content] and [search] of a TOML file: roots and excludes fall back to [search], private
-        folders are added to the configured ones. A missing file gives the defaults."""
+    def load(cls, path: str, home: str = "~") -> ContentConfig:
+        """From the tables [content] and [search] of a TOML file. Roots and excludes are the first list that isn't empty
+        of [content], [search] (file_roots, file_excludes) and the defaults; private folders are added to the default
+        ones. ~ is the home folder. A missing or malformed file gives the defaults."""
+        home = os.path.expanduser(home)
+
+        def full(paths: list[str]) -> list[str]:
+            return [home + p[1:] if p == "~" or p.startswith("~/") else p for p in paths]
+
         try:
             with open(path, "rb") as f:
                 data = tomllib.load(f)
-        except FileNotFoundError:
+        except (FileNotFoundError, tomllib.TOMLDecodeError):
             data = {}
         content, search = data.get("content", {}), data.get("search", {})
-        paths = [p["path"] if isinstance(p, dict) else p for p in search.get("paths", [])]
         known = {k: v for k, v in content.items() if k in cls.__dataclass_fields__ and type(v) is type(getattr(cls(), k, v))}
         out = cls(**known)
-        out.roots = content.get("roots") or paths
-        out.excludes = content.get("excludes") or search.get("excludes", [])
-        out.exclude_paths = list(dict.fromkeys([*private, *content.get("exclude_paths", [])]))
-        out.extractors = tuple(content.get("extractors", out.extractors))
+        out.roots = full(content.get("roots") or search.get("file_roots") or [home])
+        out.excludes = content.get("excludes") or search.get("file_excludes") or list(NOISE)
+        out.exclude_paths = list(dict.fromkeys(full([*PRIVATE, *content.get("exclude_paths", [])])))
+        out.extractors = tuple(content.get("extractors") or out.extractors)
+        out.match = "substring" if out.match == "substring" else "prefix"
         return out
 
 
@@ -92,7 +102,7 @@ def _run(command: list[str], content: bytes, suffix: str, timeout_s: float, most
 
 def read_text(content: bytes, ext: str, mime: str, config: ContentConfig) -> tuple[str, str]:
     head = content[:8192]
-    odd = sum(b < 32 and b not in (9, 10, 13) for b in head)
+    odd = sum(b < 32 and not 9 <= b <= 13 for b in head)
     if not head or 0 in head or odd * 100 >= len(head) * 5:
         return "unsupported", ""
     return "ok", content.decode("utf-8", "replace")
@@ -136,9 +146,9 @@ IMPORTERS: dict[str, Callable[[bytes, str, str, ContentConfig], tuple[str, str]]
 
 
 def clean_text(text: str, most: int) -> str:
-    """At most `most` bytes, without NUL, other control characters as blanks."""
+    """At most `most` bytes, without NUL, other control characters but the white ones as blanks."""
     text = text.encode("utf-8", "surrogatepass")[:most].decode("utf-8", "replace")
-    return text.replace("\x00", "").translate({c: " " for c in range(32) if c not in (9, 10, 13)})
+    return text.replace("\x00", "").translate({c: " " for c in range(32) if not 9 <= c <= 13})
 
 
 def extracted(files: DataFrame, config: ContentConfig) -> DataFrame:

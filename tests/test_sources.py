@@ -45,10 +45,12 @@ def test_listing(spark, tmp_path):
 
 def test_config(tmp_path):
     p = tmp_path / "c.toml"
-    p.write_text('[content]\nroots = []\nmax_text_mb = 3\nexclude_paths = ["/x"]\nmatch = "substring"\n[search]\nexcludes = ["e"]\n[[search.paths]]\npath = "/p"\nenabled = false\n')
-    c = ContentConfig.load(str(p), private=("/ssh",))
-    assert (c.roots, c.excludes, c.exclude_paths, c.max_text_mb, c.match) == (["/p"], ["e"], ["/ssh", "/x"], 3, "substring")
-    assert ContentConfig.load(str(tmp_path / "none")).min_query == 3
+    p.write_text('[content]\nroots = []\nmax_text_mb = 3\nexclude_paths = ["/x"]\nmatch = "substring"\n[search]\nfile_excludes = ["e"]\nfile_roots = ["~/p"]\n')
+    c = ContentConfig.load(str(p), "/h")
+    assert (c.roots, c.excludes, c.max_text_mb, c.match) == (["/h/p"], ["e"], 3, "substring")
+    assert c.exclude_paths[0] == "/h/.ssh" and c.exclude_paths[-1] == "/x"
+    c = ContentConfig.load(str(tmp_path / "none"), "/h")
+    assert c.min_query == 3 and c.roots == ["/h"] and ".git" in c.excludes
 
 
 def test_applications(spark):
