@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .maintain import numbered
+
 #: Section of each kind.
 SECTIONS = {"calculator": "APPLICATIONS", "command": "APPLICATIONS", "application": "APPLICATIONS", "file": "FILES & FOLDERS", "folder": "FILES & FOLDERS", "content": "CONTENTS"}
 ORDER = ("calculator", "command", "application", "file", "folder", "content")
@@ -46,17 +48,13 @@ def groups(windows: DataFrame) -> DataFrame:
         F.max("used").alias("used"), F.count("*").alias("windows"), F.bool_or("active").alias("any_active"), F.bool_and("minimized").alias("all_minimized"),
         F.min_by("handle", F.struct(priority, "seq", "handle")).alias("primary"),
     )
-    return g.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("used"), "app")))
+    return numbered(g, F.desc("used"), "app").withColumn("rank", F.col("number").cast("int")).drop("number")
 
 
 def cycle(ranked: DataFrame) -> DataFrame:
     """ranked (rank, app) with the next and previous app, around the ends, and whether it is preselected (the second)."""
-    w = Window.orderBy("rank")
-    ends = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    n = F.count("*").over(ends)
-    return ranked.select(
-        "rank", "app",
-        F.coalesce(F.lead("app").over(w), F.first("app").over(ends)).alias("next_app"),
-        F.coalesce(F.lag("app").over(w), F.last("app").over(ends)).alias("previous_app"),
-        (F.col("rank") == F.when(n > 1, 2).otherwise(1)).alias("preselected"),
-    )
+    total = ranked.agg(F.count("*").cast("int").alias("n")).withColumn("one", F.lit(1))
+    r = ranked.select("rank", "app", F.lit(1).alias("one")).join(F.broadcast(total), "one").drop("one")
+    after = r.select(((F.col("rank") + F.col("n") - 2) % F.col("n") + 1).alias("rank"), F.col("app").alias("next_app"))
+    before = r.select((F.col("rank") % F.col("n") + 1).alias("rank"), F.col("app").alias("previous_app"))
+    return r.join(after, "rank").join(before, "rank").select("rank", "app", "next_app", "previous_app", (F.col("rank") == F.least(F.lit(2), F.col("n"))).alias("preselected"))

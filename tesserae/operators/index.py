@@ -76,13 +76,27 @@ class Index:
         postings = each.select("id", "col", "pos", F.explode(F.when(F.col("t.whole").isNull(), F.array(F.struct(F.col("t.term").alias("term"), F.lit(False).alias("colocated")))).otherwise(F.array(F.struct(F.col("t.term").alias("term"), F.lit(False).alias("colocated")), F.struct(F.col("t.whole").alias("term"), F.lit(True).alias("colocated"))))).alias("p")).select("p.term", "id", "col", "pos", "p.colocated")
         return cls(postings, arrays.select("id", _length()), docs, files, arrays=arrays)
 
+    def bucketed_postings(self) -> DataFrame:
+        b = self.postings.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
+        return b.repartitionByRange("bucket", "term", "id").sortWithinPartitions("bucket", "term", "id", "col", "pos")
+
     def write(self, path: str) -> None:
         """Postings partitioned by a bucket of the term and sorted by it, so that term ranges are pruned."""
-        bucketed = self.postings.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
-        bucketed.repartitionByRange("bucket", "term", "id").sortWithinPartitions("bucket", "term", "id", "col", "pos").write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/postings")
+        self.bucketed_postings().write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/postings")
         self.lengths.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/lengths")
         self.docs.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/docs")
 
+    def updated(self, changed: DataFrame, gone: DataFrame | None = None) -> Index:
+        """The index after documents (id, name, body) changed or came, and ids of gone went: their postings are dropped
+        by an anti-join and those of the changed ones, computed alone, are added."""
+        new = Index.of(changed)
+        out = changed.select("id") if gone is None else changed.select("id").unionByName(gone.select("id"))
+
+        def swap(old: DataFrame, more: DataFrame) -> DataFrame:
+            return old.join(out, "id", "left_anti").select(more.columns).unionByName(more)
+
+        return Index(swap(self.postings, new.postings), swap(self.lengths, new.lengths), swap(self.docs, new.docs), self.files)
+
     @classmethod
     def read(cls, spark: SparkSession, path: str, files: DataFrame | None = None) -> Index:
         return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"), spark.read.parquet(f"{path}/docs"), files, True)

@@ -11,12 +11,13 @@ from __future__ import annotations
 
 import json
 import uuid
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import within
+from ..session import staged
 
 INDEXED, PENDING, TOMBSTONE, ERROR = 0, 1, 2, 3
 FILE_COLUMNS = ("id", "path", "name", "parent", "size", "mtime_ns", "mime", "content_hash", "indexed_at", "state")
@@ -64,10 +65,12 @@ def upsert(files: DataFrame, updates: DataFrame) -> DataFrame:
     return kept.select(cols).unionByName(known.select(cols)).unionByName(fresh.select(cols))
 
 
-def numbered(df: DataFrame, key: str) -> DataFrame:
-    """df with `number`, 1.. in order of key (unique), without gathering it in one task: counts per range come first."""
-    parts = df.repartitionByRange(key).withColumn("_part", F.spark_partition_id())
-    w = Window.partitionBy("_part").orderBy(key)
+def numbered(df: DataFrame, *order: str | Column) -> DataFrame:
+    """df with `number`, 1.. in an order without ties, without gathering it in one task: counts per range come first.
+
+    The ranges are written to the shared folder, as rows must not move between counting and numbering."""
+    parts = staged(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    w = Window.partitionBy("_part").orderBy(*order)
     local = parts.withColumn("_n", F.row_number().over(w))
     sizes = parts.groupBy("_part").agg(F.count("*").alias("_c"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
@@ -126,11 +129,11 @@ class Manifest:
     schema_version: int = 2
     match_mode: str = "prefix"
     tokenizer: str = "segments"
-    version: str = ""
+    tables: dict[str, str] = field(default_factory=dict)  # name -> folder of its current version
 
 
 class SnapshotStore:
-    """files and docs as versioned Parquet under one folder; manifest.json names the current version."""
+    """Tables as versioned Parquet under one folder; manifest.json names the current version of each."""
 
     def __init__(self, spark: SparkSession, path: str, writer: bool = False, match_mode: str = "prefix") -> None:
         self.spark, self.path = spark, path.rstrip("/")
@@ -156,22 +159,18 @@ class SnapshotStore:
         return Manifest(**{k: v for k, v in known.items() if k in Manifest.__dataclass_fields__})
 
     def table(self, name: str) -> DataFrame | None:
-        return self.spark.read.parquet(f"{self.path}/{self.manifest.version}/{name}") if self.manifest.version else None
+        return self.spark.read.parquet(f"{self.path}/{self.manifest.tables[name]}") if name in self.manifest.tables else None
 
-    def commit(self, **tables: DataFrame) -> None:
-        """Write the tables as a new version (those not given are carried over), then swap the manifest."""
+    def commit(self, partition: dict[str, str] | None = None, **tables: DataFrame) -> None:
+        """Write new versions of the tables given (partitioned by a column where named), then swap the manifest; the
+        others stay as they are."""
         if not self.writer:
             raise PermissionError("opened for reading")
         version = uuid.uuid4().hex
-        old = self.manifest.version
         for name, df in tables.items():
-            df.write.option("compression", "zstd").parquet(f"{self.path}/{version}/{name}")
-        if old:
-            for status in self._fs.listStatus(self._hadoop.Path(f"{self.path}/{old}")):
-                name = status.getPath().getName()
-                if name not in tables:
-                    self.spark.read.parquet(f"{self.path}/{old}/{name}").write.option("compression", "zstd").parquet(f"{self.path}/{version}/{name}")
-        self.manifest.version = version
+            w = df.write.option("compression", "zstd")
+            (w.partitionBy(partition[name]) if partition and name in partition else w).parquet(f"{self.path}/{name}-{version}")
+            self.manifest.tables[name] = f"{name}-{version}"
         tmp = self._hadoop.Path(f"{self.path}/manifest.{version}")
         out = self._fs.create(tmp, True)
         out.write(bytearray(json.dumps(asdict(self.manifest)), "utf-8"))
@@ -181,11 +180,11 @@ class SnapshotStore:
         self._fs.rename(tmp, final)
 
     def vacuum(self) -> None:
-        """Remove versions other than the current one."""
+        """Remove versions other than the current ones."""
         for status in self._fs.listStatus(self._hadoop.Path(self.path)):
-            name = status.getPath().getName()
-            if status.isDirectory() and name != self.manifest.version:
+            if status.isDirectory() and status.getPath().getName() not in self.manifest.tables.values():
                 self._fs.delete(status.getPath(), True)
 
     def bytes(self) -> int:
-        return self._fs.getContentSummary(self._hadoop.Path(f"{self.path}/{self.manifest.version}")).getLength() if self.manifest.version else 0
+        """Size of the current versions."""
+        return sum(self._fs.getContentSummary(self._hadoop.Path(f"{self.path}/{t}")).getLength() for t in self.manifest.tables.values())

@@ -104,6 +104,15 @@ def name_trigrams(spark, d):
     return _files(spark, d).filter("name is not null").select("id", F.explode(trigrams(F.col("name"))).alias("gram"))
 
 
+@query(f"with {_POSTINGS} select term, id, col, pos::int as pos, colocated from postings where id % 4 <> 0")
+def incremental_postings(spark, d):
+    """An index of other texts, brought up to date: even ids have changed, every fourth document has gone."""
+    docs = _docs(spark, d)
+    stale = docs.withColumn("body", F.when(F.col("id") % 2 == 0, F.reverse("body")).otherwise(F.col("body")))
+    ix = Index.of(stale).updated(docs.filter("id % 2 = 0 and id % 4 <> 0"), docs.filter("id % 4 = 0").select("id"))
+    return ix.postings.select("term", "id", "col", "pos", "colocated")
+
+
 # ---------------------------------------------------------------- ranking
 
 
