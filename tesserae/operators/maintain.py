@@ -32,7 +32,8 @@ def decide(listing: DataFrame, files: DataFrame) -> DataFrame:
     """(path, action) of every listed file: new, unchanged (indexed, same size and time), touch (same content, only
     metadata differs) or index. listing may have content_hash, computed for candidates only."""
     known = files.filter("path is not null").select("path", F.col("size").alias("old_size"), F.col("mtime_ns").alias("old_mtime"), F.col("content_hash").alias("old_hash"), F.col("state").alias("old_state"))
-    joined = listing.filter("path is not null").join(known, "path", "left")
+    given = [c for c in ("path", "size", "mtime_ns", "content_hash") if c in listing.columns]
+    joined = listing.select(given).filter("path is not null").join(known, "path", "left")
     same = (F.col("size") == F.col("old_size")) & (F.col("mtime_ns") == F.col("old_mtime"))
     action = F.when(F.col("old_state").isNull(), "new").when((F.col("old_state") == INDEXED) & same, "unchanged")
     if "content_hash" in listing.columns:
@@ -54,7 +55,8 @@ def _latest(updates: DataFrame) -> DataFrame:
 def upsert(files: DataFrame, updates: DataFrame) -> DataFrame:
     """files with the rows of updates (all columns but id) in place of those of equal path, which keep their id; new
     paths get ids after the largest, in order of path."""
-    new = _latest(updates)
+    given = [c for c in (*FILE_COLUMNS, "seq") if c in updates.columns]
+    new = _latest(updates.select(given))
     ids = files.groupBy("path").agg(F.min("id").alias("id"))
     known = new.drop("id").join(ids, "path")
     fresh = new.drop("id").join(ids, "path", "left_anti")
@@ -79,10 +81,10 @@ def numbered(df: DataFrame, *order: str | Column) -> DataFrame:
 
 def touch(files: DataFrame, seen: DataFrame) -> DataFrame:
     """New size and time of seen paths (path, size, mtime_ns); they become indexed, errors too."""
-    s = seen.filter("path is not null").groupBy("path").agg(F.max(F.struct("mtime_ns", "size")).alias("s"))
+    s = seen.filter("path is not null").groupBy("path").agg(F.max(F.struct("mtime_ns", "size")).alias("_seen"))
     j = files.join(s, "path", "left")
-    hit = F.col("s").isNotNull()
-    return j.withColumn("size", F.when(hit, F.col("s.size")).otherwise(F.col("size"))).withColumn("mtime_ns", F.when(hit, F.col("s.mtime_ns")).otherwise(F.col("mtime_ns"))).withColumn("state", F.when(hit, INDEXED).otherwise(F.col("state"))).select(files.columns)
+    hit = F.col("_seen").isNotNull()
+    return j.withColumn("size", F.when(hit, F.col("_seen.size")).otherwise(F.col("size"))).withColumn("mtime_ns", F.when(hit, F.col("_seen.mtime_ns")).otherwise(F.col("mtime_ns"))).withColumn("state", F.when(hit, INDEXED).otherwise(F.col("state"))).select(files.columns)
 
 
 def remove(files: DataFrame, paths: DataFrame) -> DataFrame:

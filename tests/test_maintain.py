@@ -77,3 +77,11 @@ def test_snapshots(spark, tmp_path):
     with pytest.raises(m.IndexUnavailable, match="version_mismatch"):
         m.SnapshotStore(spark, path)
     assert m.SnapshotStore(spark, path, writer=True).table("files") is None
+
+
+def test_clashing_columns(spark):
+    f = files(spark, [(1, "/a", 1, 1, None, 0)])
+    more = f.withColumns({c: F.lit(5) for c in ("old_size", "old_state", "top", "one", "number", "_part", "s", "action")})
+    assert [r.action for r in m.decide(more, f).collect()] == ["unchanged"]
+    assert state(m.upsert(f, more.withColumn("path", F.lit("/b")))) == {"/a": (1, 1, 0), "/b": (2, 1, 0)}
+    assert state(m.touch(more, f)) == {"/a": (1, 1, 0)}
