@@ -5,8 +5,11 @@ from __future__ import annotations
 import atexit
 import os
 import re
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -71,3 +74,21 @@ def spread(df: DataFrame) -> DataFrame:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the package to the Python workers, unless PYTHONPATH already does."""
+    root = Path(__file__).resolve().parent.parent
+    context = spark.sparkContext
+    if context.applicationId in _shipped or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    _shipped.add(context.applicationId)
+    archive = Path(tempfile.mkdtemp(prefix="tesserae-")) / "tesserae.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted((root / "tesserae").rglob("*.py")):
+            z.write(p, p.relative_to(root))
+    context.addPyFile(str(archive))
+    atexit.register(shutil.rmtree, archive.parent, True)
