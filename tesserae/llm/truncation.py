@@ -6,7 +6,7 @@ far more frequent than its neighbours is a storage limit; limits named in the op
 are tried first, the others on what those leave unexplained.
 
 Endings: the last line is held against the form of its text (prose, rows of a list, table, settings, code), and the last
-word against the words of all texts: one never seen whole elsewhere, but seen as the beginning of longer words, is cut.
+word against the words of all texts: one never seen whole elsewhere, but seen as the beginning of longer words, is cut, and so is an unknown word that ends as no known one does.
 A text is truncated if its ending shows it, or if it is as long as a limit and its ending doesn't show it complete.
 
 Defined results: null and empty texts are no case and count in no share; a null or unknown source is a source of its
@@ -225,6 +225,7 @@ def truncated(texts: DataFrame, declared: DataFrame, closing: int = 5) -> DataFr
     parts = staged(src.select("text").mapInArrow(_parts, "part string, n long").groupBy("part").agg(F.sum("n").alias("n")))
     longer = parts.select("n", F.explode(F.expr("transform(sequence(1, greatest(length(part) - 1, 1)), i -> substring(part, 1, i))")).alias("last"), "part").filter("last <> part").join(last, "last", "left_semi").groupBy("last").agg(F.sum("n").alias("longer"))
     whole = parts.join(last, F.col("part") == F.col("last"), "left_semi").select(F.col("part").alias("last"), F.col("n").alias("whole"))
+    ends = parts.filter("length(part) >= 4").groupBy(F.expr("right(part, 3)").alias("tail")).agg(F.sum("n").alias("ended"))
     # closing formulas: short lines that end many texts, or stand before their last line
     every = look.select(F.explode(F.array("last_line", "line_before")).alias("line")).filter("line is not null and line <> ''").groupBy("line").agg(F.count("*").alias("alike"))
     lines = staged(every.filter(F.col("alike") >= closing))
@@ -235,8 +236,11 @@ def truncated(texts: DataFrame, declared: DataFrame, closing: int = 5) -> DataFr
         .agg(F.sum("alike").alias("going_on"))
     )
     joined = atl.join(longer, "last", "left").join(whole, "last", "left").join(lines.withColumnRenamed("line", "last_line"), "last_line", "left").join(starts, "last_line", "left")
+    joined = joined.withColumn("tail", F.expr("right(last, 3)")).join(ends, "tail", "left")
     whole_n, longer_n = F.coalesce("whole", F.lit(0)), F.coalesce("longer", F.lit(0))
     broken = (F.col("last") != "") & (longer_n > 0) & ((whole_n == 0) | (whole_n * 60 < longer_n))
+    # a word seen nowhere, and ending as no word does
+    broken = broken | F.col("last").rlike("^[a-z]{4,}$") & (whole_n == 0) & (longer_n == 0) & F.col("ended").isNull()
     closed = (F.col("form") == "short") & (F.coalesce("alike", F.lit(0)) >= closing)
     broken = broken | (F.col("form") == "short") & (F.coalesce("going_on", F.lit(0)) > 0) & (F.size(F.split("last_line", " ")) < 4)
     cut = (F.col("verdict") == "cut") | (F.col("verdict") == "open") & ~closed & (broken | (F.col("form") != "path") & (F.col("at_limit") | F.col("by_limit") & (F.col("form") != "short")))
