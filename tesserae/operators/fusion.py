@@ -2,6 +2,10 @@
 
 Providers give (kind, name, path, score, seq). The best score of all but content becomes the Top Hit (the first of
 equals), the others keep their provider's order; content hits come last, in their own order.
+
+Defined results: no items give no lines; a null score ranks last; equal scores keep the provider's order; items of a kind
+without section, or null, keep their place with a null section. Windows of a null app form one group; null flags count
+as not set. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,9 +29,9 @@ def best_per_group(items: DataFrame, group: str, k: int) -> DataFrame:
 def fuse(items: DataFrame) -> DataFrame:
     """(position, section, kind, name, path, score): items are the few rows that providers return, each capped."""
     place = F.array_position(F.array(*[F.lit(k) for k in ORDER]), F.col("kind")).cast("int")
-    items = items.withColumn("provider", F.when(F.col("kind").isin("file", "folder"), 4).otherwise(place))
-    content = F.col("kind") == "content"
-    ranked = items.withColumn("best", F.row_number().over(Window.orderBy(content.cast("int"), F.when(~content, -F.col("score")), "provider", "seq")))
+    items = items.withColumn("provider", F.when(F.col("kind").isin("file", "folder"), 4).otherwise(F.when(place > 0, place).otherwise(5)))
+    content = F.coalesce(F.col("kind") == "content", F.lit(False))
+    ranked = items.withColumn("best", F.row_number().over(Window.orderBy(content.cast("int"), F.when(~content, -F.col("score")).asc_nulls_last(), "provider", "seq")))
     line = ranked.withColumn("position", F.row_number().over(Window.orderBy((F.col("best") != 1).cast("int"), "provider", "seq")))
     section = F.create_map(*[F.lit(x) for kv in SECTIONS.items() for x in kv])
     return line.select("position", F.when(F.col("position") == 1, "TOP HIT").otherwise(section[F.col("kind")]).alias("section"), "kind", "name", "path", "score")
@@ -44,6 +48,7 @@ def groups(windows: DataFrame) -> DataFrame:
     """Windows (handle, app, active, minimized, seq, used) by app, most recently used first: rank, windows, any_active,
     all_minimized, primary (active, then not minimized, then first)."""
     priority = F.when(F.col("active"), 0).when(~F.col("minimized"), 1).otherwise(2)
+    windows = windows.withColumns({k: F.coalesce(k, F.lit(False)) for k in ("active", "minimized")})
     g = windows.groupBy("app").agg(
         F.max("used").alias("used"), F.count("*").alias("windows"), F.bool_or("active").alias("any_active"), F.bool_and("minimized").alias("all_minimized"),
         F.min_by("handle", F.struct(priority, "seq", "handle")).alias("primary"),

@@ -8,8 +8,8 @@ documents of one leader follows from their differences to it alone (`_overlap_by
 are equal form one class, computed once and represented by its lowest id.
 
 Defined results: null, empty and short texts (fewer than min_terms terms, or fewer than `width`) have no row in any
-result; repeated ids count once each row is distinct by (id, set) - ids are expected to be unique; an empty table gives
-empty results; extra columns are ignored.
+result; repeated rows count once (rows of one id but different texts are not expected); an empty table gives empty
+results; extra columns are ignored; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -241,8 +241,9 @@ def classes(sets: DataFrame) -> DataFrame:
 def near_copies(docs: DataFrame, id_col: str = "id", text_col: str = "body_z", num: int = 1, den: int = 2, width: int = 3, min_terms: int = 20, block: int = 4096) -> tuple[DataFrame, DataFrame]:
     """(members: id, rep; links: id_a, id_b, n_a, n_b, common between representatives)."""
     sets = staged(run_sets(docs, id_col, text_col, width, min_terms))
-    members = staged(classes(sets))
-    reps = staged(sets.join(members.filter("id = rep").select("id"), "id", "left_semi").select("id", "n", "bits", "items"))
+    members = staged(classes(sets).distinct())
+    # the join has the rows of an id together, so that dropping repeated ones moves nothing
+    reps = staged(sets.join(members.filter("id = rep").select("id"), "id", "left_semi").dropDuplicates(["id"]).select("id", "n", "bits", "items"))
     return members, similar_sets(reps, num, den, block)
 
 

@@ -16,6 +16,9 @@ def test_content_alone(spark):
     lines = f.fuse(spark.createDataFrame([("content", "b", "", 1.0, 1), ("content", "a", "", 9.0, 2)], S)).orderBy("position").collect()
     assert [(r.name, r.section) for r in lines] == [("b", "TOP HIT"), ("a", "CONTENTS")]
     assert f.fuse(spark.createDataFrame([], S)).count() == 0
+    odd = [("file", "a", None, None, 1), ("file", "b", "", 3.0, 2), (None, "c", "", 1.0, 1), ("content", None, "", 9.0, 1)]
+    lines = f.fuse(spark.createDataFrame(odd, S)).orderBy("position").collect()
+    assert [(r.name, r.section) for r in lines] == [("b", "TOP HIT"), ("a", "FILES & FOLDERS"), ("c", None), (None, "CONTENTS")]
 
 
 def test_groups(spark):

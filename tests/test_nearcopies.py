@@ -63,6 +63,16 @@ def test_defined_cases(spark):
     groups = {r.id: (r.group_id, r.links) for r in near_copy_groups(df).collect()}
     assert groups == {4: (4, 1), 5: (4, 1), 6: (4, 1), 7: (4, 1)}
     assert near_copy_pairs(df.limit(0)).count() == 0
+    twice = near_copy_pairs(df.unionByName(df)).collect()
+    assert len(twice) == 6 and {(r.id_a, r.id_b) for r in twice} == {(4, 5), (4, 6), (4, 7), (5, 6), (5, 7), (6, 7)}
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(1)
+    long = [f"w{rng.randrange(5000)}" for _ in range(60_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(long[:45_000])), (3, " ".join(long[:20_000])), (4, " ".join(reversed(long)))]
+    df = spark.createDataFrame(rows, "id long, body_z string")
+    assert {(r.id_a, r.id_b) for r in near_copy_pairs(df).collect()} == brute(rows) == {(1, 2)}
 
 
 def test_groups_are_components(spark):
