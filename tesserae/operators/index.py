@@ -237,6 +237,24 @@ class Index:
         # at most `limit` rows on the broadcast side
         return F.broadcast(top).join(self.files.select("id", "path", "name", "mime"), "id").select("id", "path", "name", "mime", "score").orderBy(F.desc("score"), "id")
 
+    def search_batch(self, texts: dict[int, str], limit: int = 10) -> DataFrame:
+        """(query, rank, id, score): the best `limit` documents of many queries (exact words, no predicates) in one job.
+
+        One pass over the postings of all their terms; phrases come together by the position of their first segment."""
+        rows = [(q, p, k, t, len(phrase.terms), len(wanted)) for q, text in texts.items() for wanted in [phrases(text, False)] for p, phrase in enumerate(wanted) for k, t in enumerate(phrase.terms)]
+        asked = self.postings.sparkSession.createDataFrame(rows, "query long, phrase int, k int, term string, segments int, phrases int")
+        exact = sorted({r[3] for r in rows})
+        # the side of the queries' terms has as many rows as the caller wrote words
+        hits = self._terms(F.col("term").isin(exact) if len(exact) <= 1000 else F.lit(True), exact).join(F.broadcast(asked) if len(rows) <= 100_000 else asked, "term")
+        places = hits.groupBy("query", "phrase", "phrases", "segments", "id", "col", (F.col("pos") - F.col("k")).alias("start")).agg(F.count_distinct("k").alias("n")).filter("n = segments")
+        tf = places.groupBy("query", "phrase", "phrases", "id").agg(F.sum(F.when(F.col("col") == 0, WEIGHT_NAME).otherwise(WEIGHT_BODY)).alias("tf"))
+        df = tf.groupBy("query", "phrase").agg(F.count("*").alias("df"))
+        corpus = self.corpus().select("n_docs", "avg_len", F.lit(1).alias("one"))
+        scored = tf.join(df, ["query", "phrase"]).join(self.lengths, "id").withColumn("one", F.lit(1)).join(F.broadcast(corpus), "one")
+        total = scored.groupBy("query", "id").agg(F.sum(_part(F.col("tf"), F.col("df"))).alias("score"), F.count("*").alias("found"), F.first("phrases").alias("phrases")).filter("found = phrases")
+        rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
+        return total.withColumn("rank", rank).filter(F.col("rank") <= limit).select("query", "rank", "id", "score")
+
     def _empty(self) -> DataFrame:
         return self.postings.sparkSession.createDataFrame([], "id long, path string, name string, mime string, score double")
 

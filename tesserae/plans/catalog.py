@@ -182,6 +182,23 @@ def search_full(spark, d):
     return hits.withColumn("score", F.round("score", 6))
 
 
+_BATCH = {1: "archive", 2: "archive folder", 3: "quickArchive", 4: "xyzzy", 5: "---"}
+
+
+@query(
+    " union all ".join(
+        f"select {q}::bigint as query, row_number() over (order by score desc, id)::int as rank, id, score from ({sql})"
+        for q, sql in (
+            (1, _bm25(["select distinct id, col, pos from postings where term = 'archive'"], 10)),
+            (2, _bm25(["select id, col, pos from postings where term = 'archive'", "select id, col, pos from postings where term = 'folder'"], 10)),
+            (3, _bm25(["select a.id, a.col, a.pos from postings a join postings b on a.id = b.id and a.col = b.col and b.pos = a.pos + 1 where a.term = 'quick' and b.term = 'archive'"], 10)),
+        )
+    )
+)
+def search_batch(spark, d):
+    return _index(spark, d).search_batch(_BATCH).withColumn("score", F.round("score", 6))
+
+
 @query(
     f"""with {_POSTINGS}, w as (select unnest(['archive', 'folder', 'xyzzy']) as term)
     select w.term, count(distinct p.id)::bigint as doc from w left join postings p using (term) group by w.term"""

@@ -78,6 +78,19 @@ def test_written_index(spark, tmp_path):
         assert ids(back.search(q, 20)) == ids(ix.search(q, 20))
 
 
+def test_batch(spark):
+    rows = [(k, f"doc {k}", f"common word{k % 5} targetFile" + " filler" * (k % 7)) for k in range(50)]
+    ix = make(spark, rows)
+    texts = {7: "common", 8: "word3 common", 9: "targetFile", 10: "absent", 11: "", 12: "doc 3"}
+    got: dict = {}
+    for r in ix.search_batch(texts, 5).orderBy("query", "rank").collect():
+        got.setdefault(r["query"], []).append((r.id, round(r.score, 9)))
+    for q, text in texts.items():
+        want = [(r.id, round(r.score, 9)) for r in ix.search(text, 5, plan="bounded", budget=100).collect()] if text else []
+        assert got.get(q, []) == want
+    assert ix.search_batch({}).count() == 0
+
+
 def test_metadata(spark):
     rows = [
         (1, "/d/report.pdf", "report.pdf", "application/pdf", 5000, NOW, 0),
