@@ -10,10 +10,11 @@ from .encodings import LanguageModel, mended
 from .lookalike import plain_forms
 from .mixing import mix, shares
 from .splitting import split, split_report
-from .truncation import source_shares, truncated
+from .truncation import exposed_limits, source_shares, truncated
 
 
-def _cut(spark, d):
+def _texts(spark, d):
+    """(texts: origin, rec_id, source, text; declared: source, value)."""
     options = table(spark, d, "extract_options")
     results = table(spark, d, "extract_results").select(F.lit("extract_results").alias("origin"), F.col("result_id").alias("rec_id"), "source", "text")
     docs = table(spark, d, "docs").select("id", "body_z").filter("body_z is not null and body_z <> ''")
@@ -24,7 +25,11 @@ def _cut(spark, d):
         source = F.when(F.col("path").startswith(r["root"].rstrip("/") + "/"), r["source"]).otherwise(source)
     known = table(spark, d, "files").select("id", source.alias("source"))
     bodies = docs.join(known, "id", "left").select(F.lit("docs").alias("origin"), F.col("id").alias("rec_id"), "source", F.col("body_z").alias("text"))
-    return truncated(results.unionByName(bodies), options.select("source", F.col("max_text_bytes").alias("value")))
+    return results.unionByName(bodies), options.select("source", F.col("max_text_bytes").alias("value"))
+
+
+def _cut(spark, d):
+    return truncated(*_texts(spark, d))
 
 
 def p1_found(spark, d):
@@ -35,6 +40,10 @@ def p1_shares(spark, d):
     return source_shares(_cut(spark, d))
 
 
+def p1_limits(spark, d):
+    return exposed_limits(*_texts(spark, d))
+
+
 def _garbled(spark, d, results):
     return mended(results, "result_id", "text", LanguageModel.fit(table(spark, d, "documents")))
 
@@ -83,5 +92,5 @@ def p8_report(spark, d):
     return split_report(p8_pieces(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_shares, p3_found, p3_forms, p5_found, p5_mended, p6_ids, p7_mix, p7_shares, p8_pieces, p8_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_shares, p1_limits, p3_found, p3_forms, p5_found, p5_mended, p6_ids, p7_mix, p7_shares, p8_pieces, p8_report)}
 ORACLES: dict[str, str] = {}

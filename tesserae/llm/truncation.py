@@ -109,7 +109,9 @@ def ending(text: str) -> tuple[str, str, str]:
         return "open", "code", last
     # prose
     if _STOP.search(line):
-        return ("open" if re.search(r"\d\.$|/[^\s]*\.$", line) else "whole"), "sentence", last
+        # a stop after some digits or in a path may be one inside a number, a date or a name
+        half = re.search(r"(?<!\d)\d{1,3}\.$|/[^\s]*\.$", line) and not _DATE.search(line[:-1])
+        return ("open" if half else "whole"), "sentence", last
     if line.rstrip()[-1] in ",;:-–—([{/\\=&+<":
         return "cut", "sentence", last
     if re.match(r"#+ \S|=+ ", line):
@@ -182,37 +184,48 @@ def measures(text: Column) -> dict[str, Column]:
     }
 
 
-def _spikes(lengths: DataFrame, names: tuple[str, ...], least: int, times: float, span: int) -> DataFrame:
-    """(source, measure, value, n): lengths at least `times` as frequent as those within `span` of them."""
+def _spikes(lengths: DataFrame, names: tuple[str, ...], least: int, share: float, times: float, span: int) -> DataFrame:
+    """(source, measure, value, n): lengths of at least `least` texts and a share of the source's, at least `times` as
+    frequent as those within `span` of them."""
     pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), F.col(k).alias("value")) for k in names]))
     count = lengths.select("source", pairs.alias("p")).groupBy("source", "p.measure", "p.value").agg(F.count("*").alias("n"))
     around = Window.partitionBy("source", "measure").orderBy("value").rangeBetween(-span, span)
     near = (F.sum("n").over(around) - F.col("n")) / (2.0 * span)
-    return count.withColumn("near", near).filter((F.col("n") >= least) & (F.col("n") >= times * (F.col("near") + 0.25))).select("source", "measure", "value", "n")
+    size = lengths.groupBy("source").agg(F.count("*").alias("size"))
+    return count.withColumn("near", near).join(size, "source").filter((F.col("n") >= least) & (F.col("n") >= share * F.col("size")) & (F.col("n") >= times * (F.col("near") + 0.25))).select("source", "measure", "value", "n")
 
 
-def storage_limits(lengths: DataFrame, declared: DataFrame, least: int = 4, times: float = 6.0, span: int = 30) -> DataFrame:
-    """(source, measure, value, n, declared) limits exposed by lengths (source and all measures) or declared
-    (source, value in bytes)."""
+def storage_limits(lengths: DataFrame, declared: DataFrame, least: int = 4, share: float = 0.002, times: float = 6.0, span: int = 30) -> DataFrame:
+    """(source, measure, value, n, declared) limits exposed by lengths (source, h: hash of the text, all measures);
+    declared: source, value in bytes. Equal texts of a source count once."""
+    lengths = lengths.select("source", "h", *PLAIN_MEASURES, *OTHER_MEASURES).dropDuplicates(["source", "h"]).drop("h")
     known = declared.select("source", F.lit("bytes").alias("measure"), "value").distinct()
-    plain = staged(_spikes(lengths, PLAIN_MEASURES, least, times, span))
+    plain = staged(_spikes(lengths, PLAIN_MEASURES, least, share, times, span))
     simple = plain.select("source", "measure", "value").unionByName(known).distinct()
     rest = lengths
     for k in PLAIN_MEASURES:
         hit = simple.filter(F.col("measure") == k).select("source", F.col("value").alias(k))
         rest = rest.join(hit, ["source", k], "left_anti")
-    other = _spikes(rest.select(*lengths.columns), OTHER_MEASURES, least, times, span)
+    other = _spikes(rest.select(*lengths.columns), OTHER_MEASURES, least, share, times, span)
     # the number of a declared limit, reached in another form
     return plain.unionByName(other).join(known.select("source", "value").distinct().withColumn("declared", F.lit(True)), ["source", "value"], "left").select("source", "measure", "value", "n", F.coalesce("declared", F.lit(False)).alias("declared"))
 
 
+def exposed_limits(texts: DataFrame, declared: DataFrame) -> DataFrame:
+    """storage_limits of texts (source, text) and declared (source, value)."""
+    src = texts.select(F.coalesce("source", F.lit("")).alias("source"), "text").filter("text is not null and text <> ''")
+    declared = declared.select(F.coalesce("source", F.lit("")).alias("source"), F.col("value").cast("int").alias("value")).filter("value is not null")
+    lengths = staged(src.select("source", F.xxhash64("text").alias("h"), *[c.alias(k) for k, c in measures(F.col("text")).items()]))
+    return storage_limits(lengths, declared).withColumn("source", F.when(F.col("source") != "", F.col("source")))
+
+
 def truncated(texts: DataFrame, declared: DataFrame, closing: int = 5) -> DataFrame:
     """(origin, rec_id, source, form, at_limit, truncated) of every text that is neither null nor empty.
 
     texts: origin, rec_id, source, text; declared: source, value (bytes)."""
     src = texts.select("origin", "rec_id", F.coalesce("source", F.lit("")).alias("source"), "text").filter("text is not null and text <> ''")
     declared = declared.select(F.coalesce("source", F.lit("")).alias("source"), F.col("value").cast("int").alias("value")).filter("value is not null")
-    look = staged(src.select("origin", "rec_id", "source", *[c.alias(k) for k, c in measures(F.col("text")).items()], "text").mapInArrow(_look, _LOOK))
+    look = staged(src.select("origin", "rec_id", "source", F.xxhash64("text").alias("h"), *[c.alias(k) for k, c in measures(F.col("text")).items()], "text").mapInArrow(_look, _LOOK))
     limits = storage_limits(look, declared)
     pairs = limits.select("source", "measure", "value").unionByName(declared.select("source", F.lit("bytes").alias("measure"), "value")).distinct()
     # limits are few: a handful for each source; they are grouped into one row per source
@@ -247,7 +260,7 @@ def truncated(texts: DataFrame, declared: DataFrame, closing: int = 5) -> DataFr
     return joined.select("origin", "rec_id", F.when(F.col("source") != "", F.col("source")).alias("source"), "form", (F.col("at_limit") | F.col("by_limit")).alias("at_limit"), F.coalesce(cut, F.lit(False)).alias("truncated"))
 
 
-_LOOK = "origin string, rec_id long, source string, " + "".join(f"{k} int, " for k in (*PLAIN_MEASURES, "utf16", *OTHER_MEASURES[1:])) + "verdict string, form string, last string, last_line string, line_before string"
+_LOOK = "origin string, rec_id long, source string, h long, " + "".join(f"{k} int, " for k in (*PLAIN_MEASURES, "utf16", *OTHER_MEASURES[1:])) + "verdict string, form string, last string, last_line string, line_before string"
 
 
 def source_shares(found: DataFrame) -> DataFrame:
