@@ -195,7 +195,7 @@ def _spikes(lengths: DataFrame, names: tuple[str, ...], least: int, share: float
     return count.withColumn("near", near).join(size, "source").filter((F.col("n") >= least) & (F.col("n") >= share * F.col("size")) & (F.col("n") >= times * (F.col("near") + 0.25))).select("source", "measure", "value", "n")
 
 
-def storage_limits(lengths: DataFrame, declared: DataFrame, least: int = 4, share: float = 0.002, times: float = 6.0, span: int = 30) -> DataFrame:
+def storage_limits(lengths: DataFrame, declared: DataFrame, least: int = 5, share: float = 0.002, times: float = 6.0, span: int = 30) -> DataFrame:
     """(source, measure, value, n, declared) limits exposed by lengths (source, h: hash of the text, all measures);
     declared: source, value in bytes. Equal texts of a source count once."""
     lengths = lengths.select("source", "h", *PLAIN_MEASURES, *OTHER_MEASURES).dropDuplicates(["source", "h"]).drop("h")
