@@ -16,7 +16,7 @@ from ..session import staged
 from ..sources.files import ContentConfig, extracted, listing
 from ..streaming.changes import SCHEMA, apply_batch, last_actions
 
-BATCH = 512  # paths read by name at a time
+BATCH, MOST = 512, 8192  # paths read by name, at a time and in all
 _FILES = "id long, path string, name string, parent string, size long, mtime_ns long, mime string, content_hash binary, indexed_at long, state int"
 
 
@@ -73,18 +73,20 @@ class ContentService:
         self._update(None, files.select("path").limit(0), files.filter(excluded(F.col("path"), [folder])).select("path"), whole=False)
 
     def _contents(self, paths: DataFrame, whole: bool) -> DataFrame | None:
-        """(path, size, mtime_ns, content) of files to read: everything under the roots, or batches of paths by name."""
-        read = self.spark.read.format("binaryFile")
-        if whole:
-            df = read.option("recursiveFileLookup", "true").load(self.config.roots)
+        """(path, size, mtime_ns, content) of files to read: up to MOST of them by name, in batches; if more, by going
+        through everything under the roots."""
+        names = [] if whole else [r.path for r in paths.limit(MOST + 1).collect()]
+        if whole or len(names) > MOST:
+            df = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(self.config.roots)
         else:
-            names = [r.path for r in paths.toLocalIterator()]
-            parts = [read.option("ignoreMissingFiles", "true").load([n.replace("[", "\\[").replace("{", "\\{") for n in self._there(names[a : a + BATCH])]) for a in range(0, len(names), BATCH) if self._there(names[a : a + BATCH])]
-            if not parts:
+            found = self._there(names)
+            if not found:
                 return None
-            df = parts[0]
-            for p in parts[1:]:
-                df = df.unionByName(p)
+            df = None
+            for a in range(0, len(found), BATCH):
+                escaped = [n.replace("[", "\\[").replace("{", "\\{") for n in found[a : a + BATCH]]
+                part = self.spark.read.format("binaryFile").option("ignoreMissingFiles", "true").load(escaped)
+                df = part if df is None else df.unionByName(part)
         df = df.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.col("length").alias("size"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), "content")
         return df.join(paths, "path", "left_semi")
 

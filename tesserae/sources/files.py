@@ -179,23 +179,20 @@ ENTRY_KEYS = {"Name": "name", "Exec": "exec", "Icon": "icon", "Categories": "cat
 def applications(entries: DataFrame) -> DataFrame:
     """Shown applications of desktop entries (path, value: the whole file), by name: the last value of each key of the
     section [Desktop Entry]; entries without name, hidden or not displayed are left out; Exec ends at its field codes."""
-    lines = entries.select("path", F.posexplode(F.split("value", "\r?\n")).alias("n", "line")).withColumn("line", F.regexp_replace("line", r"^[ \t]+", ""))
-    lines = lines.filter((F.col("line") != "") & ~F.col("line").startswith("#"))
+    lines = F.transform(F.split("value", "\r?\n"), lambda x: F.regexp_replace(x, r"^[ \t]+", ""))
     # the section of a line is the last header before it
-    parts = F.transform(F.sort_array(F.collect_list(F.struct("n", "line"))), lambda x: x["line"])
-    whole = lines.groupBy("path").agg(parts.alias("lines"))
     state = F.aggregate(
-        "lines",
+        F.filter(lines, lambda x: (x != "") & ~x.startswith("#")),
         F.struct(F.lit(False).alias("inside"), F.array().cast("array<struct<key:string,value:string>>").alias("kept")),
         lambda acc, x: F.when(x.startswith("["), F.struct((x == "[Desktop Entry]").alias("inside"), acc["kept"].alias("kept")))
         .when(acc["inside"] & x.contains("="), F.struct(acc["inside"].alias("inside"), F.concat(acc["kept"], F.array(F.struct(F.substring_index(x, "=", 1).alias("key"), F.regexp_extract(x, r"^[^=]*=(.*)$", 1).alias("value")))).alias("kept")))
         .otherwise(acc),
     )
-    kept = whole.select("path", state["kept"].alias("kept"))
+    kept = entries.filter("value is not null").select("path", state["kept"].alias("kept"))
 
     def last(key: str):
         return F.coalesce(F.try_element_at(F.filter("kept", lambda p: p["key"] == key), F.lit(-1))["value"], F.lit(""))
 
     out = kept.select("path", *[last(k).alias(v) for k, v in ENTRY_KEYS.items()], (last("NoDisplay") == "true").alias("no_display"), (last("Hidden") == "true").alias("hidden"))
     shown = out.filter((F.col("name") != "") & ~F.col("no_display") & ~F.col("hidden"))
-    return shown.withColumn("exec", F.substring_index("exec", " %", 1)).drop("no_display", "hidden")
+    return shown.withColumn("exec", F.substring_index("exec", " %", 1)).drop("no_display", "hidden").orderBy("name", "path")
