@@ -7,7 +7,8 @@ unchanged. Whole suspicious passages are tried first, then single lines, then se
 is mended in part.
 
 A passage is suspicious, and only then tried, if it has a word with a letter beyond ASCII that the language samples
-don't have, a sign next to a letter, a control character, or a run of 7-bit escapes; of the candidates, those that leave
+don't have, a sign next to a letter, a quote, dash or ellipsis inside a word (or at its edge, if a reading of both gives
+a word of the samples), a control character, or a run of 7-bit escapes; of the candidates, those that leave
 more such places than the text itself, or as many unless their bytes are valid UTF-8, are not compressed.
 
 The dictionaries and word lists are made from a bounded sample of labelled texts (`LanguageModel.fit`): per language
@@ -48,6 +49,11 @@ _WORD = regex.compile(r"[\p{L}\p{M}]*[^\x00-\x7f\P{L}][\p{L}\p{M}]*")
 #: Letters, marks, typographic quotes and dashes, blanks, invisible characters: not odd beside a letter.
 _PLAIN = r"\p{L}\p{M}“”‘’«»„‚–—…\p{Zs}\p{Cf}" + chr(0xFFFD)
 _SIGN = regex.compile(rf"(?<=\p{{L}})[^\x00-\x7f{_PLAIN}]|[^\x00-\x7f{_PLAIN}¿¡](?=\p{{L}})|[\x80-\x9f]")
+#: Quotes, dashes and ellipses where no text has them: between two letters, low quotes also after a word. They are é à ä ö
+#: ñ ó of the DOS and Macintosh encodings.
+_INSIDE = regex.compile(r"(?<=\p{L})[“”‘„‚–—…](?=\p{L})|(?<=\p{L})[‚„](?![‚„“”‘’])")
+_EDGED = regex.compile(r"[\p{L}\p{M}“”‘’„‚–—…]*[“”‘’„‚–—…][\p{L}\p{M}“”‘’„‚–—…]*")
+_CONTROL = re.compile(r"[\x00-\x08\x0e-\x1a\x1c-\x1f]")  # not the escape of terminal logs
 _COMMON = regex.compile(r"[\p{M}\p{Sc}\p{P}\p{Zs}\p{Cf}\xA0-\xBF]")
 _SEVEN = re.compile(r"\+(?:[A-Za-z0-9/+]{3,})-?")
 _CHUNK = re.compile(r"[A-Za-z]*[^\x00-\x7f][^\x00-@\[-`{-\x7f]*")  # letters and others beyond ASCII
@@ -87,9 +93,10 @@ class LanguageModel:
         self.signs = frozenset(c for texts in samples.values() for t in texts for c in set(t) if c > "\x7f" and not c.isalpha())
         self.words = frozenset(w for w, n in seen.items() if n > 1)
         self._tools: list[zstandard.ZstdCompressor] | None = None
+        self._edged: dict[str, bool] = {}
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_tools": None}
+        return self.__dict__ | {"_tools": None, "_edged": {}}
 
     @classmethod
     def fit(cls, documents: DataFrame, languages: tuple[str, ...] = ("de", "en", "es", "fr", "pt", "ru"), sample_docs: int = 250, sample_chars: int = 8000) -> LanguageModel:
@@ -126,10 +133,19 @@ class LanguageModel:
 
     def suspicion(self, text: str) -> int:
         """Places of text that the samples don't explain."""
+        n = len(_CONTROL.findall(text)) + (len(_SEVEN.findall(text)) if "+" in text else 0)
         if text.isascii():
-            return len(_SEVEN.findall(text)) if "+" in text else 0
-        n = len(_SIGN.findall(text)) + sum(w.lower() not in self.words for w in _WORD.findall(text))
-        return n + (len(_SEVEN.findall(text)) if "+" in text else 0)
+            return n
+        n += len(_SIGN.findall(text)) + sum(w.lower() not in self.words for w in _WORD.findall(text))
+        return n + sum(len(_INSIDE.findall(w)) or self.hides_word(w) for w in _EDGED.findall(text))
+
+    def hides_word(self, token: str) -> bool:
+        """Letters with quotes, dashes or ellipses that are a word of the samples under another encoding."""
+        if token not in self._edged:
+            if len(self._edged) >= 100_000:
+                self._edged.clear()
+            self._edged[token] = any(map(str.isalpha, token)) and any(c.lower() in self.words for c in candidates(token))
+        return self._edged[token]
 
 
 def word_candidates(text: str, model: LanguageModel) -> dict[str, str]:
@@ -180,13 +196,14 @@ def candidates(text: str, every: bool = False) -> dict[str, str]:
         new = _SEVEN.sub(_seven, text)
         if new != text:
             out.setdefault(new, "ascii>utf-7")
-    if "\x00" in text:
-        for wide in ("utf-16-le", "utf-16-be"):
-            raw = _bytes(text, "latin-1")
-            try:
-                out.setdefault(raw.decode(wide) if raw else text, f"latin-1>{wide}")
-            except UnicodeDecodeError:
-                pass
+    if _CONTROL.search(text):
+        for read in ("latin-1", "cp1252"):
+            raw = _bytes(text, read)
+            for wide in ("utf-16-le", "utf-16-be"):
+                try:
+                    out.setdefault(raw.decode(wide) if raw else text, f"{read}>{wide}")
+                except UnicodeDecodeError:
+                    pass
     out.pop(text, None)
     return out
 

@@ -47,6 +47,27 @@ def test_parts(model):
     assert mend(word, model)[0] == "Die geänderten Wörter wurden gelöscht."
 
 
+@pytest.mark.parametrize(("written", "text"), [("cp850", "die Wörter später"), ("cp437", "die Wörter später"), ("cp850", "Les éléments récents ont été créés"), ("mac_roman", "les résumés périmés")])
+def test_letters_that_look_like_quotes_and_dashes(model, written, text):
+    garbled = text.encode(written).decode("cp1252")
+    assert model.suspicion(garbled) and mend(garbled, model)[0] == text
+
+
+def test_dashes_inside_words():
+    spanish = LanguageModel({"es": ["Esta acción del año pasado quedó sin razón.", "Mañana será la función de otros años."] * 6})
+    for text in ("acción del año", "esta acción del año pasado"):
+        assert mend(text.encode("mac_roman").decode("cp1252"), spanish)[0] == text
+
+
+@pytest.mark.parametrize("wide", ["utf-16-le", "utf-16-be"])
+def test_wide_characters(model, wide):
+    text = "plain words only\n\nand another line"
+    assert mend(text.encode(wide).decode("latin-1"), model)[0] == text
+    assert mend(" ".join(GERMAN).encode(wide).decode("cp1252"), model)[0] == " ".join(GERMAN)
+    for t in ("„quoted“ ‘words’ — and… more", "l’archive", "\x1b[31mred\x1b[0m"):
+        assert mend(t, model) == (t, [])
+
+
 def test_unchanged(model):
     for t in [*GERMAN, *RUSSIAN, *FRENCH, *ENGLISH, "NÃO SÃO lidos", "À L'ÂGE DE 67, PÂTÉ", "┌──┐\n│ a │", "Κατάλογος", "写真", "a+b-c", "", None]:
         assert mend(t, model) == (t, [])
