@@ -8,8 +8,10 @@ is mended in part.
 
 A passage is suspicious, and only then tried, if it has a word with a letter beyond ASCII that the language samples
 don't have, a sign next to a letter, a quote, dash or ellipsis inside a word (or at its edge, if a reading of both gives
-a word of the samples), a control character, or a run of 7-bit escapes; of the candidates, those that leave
-more such places than the text itself, or as many unless their bytes are valid UTF-8, are not compressed.
+a word of the samples), a control character, or a run of 7-bit escapes. All its readings are compressed. One that
+explains nothing, leaving as many such places (unless its bytes are valid UTF-8 and bring no letter that neither text nor
+samples have), costs DOUBT more, or ODD_COST if capitals inside words or unknown letters go. A further step starts from
+the BEAM best of the readings that explain something.
 
 The dictionaries and word lists are made from a bounded sample of labelled texts (`LanguageModel.fit`): per language
 sample_docs texts of at most sample_chars characters, chosen by hash.
@@ -43,7 +45,9 @@ STEP_COST = 2.0  # bytes to name one step of a chain
 UTF8_COST = 0.5  # the same if the bytes turn out to be UTF-8, which they hardly are by chance
 MARGIN = 0.5  # bytes by which a chain has to beat the text as it is
 MAX_STEPS = 3
-TRIED = 8  # candidates of a step that are compressed, the least suspicious first
+ODD_COST = 1.0  # bytes for a reading that leaves as many suspicious places and is less odd otherwise
+DOUBT = 8.0  # bytes for a reading as odd as the text, and for each further odd place
+BEAM = 2  # readings of a step that a further one starts from
 
 _WORD = regex.compile(r"[\p{L}\p{M}]*[^\x00-\x7f\P{L}][\p{L}\p{M}]*")
 #: Letters, marks, typographic quotes and dashes, blanks, invisible characters: not odd beside a letter.
@@ -53,6 +57,10 @@ _SIGN = regex.compile(rf"(?<=\p{{L}})[^\x00-\x7f{_PLAIN}]|[^\x00-\x7f{_PLAIN}¿
 #: ñ ó of the DOS and Macintosh encodings.
 _INSIDE = regex.compile(r"(?<=\p{L})[“”‘„‚–—…](?=\p{L})|(?<=\p{L})[‚„](?![‚„“”‘’])")
 _EDGED = regex.compile(r"[\p{L}\p{M}“”‘’„‚–—…]*[“”‘’„‚–—…][\p{L}\p{M}“”‘’„‚–—…]*")
+_INNER_CAPITAL = regex.compile(r"(?<=\p{Ll})[^\x00-\x7f\P{Lu}]")
+_KNOWN_SCRIPT = regex.compile(r"[\p{Latin}\p{Cyrillic}]")
+_CYRILLIC = regex.compile(r"\p{Cyrillic}{2,}")
+_SCRIPTS = [regex.compile(rf"\p{{{k}}}") for k in ("Latin", "Cyrillic", "Greek", "Armenian")]
 _CONTROL = re.compile(r"[\x00-\x08\x0e-\x1a\x1c-\x1f]")  # not the escape of terminal logs
 _COMMON = regex.compile(r"[\p{M}\p{Sc}\p{P}\p{Zs}\p{Cf}\xA0-\xBF]")
 _SEVEN = re.compile(r"\+(?:[A-Za-z0-9/+]{3,})-?")
@@ -81,6 +89,11 @@ def _bytes(text: str, codec: str) -> bytes | None:
         return None
 
 
+def _mixed(word: str) -> bool:
+    """Letters of two scripts in a word."""
+    return sum(bool(k.search(word)) for k in _SCRIPTS) > 1
+
+
 class LanguageModel:
     """Dictionaries and word lists of the sample languages."""
 
@@ -91,12 +104,14 @@ class LanguageModel:
             for t in texts:
                 seen.update({w.lower() for w in _WORD.findall(t)})
         self.signs = frozenset(c for texts in samples.values() for t in texts for c in set(t) if c > "\x7f" and not c.isalpha())
+        self.letters = frozenset(c for texts in samples.values() for t in texts for c in set(t) if c.isalpha())
         self.words = frozenset(w for w, n in seen.items() if n > 1)
         self._tools: list[zstandard.ZstdCompressor] | None = None
         self._edged: dict[str, bool] = {}
+        self._chains: dict[tuple[str, bool], tuple[str, tuple[str, ...]]] = {}
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_tools": None, "_edged": {}}
+        return self.__dict__ | {"_tools": None, "_edged": {}, "_chains": {}}
 
     @classmethod
     def fit(cls, documents: DataFrame, languages: tuple[str, ...] = ("de", "en", "es", "fr", "pt", "ru"), sample_docs: int = 250, sample_chars: int = 8000) -> LanguageModel:
@@ -125,6 +140,29 @@ class LanguageModel:
         raw = text.encode("utf-8", "surrogatepass")
         return min((len(t.compress(raw)) for t in self._tools), default=len(raw))
 
+    def odd(self, text: str) -> int:
+        """Suspicious places and strange signs, capitals inside words, and letters of the samples' scripts that the samples
+        don't have; not in words of two scripts, which hold look-alike letters."""
+        n = self.suspicion(text) + self.strange(text)
+        if text.isascii():
+            return n
+        n += len(_INNER_CAPITAL.findall(text))
+        if any(c not in self.letters and c.isalpha() for c in set(text)):
+            for w in _WORD.findall(text):
+                new = sum(c not in self.letters and _KNOWN_SCRIPT.match(c) is not None for c in w)
+                n += new if new and not _mixed(w) else 0
+        return n
+
+    def foreign(self, text: str, origin: str) -> int:
+        """Letters that neither origin nor the samples have."""
+        had = set(origin)
+        return sum(c not in self.letters and c.isalpha() and c not in had for c in text)
+
+    def brought(self, text: str, origin: str) -> int:
+        """Foreign letters, and words of two scripts or of Cyrillic that origin hasn't."""
+        n = max(0, sum(map(_mixed, _WORD.findall(text))) - sum(map(_mixed, _WORD.findall(origin))))
+        return n + self.foreign(text, origin) + max(0, len(_CYRILLIC.findall(text)) - len(_CYRILLIC.findall(origin)))
+
     def strange(self, text: str) -> int:
         """Signs beyond ASCII that are neither common nor in the samples."""
         if text.isascii():
@@ -218,26 +256,38 @@ def _seven(m: re.Match) -> str:
 
 def best_chain(text: str, model: LanguageModel, words: bool = False) -> tuple[str, tuple[str, ...]]:
     """The reading of least description length and its steps; (text, ()) if that is text itself."""
+    key = (text, words)
+    if key not in model._chains:
+        if len(model._chains) >= 20_000:
+            model._chains.clear()
+        model._chains[key] = _best_chain(text, model, words)
+    return model._chains[key]
+
+
+def _best_chain(text: str, model: LanguageModel, words: bool) -> tuple[str, tuple[str, ...]]:
     best, steps = text, ()
     least = model.length(text) - MARGIN
     front = [(text, ())]
     for depth in range(1, MAX_STEPS + 1):
-        fresh: dict[str, tuple[str, ...]] = {}
+        fresh: dict[str, tuple[float, tuple[str, ...]]] = {}
         for t, s in front:
-            limit, signs = model.suspicion(t), model.strange(t)
-            ranked = sorted((model.suspicion(c), k, c) for c, k in (word_candidates(t, model) if words else candidates(t)).items())
-            for n, k, c in ranked[:TRIED]:
-                # bytes that happen to be UTF-8 speak for themselves; other readings must explain something
-                if n < limit + k.endswith("utf-8") and c not in fresh and model.strange(c) <= signs:
-                    fresh[c] = (*s, k)
-        priced = sorted((model.length(c) + sum(UTF8_COST if k.endswith("utf-8") else STEP_COST for k in s), c) for c, s in fresh.items())
+            limit, signs, was = model.suspicion(t), model.strange(t), model.odd(t)
+            for c, k in (word_candidates(t, model) if words else candidates(t)).items():
+                # bytes that happen to be UTF-8 speak for themselves; other readings must explain something or pay for it
+                n, extra = model.suspicion(c), 0.0
+                if n > limit or model.strange(c) > signs or n == limit and not (k.endswith("utf-8") and not model.foreign(c, t)):
+                    more = model.odd(c) + model.brought(c, t) - was
+                    extra = ODD_COST if more < 0 else DOUBT * (1 + more)
+                if c not in fresh or extra < fresh[c][0]:
+                    fresh[c] = (extra, (*s, k))
+        priced = sorted((model.length(c) + extra + sum(UTF8_COST if k.endswith("utf-8") else STEP_COST for k in s), c) for c, (extra, s) in fresh.items())
         if not priced:
             break
         if priced[0][0] < least:
             least, best = priced[0]
-            steps = fresh[best]
-        # garbled twice: only readings that were bytes of UTF-8, and the best one, can have a further step
-        front = [(c, fresh[c]) for _, c in priced[:2] if model.suspicion(c)]
+            steps = fresh[best][1]
+        # garbled twice: of the readings that explain something the best ones have a further step
+        front = [(c, fresh[c][1]) for _, c in [x for x in priced if not fresh[x[1]][0]][:BEAM] if model.suspicion(c)]
         if not front:
             break
     return best, steps

@@ -68,6 +68,18 @@ def test_wide_characters(model, wide):
         assert mend(t, model) == (t, [])
 
 
+def test_word_not_in_the_samples():
+    samples = LanguageModel({"de": ["Die Prüfung und die Prüfungen liegen vor.", "Prüfende Berichte: der Wochenbericht, der Tagesbericht."] * 6})
+    text = "Der Prüfbericht liegt vor"
+    garbled = text.encode("mac_roman").decode("cp1252")
+    assert samples.suspicion(garbled) == samples.suspicion(text) == 1 and mend(garbled, samples)[0] == text
+
+
+def test_other_scripts_stay(model):
+    for t in ("Κατάλογος Здравствуйте,", "settіng_heаlthy_quісk90 photographClosеМeeting:", "Håkan Øst", "Нужно проверить фай"):
+        assert mend(t, model) == (t, [])
+
+
 def test_unchanged(model):
     for t in [*GERMAN, *RUSSIAN, *FRENCH, *ENGLISH, "NÃO SÃO lidos", "À L'ÂGE DE 67, PÂTÉ", "┌──┐\n│ a │", "Κατάλογος", "写真", "a+b-c", "", None]:
         assert mend(t, model) == (t, [])
