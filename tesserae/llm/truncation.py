@@ -30,6 +30,7 @@ from ..session import staged
 PLAIN_MEASURES = ("chars", "bytes")
 OTHER_MEASURES = ("utf16", "crlf_chars", "crlf_bytes", "entity_chars", "entity_bytes", "entity_quote_chars", "entity_quote_bytes", "json_chars", "json_bytes", "json_ascii")
 
+RARER = 20  # times that a line is rarer than the longer ones it begins, for it to be one of them cut short
 SHORT_LINE = 40  # longest line, in characters, that can be a closing formula
 
 _INVISIBLE = "".join(map(chr, (0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF)))
@@ -239,8 +240,9 @@ def truncated(texts: DataFrame, declared: DataFrame, closing: int = 5) -> DataFr
     longer = parts.select("n", F.explode(F.expr("transform(sequence(1, greatest(length(part) - 1, 1)), i -> substring(part, 1, i))")).alias("last"), "part").filter("last <> part").join(last, "last", "left_semi").groupBy("last").agg(F.sum("n").alias("longer"))
     whole = parts.join(last, F.col("part") == F.col("last"), "left_semi").select(F.col("part").alias("last"), F.col("n").alias("whole"))
     ends = parts.filter("length(part) >= 4").groupBy(F.expr("right(part, 3)").alias("tail")).agg(F.sum("n").alias("ended"))
-    # closing formulas: short lines that end many texts, or stand before their last line
-    every = look.select(F.explode(F.array("last_line", "line_before")).alias("line")).filter("line is not null and line <> ''").groupBy("line").agg(F.count("*").alias("alike"))
+    # closing formulas: short lines that end many different texts, or stand before their last line, and aren't far rarer
+    # than the longer ones they begin: those are closings cut short, however many
+    every = look.select("h", F.explode(F.array("last_line", "line_before")).alias("line")).filter("line is not null and line <> ''").groupBy("line").agg(F.count_distinct("h").alias("alike"))
     lines = staged(every.filter(F.col("alike") >= closing))
     starts = (
         lines.select("alike", F.explode(F.expr("transform(sequence(1, greatest(size(split(line, ' ')) - 1, 1)), i -> array_join(slice(split(line, ' '), 1, i), ' '))")).alias("last_line"), "line")
@@ -248,14 +250,21 @@ def truncated(texts: DataFrame, declared: DataFrame, closing: int = 5) -> DataFr
         .groupBy("last_line")
         .agg(F.sum("alike").alias("going_on"))
     )
-    joined = atl.join(longer, "last", "left").join(whole, "last", "left").join(lines.withColumnRenamed("line", "last_line"), "last_line", "left").join(starts, "last_line", "left")
+    inside = (
+        lines.select("alike", F.explode(F.expr("transform(sequence(1, greatest(length(line) - 1, 1)), i -> substring(line, 1, i))")).alias("start"), "line")
+        .filter("start <> line")
+        .groupBy("start")
+        .agg(F.sum("alike").alias("extended"))
+    )
+    closings = lines.join(inside, F.col("line") == F.col("start"), "left").select(F.col("line").alias("last_line"), ((F.col("alike") * RARER >= F.coalesce("extended", F.lit(0)))).alias("closing"))
+    joined = atl.join(longer, "last", "left").join(whole, "last", "left").join(closings, "last_line", "left").join(starts, "last_line", "left")
     joined = joined.withColumn("tail", F.expr("right(last, 3)")).join(ends, "tail", "left")
     whole_n, longer_n = F.coalesce("whole", F.lit(0)), F.coalesce("longer", F.lit(0))
     broken = (F.col("last") != "") & (longer_n > 0) & ((whole_n == 0) | (whole_n * 60 < longer_n))
     # a word seen nowhere, and ending as no word does
     broken = broken | F.col("last").rlike("^[a-z]{4,}$") & (whole_n == 0) & (longer_n == 0) & F.col("ended").isNull()
-    closed = (F.col("form") == "short") & (F.coalesce("alike", F.lit(0)) >= closing)
-    broken = broken | (F.col("form") == "short") & (F.coalesce("going_on", F.lit(0)) > 0) & (F.size(F.split("last_line", " ")) < 4)
+    closed = (F.col("form") == "short") & F.coalesce("closing", F.lit(False))
+    broken = broken | (F.col("form") == "short") & ~F.coalesce("closing", F.lit(True)) | (F.col("form") == "short") & (F.coalesce("going_on", F.lit(0)) > 0) & (F.size(F.split("last_line", " ")) < 4)
     cut = (F.col("verdict") == "cut") | (F.col("verdict") == "open") & ~closed & (broken | (F.col("form") != "path") & (F.col("at_limit") | F.col("by_limit") & (F.col("form") != "short")))
     return joined.select("origin", "rec_id", F.when(F.col("source") != "", F.col("source")).alias("source"), "form", (F.col("at_limit") | F.col("by_limit")).alias("at_limit"), F.coalesce(cut, F.lit(False)).alias("truncated"))
 

@@ -64,3 +64,17 @@ def test_hidden_limit(spark):
     shares = {r.source: r for r in source_shares(found).collect()}
     assert shares[None].truncated == 0 and shares["a"].texts == 200
     assert truncated(df.limit(0), none).count() == 0
+
+
+def test_closings_cut_short_stay_cases(spark):
+    rows = [("extract_results", i, "a", f"Note number {i} is kept in the archive.\nViele Grüße") for i in range(300)]
+    rows += [("extract_results", 1000 + i, "a", f"Letter number {i} is kept in the archive.\nViele") for i in range(8)]
+    rows += [("extract_results", 2000 + i, "a", f"Memo number {i} is kept in the archive.\nDanke") for i in range(40)]
+    rows += [("extract_results", 3000 + i, "a", f"Copy number {i} is kept in the archive.\nDanke schön") for i in range(40)]
+    declared = spark.createDataFrame([("a", 10_000)], "source string, value long")
+    texts = spark.createDataFrame(rows, "origin string, rec_id long, source string, text string")
+    assert sorted(r.rec_id for r in truncated(texts, declared).filter("truncated").collect()) == list(range(1000, 1008))
+    # one cut text extracted many times is no closing formula
+    again = spark.createDataFrame([rows[0], *[("extract_results", 1000 + i, "a", rows[300][3]) for i in range(8)]], texts.schema)
+    more = again.unionByName(texts.filter("rec_id < 10 or rec_id > 1999"))
+    assert sorted({r.rec_id for r in truncated(more, declared).filter("truncated").collect()}) == list(range(1000, 1008))
