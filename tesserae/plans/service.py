@@ -14,7 +14,7 @@ from ..operators import maintain as m
 from ..operators.index import Index
 from ..session import staged
 from ..sources.files import ContentConfig, extracted, listing
-from ..streaming.changes import SCHEMA, apply_batch, last_actions
+from ..streaming.changes import SCHEMA, actions, apply_batch, last_actions, scanned
 
 BATCH, MOST = 512, 8192  # paths read by name, at a time and in all
 _FILES = "id long, path string, name string, parent string, size long, mtime_ns long, mime string, content_hash binary, indexed_at long, state int"
@@ -64,6 +64,8 @@ class ContentService:
         gone = after.filter(F.col("state") == m.TOMBSTONE).select("path")
         paths = last_actions(changes).filter("action = 'index'").select("path")
         paths = paths.filter(~excluded(F.col("path"), self.config.exclude_paths, self.config.excludes))
+        if not actions(changes).filter("action = 'scan'").isEmpty():  # new folders: no events of their files follow
+            paths = paths.unionByName(scanned(listing(self.spark, self.config), changes)).distinct()
         self._update(None, staged(paths), gone, whole=False)
 
     def exclude(self, folder: str) -> None:

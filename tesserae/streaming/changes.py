@@ -61,15 +61,25 @@ def late_deliveries(changes: DataFrame, allowed_s: int = 3600) -> DataFrame:
     return each.groupBy("op").agg(F.sum("n").alias("events"), F.sum("late").alias("late"), F.sum(F.col("n") - 1).alias("twice"))
 
 
+def ancestors() -> Column:
+    """Every folder above a path, and itself: joined with folders, there is no comparison of all with all."""
+    return F.expr("transform(sequence(2, greatest(size(split(path, '/')), 2)), i -> array_join(slice(split(path, '/'), 1, i), '/'))")
+
+
+def scanned(listing: DataFrame, changes: DataFrame) -> DataFrame:
+    """(path) of listed files under folders that were created or moved in."""
+    folders = actions(changes).filter("action = 'scan'").select(F.col("path").alias("folder")).distinct()
+    return listing.select("path", F.explode(ancestors()).alias("folder")).join(folders, "folder", "left_semi").select("path").distinct()
+
+
 def apply_batch(files: DataFrame, changes: DataFrame) -> DataFrame:
     """files after a batch: removed paths and everything under removed folders are tombstones, paths to be indexed that
     are known become pending. A path under a removed folder is revived by a later event of its own."""
     last = last_actions(changes)
     gone = last.filter("action = 'remove'").select("path")
-    trees = last.filter("action = 'remove_tree'").select(F.col("path").alias("tree"), F.col("ts").alias("tree_ts"))
-    # every folder above a path, joined with the removed ones: no comparison of all with all
-    up = F.expr("transform(sequence(2, greatest(size(split(path, '/')), 2)), i -> array_join(slice(split(path, '/'), 1, i), '/'))")
-    under = files.select("path", F.explode(up).alias("tree")).join(trees, "tree").groupBy("path").agg(F.max("tree_ts").alias("tree_ts"))
+    # also of folders that came again later
+    trees = actions(changes).filter("action = 'remove_tree'").groupBy(F.col("path").alias("tree")).agg(F.max("ts").alias("tree_ts"))
+    under = files.select("path", F.explode(ancestors()).alias("tree")).join(trees, "tree").groupBy("path").agg(F.max("tree_ts").alias("tree_ts"))
     own = last.select("path", F.col("ts").alias("own_ts"), "action")
     dead = under.join(own, "path", "left").filter("own_ts is null or own_ts <= tree_ts or action like 'remove%'").select("path").unionByName(gone).distinct()
     again = last.filter("action = 'index'").select("path").join(dead, "path", "left_anti").withColumn("_again", F.lit(True))
@@ -107,4 +117,4 @@ def pair_moves_stream(changes: DataFrame, wait: str = "10 minutes") -> DataFrame
     return old.join(new, near, "fullOuter").select(F.coalesce("c1", "c2").alias("cookie"), "old_path", "new_path")
 
 
-__all__ = ["SCHEMA", "action", "actions", "apply_batch", "last_actions", "late_deliveries", "live_docs", "moves", "pair_moves_stream", "start"]
+__all__ = ["SCHEMA", "action", "actions", "ancestors", "apply_batch", "last_actions", "late_deliveries", "live_docs", "moves", "pair_moves_stream", "scanned", "start"]

@@ -46,3 +46,15 @@ def test_life_of_an_index(spark, tmp_path):
     assert names(s.search("alpha")) == [] and s.reconcile_interval() == 900
     s.degraded = True
     assert s.reconcile_interval() == 180
+
+
+def test_renamed_folder(spark, tmp_path):
+    root = tmp_path / "home"
+    (root / "old/deep").mkdir(parents=True)
+    (root / "old/a.txt").write_text("alpha one")
+    (root / "old/deep/b.txt").write_text("alpha two")
+    s = ContentService(spark, f"file://{tmp_path}/store", ContentConfig(roots=[str(root)]))
+    s.reindex()
+    os.rename(root / "old", root / "new")
+    s.apply(spark.createDataFrame([(1, "moved_from", str(root / "old"), True, 5, T0, T0), (2, "moved_to", str(root / "new"), True, 5, T0, T0)], SCHEMA))
+    assert sorted(r.path for r in s.search("alpha").collect()) == [str(root / "new/a.txt"), str(root / "new/deep/b.txt")]

@@ -34,6 +34,13 @@ def test_apply(spark):
     assert {r.id: r.state for r in c.apply_batch(files, events(spark, rows)).collect()} == {1: 2, 2: 1, 3: 2, 4: 0, 5: 1}
 
 
+def test_folder_removed_and_made_again(spark):
+    files = spark.createDataFrame([(1, "/d/x", 0), (2, "/d/y", 0), (3, "/e/z", 0)], "id long, path string, state int")
+    rows = [(1, "remove_tree", "/d", True, None, 1), (2, "index", "/d", True, None, 5), (3, "index", "/d/y", False, None, 6)]
+    assert {r.id: r.state for r in c.apply_batch(files, events(spark, rows)).collect()} == {1: 2, 2: 1, 3: 0}
+    assert [r.path for r in c.scanned(files, events(spark, rows[1:])).orderBy("path").collect()] == ["/d/x", "/d/y"]
+
+
 def test_stream(spark, tmp_path):
     for k in range(0, len(ROWS), 4):
         events(spark, ROWS[k : k + 4]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
