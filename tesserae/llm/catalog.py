@@ -9,7 +9,9 @@ from .encode import token_ids
 from .encodings import LanguageModel, mended
 from .lookalike import plain_forms
 from .mixing import mix, shares
+from .nearcopies import near_copies, near_copy_groups, near_copy_pairs
 from .splitting import split, split_report
+from .termcounts import marked_counts, term_counts
 from .truncation import exposed_limits, source_shares, truncated
 
 
@@ -44,6 +46,18 @@ def p1_limits(spark, d):
     return exposed_limits(*_texts(spark, d))
 
 
+def p2_found(spark, d):
+    return near_copy_pairs(table(spark, d, "docs"))
+
+
+def p2_groups(spark, d):
+    return near_copy_groups(table(spark, d, "docs"))
+
+
+def p2_links(spark, d):
+    return near_copies(table(spark, d, "docs"))[1]
+
+
 def _garbled(spark, d, results):
     return mended(results, "result_id", "text", LanguageModel.fit(table(spark, d, "documents")))
 
@@ -64,6 +78,24 @@ def p3_forms(spark, d):
     return names.unionByName(texts)
 
 
+def _marked(spark, d):
+    fields = {"body_z": (table(spark, d, "docs"), "body_z", False), "mime": (table(spark, d, "files"), "mime", True)}
+    return marked_counts(fields, table(spark, d, "term_limits"))
+
+
+def p4_found(spark, d):
+    return _marked(spark, d).filter("mark is not null").select("field", "term", "mark")
+
+
+def p4_terms(spark, d):
+    return _marked(spark, d)
+
+
+def p4_ngrams(spark, d):
+    """All runs of one to three terms, those of a single record too."""
+    return term_counts(table(spark, d, "docs"), "body_z", 3)
+
+
 def p5_found(spark, d):
     return _garbled(spark, d, table(spark, d, "extract_results")).filter("garbled").select(F.col("rec_id").alias("result_id"))
 
@@ -92,5 +124,56 @@ def p8_report(spark, d):
     return split_report(p8_pieces(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_shares, p1_limits, p3_found, p3_forms, p5_found, p5_mended, p6_ids, p7_mix, p7_shares, p8_pieces, p8_report)}
-ORACLES: dict[str, str] = {}
+_FUNCTIONS = (
+    p1_found, p1_shares, p1_limits, p2_found, p2_groups, p2_links, p3_found, p3_forms, p4_found, p4_terms, p4_ngrams,
+    p5_found, p5_mended, p6_ids, p7_mix, p7_shares, p8_pieces, p8_report,
+)
+QUERIES = {f.__name__: f for f in _FUNCTIONS}
+
+_TERMS = """
+select id, lower(t) as term from (select id, unnest(regexp_extract_all(body_z, '[\\p{L}\\p{N}]+')) as t from docs)
+"""
+_COUNTS = f"""
+select 'body_z' as field, term, count(*) as occurrences, count(distinct id) as records from ({_TERMS}) group by term
+union all
+select 'mime', mime, count(*), count(*) from files where mime is not null and mime <> '' group by mime
+"""
+_MARKED = f"""
+with n as (select 'body_z' as field, count(*) as total from docs where body_z <> ''
+           union all select 'mime', count(*) from files where mime <> '')
+select c.field, c.term, c.occurrences::bigint as occurrences, c.records::bigint as records,
+       case when c.records < l.min_records then 'rare' when 100 * c.records > l.max_percent * n.total then 'common' end as mark
+from ({_COUNTS}) c join n using (field) join term_limits l using (field)
+"""
+_SETS = """
+t as (select id, list_transform(regexp_extract_all(body_z, '[\\p{L}\\p{N}]+'), lambda x: lower(x)) as w from docs),
+s as (select distinct id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) as sh from t where len(w) >= 20),
+n as (select id, count(*) as n from s group by id),
+p as (select a.id as id_a, b.id as id_b, count(*) as common from s a join s b on a.sh = b.sh and a.id < b.id
+      where a.sh in (select sh from s group by sh having count(*) > 1) group by 1, 2)
+"""
+_CLASSES = _SETS + """,
+c as (select id, min(id) over (partition by key) as rep from (select id, list_sort(list(sh)) as key from s group by id)),
+l as (select id_a, id_b, x.n::int as n_a, y.n::int as n_b, common::int as common from p join n x on x.id = id_a join n y on y.id = id_b
+      where 3 * common >= x.n + y.n and id_a in (select rep from c) and id_b in (select rep from c))
+"""
+_GRAMS = " union all ".join(
+    f"select id, {d} as n, unnest(list_transform(range(1, len(w) - {d - 2}), lambda i: array_to_string(w[i:i + {d - 1}], ' '))) as term from t where len(w) >= {d}" for d in (1, 2, 3)
+)
+
+ORACLES: dict[str, str] = {
+    "p2_found": f"with {_SETS} select id_a, id_b from p join n x on x.id = id_a join n y on y.id = id_b where 3 * common >= x.n + y.n",
+    "p2_links": f"with {_CLASSES} select * from l",
+    "p2_groups": f"""with recursive {_CLASSES},
+e as (select id_a as x, id_b as y from l union all select id_b, id_a from l),
+r(a, b) as (select rep, rep from c union select r.a, e.y from r join e on e.x = r.b),
+g as (select a as rep, min(b) as group_id from r group by a),
+k as (select x as rep, count(*) as links from e group by x)
+select c.id, g.group_id, c.rep, coalesce(k.links, 0)::bigint as links from c join g using (rep) left join k using (rep)""",
+    "p4_found": f"select field, term, mark from ({_MARKED}) where mark is not null",
+    "p4_terms": _MARKED,
+    "p4_ngrams": f"""
+with t as (select id, list_transform(regexp_extract_all(body_z, '[\\p{{L}}\\p{{N}}]+'), lambda x: lower(x)) as w from docs), g as ({_GRAMS})
+select term, n::int as n, count(*)::bigint as occurrences, count(distinct id)::bigint as records from g group by term, n
+""",
+}
