@@ -12,7 +12,7 @@ from .mixing import mix, shares
 from .nearcopies import near_copies, near_copy_groups, near_copy_pairs
 from .splitting import split, split_report
 from .termcounts import marked_counts, term_counts
-from .truncation import exposed_limits, source_shares, truncated
+from .truncation import OTHER_MEASURES, PLAIN_MEASURES, exposed_limits, source_shares, truncated
 
 
 def _texts(spark, d):
@@ -42,6 +42,11 @@ def p1_shares(spark, d):
     return source_shares(_cut(spark, d))
 
 
+def p1_evidence(spark, d):
+    """What speaks against each truncated record: the limit it is as long as, in which measure, or its ending."""
+    return _cut(spark, d).filter("truncated").select("origin", "rec_id", "source", "evidence", "measure", "value", "form")
+
+
 def p1_limits(spark, d):
     return exposed_limits(*_texts(spark, d))
 
@@ -125,7 +130,7 @@ def p8_report(spark, d):
 
 
 _FUNCTIONS = (
-    p1_found, p1_shares, p1_limits, p2_found, p2_groups, p2_links, p3_found, p3_forms, p4_found, p4_terms, p4_ngrams,
+    p1_found, p1_shares, p1_evidence, p1_limits, p2_found, p2_groups, p2_links, p3_found, p3_forms, p4_found, p4_terms, p4_ngrams,
     p5_found, p5_mended, p6_ids, p7_mix, p7_shares, p8_pieces, p8_report,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
@@ -161,7 +166,46 @@ _GRAMS = " union all ".join(
     f"select id, {d} as n, unnest(list_transform(range(1, len(w) - {d - 2}), lambda i: array_to_string(w[i:i + {d - 1}], ' '))) as term from t where len(w) >= {d}" for d in (1, 2, 3)
 )
 
+_MEASURES = """
+chars as chars, bytes as bytes, chars + four as utf16, chars + lf as crlf_chars, bytes + lf as crlf_bytes,
+chars + 4 * amp + 3 * angle as entity_chars, bytes + 4 * amp + 3 * angle as entity_bytes,
+chars + 4 * amp + 3 * angle + 5 * quote as entity_quote_chars, bytes + 4 * amp + 3 * angle + 5 * quote as entity_quote_bytes,
+chars + lf + quote + slash + tabs as json_chars, bytes + lf + quote + slash + tabs as json_bytes,
+chars + lf + quote + slash + tabs + 5 * wide + 6 * four as json_ascii
+"""
+
+
+def _spikes_sql(lengths: str, measures: tuple[str, ...]) -> str:
+    return f"""select source, measure, value, n from (
+      select *, (sum(n) over (partition by source, measure order by value range between 30 preceding and 30 following) - n) / 60.0 as near
+      from (select source, measure, value, count(*) as n from (unpivot (select source, {', '.join(measures)} from {lengths}) on {', '.join(measures)} into name measure value value) group by 1, 2, 3))
+      join (select source, count(*) as size from {lengths} group by 1) using (source)
+      where n >= 5 and n >= 0.002 * size and n >= 6 * (near + 0.25)"""
+
+
+_LIMITS = f"""
+with roots as (select root, min(source) as source from extract_options where root is not null group by root),
+owned as (select d.id, d.body_z as text, arg_max(r.source, (length(r.root), r.root)) as source
+  from docs d left join files f on f.id = d.id left join roots r on starts_with(f.path, rtrim(r.root, '/') || '/') group by d.id, d.body_z),
+texts as (select distinct coalesce(source, '') as source, text from (select source, text from extract_results union all select source, text from owned) where text <> ''),
+counted as (select source, length(text) as chars, strlen(text) as bytes,
+  length(text) - length(replace(text, chr(10), '')) as lf, length(text) - length(replace(text, '&', '')) as amp,
+  length(text) - length(regexp_replace(text, '[<>]', '', 'g')) as angle, length(text) - length(replace(text, '"', '')) as quote,
+  length(text) - length(replace(text, chr(92), '')) as slash, length(text) - length(regexp_replace(text, '[\\t\\r]', '', 'g')) as tabs,
+  length(text) - length(regexp_replace(text, '[\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')) as four,
+  length(text) - length(regexp_replace(text, '[^\\x00-\\x7f]', '', 'g')) as wide from texts),
+lengths as (select source, {_MEASURES} from counted),
+known as (select distinct coalesce(source, '') as source, max_text_bytes as value from extract_options where max_text_bytes is not null),
+plain as ({_spikes_sql("lengths", PLAIN_MEASURES)}),
+simple as (select source, measure, value from plain union select source, 'bytes', value from known),
+rest as (select * from lengths l where not exists (from simple s where s.source = l.source and (s.measure = 'chars' and s.value = l.chars or s.measure = 'bytes' and s.value = l.bytes))),
+other as ({_spikes_sql("rest", OTHER_MEASURES)})
+select nullif(source, '') as source, measure, value::int as value, n::bigint as n, (source, value) in (select (source, value) from known) as declared
+from (select * from plain union all select * from other)
+"""
+
 ORACLES: dict[str, str] = {
+    "p1_limits": _LIMITS,
     "p2_found": f"with {_SETS} select id_a, id_b from p join n x on x.id = id_a join n y on y.id = id_b where 3 * common >= x.n + y.n",
     "p2_links": f"with {_CLASSES} select * from l",
     "p2_groups": f"""with recursive {_CLASSES},

@@ -1,13 +1,18 @@
 """Text that lost its end.
 
-Hidden limits: the length of every text is recomputed as it would be stored - characters, UTF-8 bytes, UTF-16 units,
-with entities, with JSON escapes, with CR LF line ends - and texts are counted by source, measure and length. A length
-far more frequent than its neighbours is a storage limit; limits named in the options count as they are. Plain measures
-are tried first, the others on what those leave unexplained.
+Hidden limits come first: the length of every text is recomputed as it would be stored - characters, UTF-8 bytes, UTF-16
+units, with entities, with JSON escapes, with CR LF line ends - and texts are counted by source, measure and length. A
+length far more frequent than its neighbours is a storage limit; limits named in the options count as they are. Plain
+measures are tried first, the others on what those leave unexplained. A text as long as a limit is truncated (evidence
+'limit', with measure and value) unless its ending shows it complete.
 
-Endings: the last line is held against the form of its text (prose, rows of a list, table, settings, code), and the last
-word against the words of all texts: one never seen whole elsewhere, but seen as the beginning of longer words, is cut, and so is an unknown word that ends as no known one does.
-A text is truncated if its ending shows it, or if it is as long as a limit and its ending doesn't show it complete.
+Endings then decide about the other texts, those cut in transfer: the last line is held against the form of its text
+(prose, rows of a list, table, settings, code; the form is that of the NEAR_LINES lines before), and the last word
+against the words of all texts: one never seen whole elsewhere, but seen as the beginning of longer words, is cut, and so
+is an unknown word that ends as no known one does. Such a text needs the proof of its ending (evidence 'ending').
+
+A closing formula (a greeting, a name) is a last line of at most SHORT_LINE characters that ends `closing` different
+texts or more.
 
 Defined results: null and empty texts are no case and count in no share; a null or unknown source is a source of its
 own (null); repeated rows are handled each; empty tables give empty results; extra columns are ignored.
@@ -19,8 +24,10 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +39,7 @@ OTHER_MEASURES = ("utf16", "crlf_chars", "crlf_bytes", "entity_chars", "entity_b
 
 RARER = 20  # times that a line is rarer than the longer ones it begins, for it to be one of them cut short
 SHORT_LINE = 40  # longest line, in characters, that can be a closing formula
+NEAR_LINES = 8  # lines before the last one that show the form of a text there
 
 _INVISIBLE = "".join(map(chr, (0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF)))
 _BLANK = re.compile(r"\s")
@@ -63,7 +71,7 @@ def ending(text: str) -> tuple[str, str, str]:
         return ("open" if _STOP.search(bare) else "cut"), "blank", ""
     m = _LAST.search(line)
     last = m.group().lower() if m else ""
-    near = before[-8:]
+    near = before[-NEAR_LINES:]
     # table rows: as many commas as the rows before
     commas = Counter(x.count(",") for x in near if x.count(",") >= 2 and not _STOP.search(x))
     if commas and (k := commas.most_common(1)[0])[1] >= min(2, len(near)) and ", " not in near[-1]:
@@ -99,7 +107,7 @@ def ending(text: str) -> tuple[str, str, str]:
         if re.fullmatch(r"[a-z]+", word) and rows and not any(re.fullmatch(r"[a-z]+", x) for x in rows):
             return "cut", "list", last
         return "open", "list", last
-    code = [x for x in lines[-8:-1] if _CODE_END.search(x) or re.match(r"\s*(?:def |return |#include|import |let |static |for |if )", x) or re.search(r"\w\(.*\)\s*(?:[;:]|#.*)?$|\w = \w", x)]
+    code = [x for x in lines[-NEAR_LINES:-1] if _CODE_END.search(x) or re.match(r"\s*(?:def |return |#include|import |let |static |for |if )", x) or re.search(r"\w\(.*\)\s*(?:[;:]|#.*)?$|\w = \w", x)]
     if len(code) * 2 >= max(1, len(near)) and code and not re.match(r"\s*(?://|#)\s", line):
         if _CODE_END.search(line) or re.search(r"\)\s*:?$", line) and line.count("(") == line.count(")"):
             return "whole", "code", last
@@ -162,6 +170,28 @@ def _emit(count: Counter[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(low.keys(), pa.string()), pa.array(low.values(), pa.int64())], names=["part", "n"])
 
 
+def _beginnings(sizes: list[int]):
+    """(h, n): hash of the first k characters of every part, for the lengths k that last words have. Every part is read
+    once; parts longer than k are at most all characters divided by k, so that the rows stay few however long parts are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hashes: list[int] = []
+            counts: list[int] = []
+            for part, n in zip(b.column("part").to_pylist(), b.column("n").to_pylist()):
+                state, at = xxhash.xxh64(seed=42), 0  # as the engine's xxhash64
+                for k in sizes:
+                    if k >= len(part):
+                        break
+                    state.update(part[at:k].encode("utf-8", "surrogatepass"))
+                    at = k
+                    hashes.append(state.intdigest())
+                    counts.append(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(counts, pa.int64())], names=["h", "n"])
+
+    return run
+
+
 def measures(text: Column) -> dict[str, Column]:
     """Lengths of text in every measure."""
     chars, size = F.length(text), F.octet_length(text)
@@ -221,7 +251,8 @@ def exposed_limits(texts: DataFrame, declared: DataFrame) -> DataFrame:
 
 
 def truncated(texts: DataFrame, declared: DataFrame, closing: int = 5) -> DataFrame:
-    """(origin, rec_id, source, form, at_limit, truncated) of every text that is neither null nor empty.
+    """(origin, rec_id, source, form, at_limit, evidence, measure, value, truncated) of every text that is neither null nor
+    empty; measure and value of the limit are given where it is the evidence.
 
     texts: origin, rec_id, source, text; declared: source, value (bytes)."""
     src = texts.select("origin", "rec_id", F.coalesce("source", F.lit("")).alias("source"), "text").filter("text is not null and text <> ''")
@@ -230,14 +261,17 @@ def truncated(texts: DataFrame, declared: DataFrame, closing: int = 5) -> DataFr
     limits = storage_limits(look, declared)
     pairs = limits.select("source", "measure", "value").unionByName(declared.select("source", F.lit("bytes").alias("measure"), "value")).distinct()
     # limits are few: a handful for each source; they are grouped into one row per source
-    by_source = pairs.groupBy("source").agg(F.collect_list(F.struct("measure", "value")).alias("limits"))
-    reached = F.expr(" or ".join(f"exists(limits, p -> p.measure = '{k}' and p.value = {k})" for k in (*PLAIN_MEASURES, *OTHER_MEASURES)))
+    by_source = pairs.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("measure", "value"))).alias("limits"))
+    reached = " or ".join(f"p.measure = '{k}' and p.value = {k}" for k in (*PLAIN_MEASURES, *OTHER_MEASURES))
+    hit = F.expr(f"try_element_at(filter(limits, p -> {reached}), 1)")
     # a character cut in two can cost up to three bytes, or gain two as U+FFFD
-    near_bytes = F.expr("exists(limits, p -> p.measure = 'bytes' and bytes between p.value - 3 and p.value + 2)")
-    atl = look.join(by_source, "source", "left").withColumn("at_limit", F.coalesce(reached, F.lit(False))).withColumn("by_limit", F.coalesce(near_bytes, F.lit(False))).drop("limits")
+    near = F.expr("try_element_at(filter(limits, p -> p.measure = 'bytes' and bytes between p.value - 3 and p.value + 2), 1)")
+    atl = look.join(by_source, "source", "left").withColumn("hit", hit).withColumn("near", near).drop("limits")
     last = atl.filter("verdict = 'open' and last <> ''").select("last").distinct()
     parts = staged(src.select("text").mapInArrow(_parts, "part string, n long").groupBy("part").agg(F.sum("n").alias("n")))
-    longer = parts.select("n", F.explode(F.expr("transform(sequence(1, greatest(length(part) - 1, 1)), i -> substring(part, 1, i))")).alias("last"), "part").filter("last <> part").join(last, "last", "left_semi").groupBy("last").agg(F.sum("n").alias("longer"))
+    sizes = sorted(r[0] for r in last.select(F.length("last")).distinct().collect())  # no more than the longest has characters
+    known = last.select("last", F.xxhash64("last").alias("h"))
+    longer = parts.mapInArrow(_beginnings(sizes), "h long, n long").join(known, "h").groupBy("last").agg(F.sum("n").alias("longer"))
     whole = parts.join(last, F.col("part") == F.col("last"), "left_semi").select(F.col("part").alias("last"), F.col("n").alias("whole"))
     ends = parts.filter("length(part) >= 4").groupBy(F.expr("right(part, 3)").alias("tail")).agg(F.sum("n").alias("ended"))
     # closing formulas: short lines that end many different texts, or stand before their last line, and aren't far rarer
@@ -265,14 +299,28 @@ def truncated(texts: DataFrame, declared: DataFrame, closing: int = 5) -> DataFr
     broken = broken | F.col("last").rlike("^[a-z]{4,}$") & (whole_n == 0) & (longer_n == 0) & F.col("ended").isNull()
     closed = (F.col("form") == "short") & F.coalesce("closing", F.lit(False))
     broken = broken | (F.col("form") == "short") & ~F.coalesce("closing", F.lit(True)) | (F.col("form") == "short") & (F.coalesce("going_on", F.lit(0)) > 0) & (F.size(F.split("last_line", " ")) < 4)
-    cut = (F.col("verdict") == "cut") | (F.col("verdict") == "open") & ~closed & (broken | (F.col("form") != "path") & (F.col("at_limit") | F.col("by_limit") & (F.col("form") != "short")))
-    return joined.select("origin", "rec_id", F.when(F.col("source") != "", F.col("source")).alias("source"), "form", (F.col("at_limit") | F.col("by_limit")).alias("at_limit"), F.coalesce(cut, F.lit(False)).alias("truncated"))
+    # the exposed limit first, then the ending by itself
+    at_limit = F.col("hit").isNotNull() | F.col("near").isNotNull() & (F.col("form") != "short")
+    unfinished = F.col("verdict") == "cut"
+    undecided = (F.col("verdict") == "open") & ~closed
+    by_limit = at_limit & (unfinished | undecided & (broken | (F.col("form") != "path")))
+    evidence = F.when(F.coalesce(by_limit, F.lit(False)), "limit").when(F.coalesce(unfinished | undecided & broken, F.lit(False)), "ending")
+    limit = F.coalesce("hit", "near")
+    out = joined.withColumn("evidence", evidence).withColumn("limit", limit)
+    return out.select(
+        "origin", "rec_id", F.when(F.col("source") != "", F.col("source")).alias("source"), "form", limit.isNotNull().alias("at_limit"), "evidence",
+        F.when(F.col("evidence") == "limit", F.col("limit.measure")).alias("measure"), F.when(F.col("evidence") == "limit", F.col("limit.value")).alias("value"),
+        F.col("evidence").isNotNull().alias("truncated"),
+    )
 
 
 _LOOK = "origin string, rec_id long, source string, h long, " + "".join(f"{k} int, " for k in (*PLAIN_MEASURES, "utf16", *OTHER_MEASURES[1:])) + "verdict string, form string, last string, last_line string, line_before string"
 
 
 def source_shares(found: DataFrame) -> DataFrame:
-    """(source, texts, truncated, share, at_limit) of each source."""
-    cut = F.sum(F.col("truncated").cast("long"))
-    return found.groupBy("source").agg(F.count("*").alias("texts"), cut.alias("truncated"), (cut / F.count("*")).alias("share"), F.sum(F.col("at_limit").cast("long")).alias("at_limit"))
+    """(source, texts, truncated, share, at_limit, by_limit, by_ending) of each source."""
+    cut = F.count_if("truncated")
+    return found.groupBy("source").agg(
+        F.count("*").alias("texts"), cut.alias("truncated"), (cut / F.count("*")).alias("share"), F.count_if("at_limit").alias("at_limit"),
+        F.count_if(F.col("evidence") == "limit").alias("by_limit"), F.count_if(F.col("evidence") == "ending").alias("by_ending"),
+    )

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from tesserae.llm import truncation
 from tesserae.llm.truncation import ending, measures, source_shares, truncated
 
 CUT = [
@@ -78,3 +79,51 @@ def test_closings_cut_short_stay_cases(spark):
     again = spark.createDataFrame([rows[0], *[("extract_results", 1000 + i, "a", rows[300][3]) for i in range(8)]], texts.schema)
     more = again.unionByName(texts.filter("rec_id < 10 or rec_id > 1999"))
     assert sorted({r.rec_id for r in truncated(more, declared).filter("truncated").collect()}) == list(range(1000, 1008))
+
+
+def test_limits_decide_where_endings_say_nothing(spark, monkeypatch):
+    """Lists cut between two words at 300 characters, a number that is declared nowhere: only the limit tells."""
+    rng = random.Random(8)
+
+    def word(n):
+        return "".join(rng.choice("aeiou" if k % 2 else "bdfglmnprst") for k in range(n - 1)) + "k"  # none begins another
+
+    words = {n: [word(n) for _ in range(40)] for n in range(3, 10)}
+    rows, true = [], set()
+    for i in range(900):
+        t = ""
+        while len(t) < (286 if i % 2 else rng.randint(30, 4000)):
+            line = "- " + " ".join(rng.choice(words[rng.randint(3, 9)]) for _ in range(rng.randint(2, 4)))
+            t += ("\n" if t else "") + line
+        if i % 2 and 289 < len(t) < 297:  # would go on
+            t += " " + rng.choice(words[299 - len(t)])
+            true.add(i)
+        if i in true or not i % 2 and not 295 < len(t) < 304:
+            rows.append(("x", i, "a", t))
+    assert len(true) > 50
+    df = spark.createDataFrame(rows, "origin string, rec_id long, source string, text string")
+    none = spark.createDataFrame([], "source string, value long")
+    assert all(ending(r[3])[0] == "open" for r in rows)
+    got = truncated(df, none).filter("truncated").collect()
+    assert not [r for r in got if r.rec_id not in true] and len(got) == len(true) and {(r.evidence, r.measure, r.value) for r in got} == {("limit", "bytes", 300)}
+    shares = source_shares(truncated(df, none)).first()
+    assert shares.by_limit == len(true) and shares.by_ending == 0
+    monkeypatch.setattr(truncation, "storage_limits", lambda *a: spark.createDataFrame([], "source string, measure string, value int, n long, declared boolean"))
+    assert truncated(df, none).filter("truncated").count() == 0
+
+
+def test_unspaced_text_costs_its_length(spark):
+    """Beginnings of long runs without blanks: one row for each length that last words have, not one for each sign."""
+    import pyarrow as pa
+
+    long = "".join(chr(0x4E00 + k % 5000) for k in range(40_000))
+    parts = pa.RecordBatch.from_pydict({"part": [long, "wordy", "wo"], "n": pa.array([2, 3, 4], pa.int64())})
+    out = list(truncation._beginnings([2, 3, 10_000])([parts]))[0].to_pydict()
+    assert out["n"] == [2, 2, 2, 3, 3]
+    from pyspark.sql import functions as F
+
+    same = spark.createDataFrame([(long[:2],), (long[:3],), (long[:10_000],), ("wo",), ("wor",)], "t string").select(F.xxhash64("t").alias("h")).collect()
+    assert [r.h for r in same] == out["h"]
+    rows = [("x", k, "a", long[k : k + 20_000 + k]) for k in range(8)]
+    df = spark.createDataFrame(rows, "origin string, rec_id long, source string, text string")
+    assert truncated(df, spark.createDataFrame([], "source string, value long")).count() == 8
