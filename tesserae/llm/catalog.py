@@ -8,9 +8,9 @@ from ..session import table
 from .encode import token_ids
 from .encodings import LanguageModel, mended
 from .lookalike import plain_forms
-from .mixing import mix, shares
+from .mixing import bounds, mix, shares
 from .nearcopies import near_copies, near_copy_groups, near_copy_pairs
-from .splitting import split, split_report
+from .splitting import coverage, split, split_report
 from .termcounts import marked_counts, term_counts
 from .truncation import OTHER_MEASURES, PLAIN_MEASURES, exposed_limits, source_shares, truncated
 
@@ -121,17 +121,26 @@ def p7_shares(spark, d):
     return shares(p7_mix(spark, d), table(spark, d, "mix_targets"))
 
 
+def p7_bounds(spark, d):
+    targets = table(spark, d, "mix_targets")
+    return bounds(p7_mix(spark, d), targets)
+
+
 def p8_pieces(spark, d):
     return split(table(spark, d, "documents"), table(spark, d, "split_limits"))
 
 
+def p8_coverage(spark, d):
+    return coverage(p8_pieces(spark, d), table(spark, d, "documents"), table(spark, d, "split_limits"))
+
+
 def p8_report(spark, d):
     return split_report(p8_pieces(spark, d))
 
 
 _FUNCTIONS = (
     p1_found, p1_shares, p1_evidence, p1_limits, p2_found, p2_groups, p2_links, p3_found, p3_forms, p4_found, p4_terms, p4_ngrams,
-    p5_found, p5_mended, p6_ids, p7_mix, p7_shares, p8_pieces, p8_report,
+    p5_found, p5_mended, p6_ids, p7_mix, p7_shares, p7_bounds, p8_pieces, p8_report, p8_coverage,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
@@ -206,6 +215,8 @@ from (select * from plain union all select * from other)
 
 ORACLES: dict[str, str] = {
     "p1_limits": _LIMITS,
+    "p7_bounds": "select t.source, true as capped, true as rounded, true as on_goal from mix_targets t where t.source in (select source from documents where text <> '')",
+    "p8_coverage": "select limit_name, true as within_limit, true as overlapping, true as whole, true as same_text from split_limits",
     "p2_found": f"with {_SETS} select id_a, id_b from p join n x on x.id = id_a join n y on y.id = id_b where 3 * common >= x.n + y.n",
     "p2_links": f"with {_CLASSES} select * from l",
     "p2_groups": f"""with recursive {_CLASSES},

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import slices
@@ -223,3 +223,21 @@ def split_report(pieces: DataFrame) -> DataFrame:
     kinds = [F.sum((F.col("boundary") == k).cast("long")).alias(f"at_{k}") for k in KINDS]
     docs = F.sum((F.col("piece") == 0).cast("long")).alias("documents")
     return pieces.groupBy("limit_name").agg(docs, F.count("*").alias("pieces"), F.max("n_tokens").alias("largest"), *kinds)
+
+
+def coverage(pieces: DataFrame, docs: DataFrame, limits: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(limit_name, within_limit, overlapping, whole, same_text): no piece is over its limit; none starts after the end of
+    the one before, or repeats more than the overlap; pieces reach from the first to the last character of their text; and
+    each is the part of the text that its places say. Ids are expected to be unique."""
+    before = Window.partitionBy("doc_id", "limit_name").orderBy("piece")
+    rules = limits.groupBy("limit_name").agg(F.max("max_tokens").alias("max_tokens"), F.max("overlap_tokens").alias("most_overlap"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("full"), F.length(text_col).alias("chars"))
+    j = pieces.withColumn("reached", F.lag("end_char").over(before)).join(F.broadcast(rules), "limit_name").join(texts, "doc_id")
+    first, last = F.col("piece") == 0, F.col("piece") == F.col("pieces") - 1
+    follows = F.when(first, F.col("start_char") == 0).otherwise((F.col("start_char") <= F.col("reached")) & (F.col("reached") < F.col("end_char")))
+    return j.groupBy("limit_name").agg(
+        F.bool_and(F.col("n_tokens").between(1, F.col("max_tokens"))).alias("within_limit"),
+        F.bool_and((F.col("overlap_tokens") <= F.greatest(F.lit(0), "most_overlap")) & (first | (F.col("start_char") <= F.col("reached")))).alias("overlapping"),
+        F.bool_and(follows & (~last | (F.col("end_char") == F.col("chars")))).alias("whole"),
+        F.bool_and(F.expr("text = substring(full, start_char + 1, end_char - start_char)")).alias("same_text"),
+    )

@@ -3,7 +3,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tesserae.llm import mixing
-from tesserae.llm.mixing import mix, pivotal, shares
+from tesserae.llm.mixing import bounds, mix, pivotal, pooled, shares
 
 
 @settings(max_examples=200, deadline=None)
@@ -16,6 +16,15 @@ def test_mass_is_kept(items, seed):
     assert abs((q * w).sum() - (p * w).sum()) < 1e-6 * max(1, (p * w).sum()) + 1e-9 * w.sum()
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.floats(0, 1), st.lists(st.integers(1, 500), min_size=1, max_size=30), st.integers(0, 9))
+def test_mass_is_kept_in_pools(p, w, seed):
+    w = np.sort(np.array(w, float))[::-1]
+    q = pooled(p, w, np.random.default_rng(seed))
+    assert ((q > 0) & (q < 1)).sum() <= 1 and ((q >= 0) & (q <= 1)).all()
+    assert abs((q * w).sum() - p * w.sum()) < 1e-6 * max(1, w.sum())
+
+
 def test_expectations():
     p, w = np.array([0.2, 0.5, 0.7, 0.6]), np.array([3.0, 1.0, 2.0, 5.0])
     mean = np.mean([pivotal(p, w, np.random.default_rng(s)) for s in range(6000)], axis=0)
@@ -45,12 +54,26 @@ def test_shares_and_caps(spark, monkeypatch):
         assert {(r.doc_id, r.copies) for r in mix(docs, targets).collect()} == {(r.doc_id, r.copies) for r in rows}
 
 
-def test_giant_document(spark):
-    docs = [(i, " a" * 20, "s") for i in range(100)] + [(999, " a" * 5000, "s")] + [(1000 + i, " a" * 20, "t") for i in range(50)]
+def test_every_document_keeps_its_expectation(spark):
+    """A giant is rounded like the others: over many seeds it is taken as often as they are, and the small ones make up."""
+    docs = [(i, " a" * 20, "s") for i in range(100)] + [(999, " a" * 1000, "s")] + [(1000 + i, " a" * 20, "t") for i in range(75)]
     df = spark.createDataFrame(docs, "doc_id long, text string, source string")
     targets = spark.createDataFrame([("s", 0.5, 1), ("t", 0.5, 1)], "source string, target_share double, max_repeats int")
-    got = {r.source: r.share for r in shares(mix(df, targets), targets).collect()}
-    assert abs(got["s"] - 0.5) < 0.02
+    taken = []
+    for seed in range(8):
+        m = mix(df, targets, seed=seed)
+        taken.append(m.filter("doc_id = 999").first().copies)
+        assert abs({r.source: r.share for r in shares(m, targets).collect()}["s"] - 0.5) < 0.01
+    assert 0 < sum(taken) < 8  # its rate is one half
+    for w in ([900.0] + [10.0] * 39, [90.0, 30.0] + [10.0] * 38):
+        mean = np.mean([pooled(0.4, np.array(w), np.random.default_rng(s)) for s in range(4000)], axis=0)
+        assert np.abs(mean - 0.4).max() < 0.05
+
+
+def test_bounds(spark):
+    docs, targets = tables(spark)
+    got = {r.source: (r.capped, r.rounded, r.on_goal) for r in bounds(mix(docs, targets), targets).collect()}
+    assert got == dict.fromkeys(("big", "small", "tiny"), (True, True, True))
 
 
 def test_empty(spark):
