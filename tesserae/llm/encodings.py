@@ -11,13 +11,15 @@ don't have, a sign next to a letter, a quote, dash or ellipsis inside a word (or
 a word of the samples), a control character, or a run of 7-bit escapes. All its readings are compressed. One that
 explains nothing, leaving as many such places (unless its bytes are valid UTF-8 and bring no letter that neither text nor
 samples have), costs DOUBT more, or ODD_COST if capitals inside words or unknown letters go. A further step starts from
-the BEAM best of the readings that explain something.
+every reading that explains something and still leaves something; a reading met again by a longer chain isn't tried twice,
+as the shorter chain is the cheaper one.
 
-The dictionaries and word lists are made from a bounded sample of labelled texts (`LanguageModel.fit`): per language
-sample_docs texts of at most sample_chars characters, chosen by hash.
+The word lists are made from a bounded sample of labelled texts (`LanguageModel.fit`): per language sample_docs texts of at
+most sample_chars characters, chosen by hash; the dictionary of a language from those of them, in order of the hash, that
+fit into dictionary_bytes as a whole.
 
 Defined results: null and empty texts are unchanged and no case; a text with U+FFFD other than one at its very end is a
-case that can't be recovered (the passages around are still mended); repeated rows are handled each; an empty table, or
+case that can't be recovered, marked as lossy (the passages around are still mended); repeated rows are handled each; an empty table, or
 an empty sample, gives no change.
 """
 
@@ -31,7 +33,7 @@ from functools import cache
 import pyarrow as pa
 import regex
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import slices
@@ -47,7 +49,6 @@ MARGIN = 0.5  # bytes by which a chain has to beat the text as it is
 MAX_STEPS = 3
 ODD_COST = 1.0  # bytes for a reading that leaves as many suspicious places and is less odd otherwise
 DOUBT = 8.0  # bytes for a reading as odd as the text, and for each further odd place
-BEAM = 2  # readings of a step that a further one starts from
 
 _WORD = regex.compile(r"[\p{L}\p{M}]*[^\x00-\x7f\P{L}][\p{L}\p{M}]*")
 #: Letters, marks, typographic quotes and dashes, blanks, invisible characters: not odd beside a letter.
@@ -94,11 +95,26 @@ def _mixed(word: str) -> bool:
     return sum(bool(k.search(word)) for k in _SCRIPTS) > 1
 
 
+def _filled(texts: list[str], most: int) -> bytes:
+    """The texts, one per line, that fit into `most` bytes as a whole."""
+    out = b""
+    for t in texts:
+        raw = t.encode("utf-8", "surrogatepass") + b"\n"
+        if len(out) + len(raw) <= most:
+            out += raw
+    return out
+
+
+def _beyond(text: str) -> str:
+    """The words of text with anything beyond ASCII: all that can be odd beside them is in them."""
+    return " ".join([w for w in text.replace("\n", " ").split(" ") if not w.isascii()])
+
+
 class LanguageModel:
     """Dictionaries and word lists of the sample languages."""
 
     def __init__(self, samples: dict[str, list[str]], dictionary_bytes: int = 64 << 10) -> None:
-        self.data = {k: "\n".join(v).encode("utf-8", "surrogatepass")[:dictionary_bytes] for k, v in sorted(samples.items()) if v}
+        self.data = {k: _filled(v, dictionary_bytes) for k, v in sorted(samples.items()) if v}
         seen: Counter[str] = Counter()
         for texts in samples.values():
             for t in texts:
@@ -115,13 +131,12 @@ class LanguageModel:
 
     @classmethod
     def fit(cls, documents: DataFrame, languages: tuple[str, ...] = ("de", "en", "es", "fr", "pt", "ru"), sample_docs: int = 250, sample_chars: int = 8000) -> LanguageModel:
-        """From documents (doc_id, text, lang). The sample is at most 6 x sample_docs texts of sample_chars characters."""
-        usable = documents.filter(F.col("text").isNotNull() & (F.length("text").between(40, sample_chars)))
-        parts = [usable.filter(F.col("lang") == k).select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(sample_docs) for k in languages]
-        ids = parts[0]
-        for p in parts[1:]:
-            ids = ids.unionByName(p)
-        chosen = [r.doc_id for r in ids.select("doc_id").collect()]
+        """From documents (doc_id, text, lang). The sample is at most sample_docs texts of sample_chars characters for each
+        language; it is found in one pass, and read in another that looks at the ids only but for its rows."""
+        usable = documents.filter(F.col("lang").isin(*languages) & F.length("text").between(40, sample_chars))
+        rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+        ranked = usable.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).withColumn("n", rank)
+        chosen = [r.doc_id for r in ranked.filter(F.col("n") <= sample_docs).select("doc_id").collect()]
         rows = documents.filter(F.col("doc_id").isin(chosen)).select("lang", "text", F.xxhash64("doc_id").alias("h")).collect() if chosen else []
         samples: dict[str, list[str]] = {}
         for r in sorted(rows, key=lambda r: (r.h, r.text or "")):
@@ -146,6 +161,7 @@ class LanguageModel:
         n = self.suspicion(text) + self.strange(text)
         if text.isascii():
             return n
+        text = _beyond(text)
         n += len(_INNER_CAPITAL.findall(text))
         if any(c not in self.letters and c.isalpha() for c in set(text)):
             for w in _WORD.findall(text):
@@ -155,8 +171,8 @@ class LanguageModel:
 
     def foreign(self, text: str, origin: str) -> int:
         """Letters that neither origin nor the samples have."""
-        had = set(origin)
-        return sum(c not in self.letters and c.isalpha() and c not in had for c in text)
+        new = {c for c in set(text) - set(origin) if c not in self.letters and c.isalpha()}
+        return sum(map(text.count, new)) if new else 0
 
     def brought(self, text: str, origin: str) -> int:
         """Foreign letters, and words of two scripts or of Cyrillic that origin hasn't."""
@@ -167,13 +183,15 @@ class LanguageModel:
         """Signs beyond ASCII that are neither common nor in the samples."""
         if text.isascii():
             return 0
-        return sum(c > "\x7f" and c not in self.signs and not c.isalpha() and not _COMMON.match(c) for c in text)
+        new = {c for c in set(text) if c > "\x7f" and c not in self.signs and not c.isalpha() and not _COMMON.match(c)}
+        return sum(map(text.count, new)) if new else 0
 
     def suspicion(self, text: str) -> int:
         """Places of text that the samples don't explain."""
         n = len(_CONTROL.findall(text)) + (len(_SEVEN.findall(text)) if "+" in text else 0)
         if text.isascii():
             return n
+        text = _beyond(text)
         n += len(_SIGN.findall(text)) + sum(w.lower() not in self.words for w in _WORD.findall(text))
         return n + sum(len(_INSIDE.findall(w)) or self.hides_word(w) for w in _EDGED.findall(text))
 
@@ -268,11 +286,14 @@ def _best_chain(text: str, model: LanguageModel, words: bool) -> tuple[str, tupl
     best, steps = text, ()
     least = model.length(text) - MARGIN
     front = [(text, ())]
-    for depth in range(1, MAX_STEPS + 1):
+    met = {text}
+    for _ in range(MAX_STEPS):
         fresh: dict[str, tuple[float, tuple[str, ...]]] = {}
         for t, s in front:
             limit, signs, was = model.suspicion(t), model.strange(t), model.odd(t)
             for c, k in (word_candidates(t, model) if words else candidates(t)).items():
+                if c in met:
+                    continue
                 # bytes that happen to be UTF-8 speak for themselves; other readings must explain something or pay for it
                 n, extra = model.suspicion(c), 0.0
                 if n > limit or model.strange(c) > signs or n == limit and not (k.endswith("utf-8") and not model.foreign(c, t)):
@@ -286,8 +307,9 @@ def _best_chain(text: str, model: LanguageModel, words: bool) -> tuple[str, tupl
         if priced[0][0] < least:
             least, best = priced[0]
             steps = fresh[best][1]
-        # garbled twice: of the readings that explain something the best ones have a further step
-        front = [(c, fresh[c][1]) for _, c in [x for x in priced if not fresh[x[1]][0]][:BEAM] if model.suspicion(c)]
+        # garbled twice: readings that explain something have a further step
+        met |= fresh.keys()
+        front = [(c, fresh[c][1]) for _, c in priced if not fresh[c][0] and model.suspicion(c)]
         if not front:
             break
     return best, steps
@@ -330,7 +352,7 @@ def _mend(model: LanguageModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[str | None, list[str]]] = {}
         for b in slices(batches, "text", 4 << 20):
-            out = {"mended": [], "chain": [], "garbled": [], "recovered": []}
+            out = {"mended": [], "chain": [], "garbled": [], "recovered": [], "lossy": []}
             known.clear()
             for t in b.column("text").to_pylist():
                 new, chains = known[t] if t in known else known.setdefault(t, mend(t, model))
@@ -339,9 +361,10 @@ def _mend(model: LanguageModel):
                 out["chain"].append(" | ".join(chains) or None)
                 out["garbled"].append(bool(chains) or lossy)
                 out["recovered"].append(bool(chains) and not lossy)
+                out["lossy"].append(lossy)
             keep = [k for k in b.schema.names if k != "text"]
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(k) for k in keep), pa.array(out["mended"], pa.string()), pa.array(out["chain"], pa.string()), pa.array(out["garbled"], pa.bool_()), pa.array(out["recovered"], pa.bool_())],
+                [*(b.column(k) for k in keep), pa.array(out["mended"], pa.string()), pa.array(out["chain"], pa.string()), pa.array(out["garbled"], pa.bool_()), pa.array(out["recovered"], pa.bool_()), pa.array(out["lossy"], pa.bool_())],
                 names=[*keep, *out],
             )
 
@@ -349,6 +372,6 @@ def _mend(model: LanguageModel):
 
 
 def mended(df: DataFrame, id_col: str, text_col: str, model: LanguageModel) -> DataFrame:
-    """(rec_id, mended, chain, garbled, recovered) of every row."""
+    """(rec_id, mended, chain, garbled, recovered, lossy) of every row."""
     src = df.select(F.col(id_col).cast("long").alias("rec_id"), F.col(text_col).alias("text"))
-    return spread(src).mapInArrow(_mend(model), "rec_id long, mended string, chain string, garbled boolean, recovered boolean")
+    return spread(src).mapInArrow(_mend(model), "rec_id long, mended string, chain string, garbled boolean, recovered boolean, lossy boolean")
