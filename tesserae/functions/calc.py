@@ -148,6 +148,19 @@ def is_expression(text: str | None) -> bool:
     return bool(text) and (any(c in "+-*/^()" for c in text) or any(n in text.lower() for n in names))
 
 
-@F.pandas_udf(StructType().add("valid", BooleanType()).add("value", DoubleType()).add("text", StringType()))
+_RESULT = StructType().add("valid", BooleanType()).add("value", DoubleType()).add("text", StringType())
+
+
+@F.pandas_udf(_RESULT)
 def calculate(expression: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([evaluate(x) for x in expression], columns=["valid", "value", "text"], index=expression.index)
+
+
+@F.pandas_udf(_RESULT)
+def calculate_degrees(expression: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([evaluate(x, True) for x in expression], columns=["valid", "value", "text"], index=expression.index)
+
+
+@F.pandas_udf(BooleanType())
+def is_calculation(text: pd.Series) -> pd.Series:
+    return text.map(is_expression).astype(bool)

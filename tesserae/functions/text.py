@@ -107,8 +107,19 @@ def strip_xml_text(text: str) -> str:
 
 
 @F.pandas_udf(StringType())
-def strip_xml(text: pd.Series) -> pd.Series:
-    return text.map(strip_xml_text, na_action="ignore")
+def _entities(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: _XML_ENTITY.sub(_xml_entity, t), na_action="ignore")
+
+
+def strip_xml(text: Column) -> Column:
+    """strip_xml_text as a column; only texts with a numeric entity leave the engine."""
+    bare = F.translate(F.regexp_replace(text, r"(<)[^>]*>|<[^>]*\z", "$1"), "<", " ")
+    named = bare
+    for name, char in _XML_NAMES.items():  # &amp; last, so that what it yields isn't decoded again
+        if name != "amp":
+            named = F.replace(named, F.lit(f"&{name};"), F.lit(char))
+    named = F.replace(named, F.lit("&amp;"), F.lit("&"))
+    return F.when(F.contains(bare, F.lit("&#")), _entities(bare)).otherwise(named)
 
 
 def strip_html_text(text: str) -> str:
@@ -118,6 +129,11 @@ def strip_html_text(text: str) -> str:
     return text
 
 
+def local_time(mtime_ns: Column) -> Column:
+    """A time in nanoseconds as 'Jan 02, 2025  13:45' in the session's time zone."""
+    return F.date_format(F.timestamp_seconds(F.call_function("div", mtime_ns, F.lit(1_000_000_000))), "MMM dd, yyyy  HH:mm")
+
+
 def basename(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
@@ -136,18 +152,20 @@ def badge(path: Column) -> Column:
     return F.when(ext == "", "FILE").otherwise(ext)
 
 
+#: Icon family of extensions.
+ICONS = {
+    "image-x-generic": ("png", "jpg", "jpeg", "gif", "svg", "webp", "bmp"), "audio-x-generic": ("mp3", "flac", "ogg", "wav", "m4a"),
+    "video-x-generic": ("mp4", "mkv", "webm", "mov"), "application-pdf": ("pdf",), "package-x-generic": ("zip", "tar", "gz", "xz", "7z", "rar"),
+    "text-x-script": ("cpp", "hpp", "h", "c", "py", "js", "ts", "rs", "go", "java", "sh"),
+}
+
+
 def icon(path: Column) -> Column:
     """Icon family by extension."""
-    ext = extension(path)
-    return (
-        F.when(ext.isin("png", "jpg", "jpeg", "gif", "svg", "webp", "bmp"), "image-x-generic")
-        .when(ext.isin("mp3", "flac", "ogg", "wav", "m4a"), "audio-x-generic")
-        .when(ext.isin("mp4", "mkv", "webm", "mov"), "video-x-generic")
-        .when(ext == "pdf", "application-pdf")
-        .when(ext.isin("zip", "tar", "gz", "xz", "7z", "rar"), "package-x-generic")
-        .when(ext.isin("cpp", "hpp", "h", "c", "py", "js", "ts", "rs", "go", "java", "sh"), "text-x-script")
-        .otherwise("text-x-generic")
-    )
+    ext, out = extension(path), F.lit("text-x-generic")
+    for name, extensions in ICONS.items():
+        out = F.when(ext.isin(*extensions), name).otherwise(out)
+    return out
 
 
 def human_size(size: Column) -> Column:
@@ -210,6 +228,20 @@ def application_matches(query: str, columns: tuple[str, ...] = ("name", "generic
     return out
 
 
+def command_matches(query: str, name: str = "name", command: str = "command") -> Column:
+    """The query is part of the name, in any case; of entries with a name and a command."""
+    filled = (F.coalesce(name, F.lit("")) != "") & (F.coalesce(command, F.lit("")) != "")
+    return filled & F.lower(F.coalesce(name, F.lit(""))).contains(query.lower())
+
+
+def inside_roots(path: Column, roots: list[str]) -> Column:
+    """Under one of the roots, or one itself."""
+    out = F.lit(False)
+    for r in roots:
+        out = out | within(path, r)
+    return out
+
+
 def within(path: Column, folder: str) -> Column:
     """The folder itself or anything under it; a sibling whose name begins alike isn't."""
     f = folder.rstrip("/") if folder != "/" else ""

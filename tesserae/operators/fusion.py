@@ -20,6 +20,25 @@ SECTIONS = {"calculator": "APPLICATIONS", "command": "APPLICATIONS", "applicatio
 ORDER = ("calculator", "command", "application", "file", "folder", "content")
 
 
+MOST_LINES = 10_000  # rows of a list that is numbered in one task
+
+
+def percentiles(rows: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """Nearest-rank percentiles of value by group, and its maximum as `worst`; null values don't count."""
+    ranks = [F.expr(f"percentile_disc({p}) within group (order by {value})").alias(k) for k, p in shares.items()]
+    return rows.filter(F.col(value).isNotNull()).groupBy(group).agg(*ranks, F.max(value).alias("worst"))
+
+
+def name_scan(files: DataFrame, text: str, limit: int = 200) -> DataFrame:
+    """(path, name, size) of files with text in their name, in any case, first by path."""
+    return files.filter(F.instr(F.lower("name"), text.lower()) > 0).orderBy("path").limit(limit).select("path", "name", "size")
+
+
+def best_files(scored: DataFrame, limit: int = 8) -> DataFrame:
+    """The best rows by score, then seq."""
+    return scored.orderBy(F.desc("score"), "seq").limit(limit)
+
+
 def best_per_group(items: DataFrame, group: str, k: int) -> DataFrame:
     """The k best rows of each group by score, then seq."""
     w = Window.partitionBy(group).orderBy(F.desc("score"), "seq")
@@ -27,7 +46,9 @@ def best_per_group(items: DataFrame, group: str, k: int) -> DataFrame:
 
 
 def fuse(items: DataFrame) -> DataFrame:
-    """(position, section, kind, name, path, score): items are the few rows that providers return, each capped."""
+    """(position, section, kind, name, path, score): items are the few rows that providers return; the first MOST_LINES of
+    each kind by score, then seq, are taken."""
+    items = best_per_group(items, "kind", MOST_LINES).drop("rank")
     place = F.array_position(F.array(*[F.lit(k) for k in ORDER]), F.col("kind")).cast("int")
     items = items.withColumn("provider", F.when(F.col("kind").isin("file", "folder"), 4).otherwise(F.when(place > 0, place).otherwise(5)))
     content = F.coalesce(F.col("kind") == "content", F.lit(False))

@@ -1,9 +1,20 @@
 """Inverted index and ranked search.
 
-The index of docs (id, name, body) is four tables: postings (term, id, col, pos, colocated), lengths (id, len), vocab
-(term, doc, cnt) and corpus (n_docs, avg_len). Written with a hash bucket of the term as partition, a query reads only
-the buckets of its terms. An index computed on the fly (Index.of) answers from the token arrays of each document
-instead: no posting is shuffled, and only (id, length, frequencies) of the documents that match go on. Ranking is BM25 with the name weighing ten times the body; ties go to the lower id.
+A written index of docs (id, name, body) is these tables, in a hash bucket of the term as partition where they have terms:
+
+- postings (term, id, col, pos, colocated), by term and newest id first: phrases and prefixes
+- hits (term, id, names, bodies, len), one row per term and document, newest first: words as they are
+- vocab (term, doc, cnt): document frequencies and counts
+- spans (term, span, docs): documents of a common term by range of ids; tells how far down the newest of them reach
+- lengths (id, len), docs (id, name, body) by id, corpus (n_docs, avg_len, total_len, buckets), one row
+- grams (gram, id), for an index written for substrings
+
+A query reads only the buckets of its terms, and statistics are looked up, not counted. The bounded plan reads a common
+term's newest hits only: spans give an id below which nothing is needed, and the filter on it skips row groups.
+
+An index computed on the fly (Index.of) answers from the token arrays of each document instead: no posting is shuffled,
+and only (id, length, frequencies) of the documents that match go on. Ranking is BM25 with the name weighing ten times the
+body; ties go to the lower id.
 
 Defined results: null names and bodies have no tokens (the document still counts); an empty query, or one without terms,
 or a limit of 0 or less, gives no rows; ids are expected to be unique; extra columns are ignored.
@@ -14,15 +25,29 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.tokens import index_tokens
+from ..functions.tokens import index_tokens, trigrams
 from ..plans.query import Phrase, condition, parse, phrases
-from ..session import spread
+from ..session import exists, spread
 
 WEIGHT_NAME, WEIGHT_BODY, K1, B = 10.0, 1.0, 1.2, 0.75
 BUCKETS = 64
+SPAN = 4096  # ids of a span
+SCHEMAS = {
+    "postings": "term string, id long, col int, pos int, colocated boolean, bucket int", "hits": "term string, id long, names int, bodies int, len int, bucket int",
+    "vocab": "term string, doc long, cnt long, bucket int", "spans": "term string, span long, docs long, bucket int", "grams": "id long, gram string, bucket int",
+    "lengths": "id long, len long", "docs": "id long, name string, body string", "corpus": "n_docs long, avg_len double, total_len long, buckets int",
+}
+FETCHED = 1000  # winners up to this number are fetched by their ids
+
+
+def bucket_of(term: str, buckets: int = BUCKETS) -> int:
+    """The bucket of a term, as the engine's xxhash64 gives it."""
+    h = xxhash.xxh64_intdigest(term.encode("utf-8", "surrogatepass"), seed=42)
+    return (h - (1 << 64) if h >> 63 else h) % buckets
 
 
 def _length() -> Column:
@@ -61,6 +86,12 @@ class Index:
     files: DataFrame | None = None
     bucketed: bool = False
     arrays: DataFrame | None = None  # (id, name, body) as arrays of tokens
+    hits: DataFrame | None = None
+    terms: DataFrame | None = None
+    spans: DataFrame | None = None
+    grams: DataFrame | None = None
+    stats: tuple[int, float, int] | None = None  # documents, average and total length
+    buckets: int = BUCKETS
 
     # ---- building
 
@@ -77,14 +108,37 @@ class Index:
         return cls(postings, arrays.select("id", _length()), docs, files, arrays=arrays)
 
     def bucketed_postings(self) -> DataFrame:
-        b = self.postings.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
-        return b.repartitionByRange("bucket", "term", "id").sortWithinPartitions("bucket", "term", "id", "col", "pos")
-
-    def write(self, path: str) -> None:
-        """Postings partitioned by a bucket of the term and sorted by it, so that term ranges are pruned."""
-        self.bucketed_postings().write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/postings")
-        self.lengths.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/lengths")
-        self.docs.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/docs")
+        return self._bucketed(self.postings, "term").repartitionByRange("bucket", "term", F.desc("id")).sortWithinPartitions("bucket", "term", F.desc("id"), "col", "pos")
+
+    def _bucketed(self, df: DataFrame, term: str) -> DataFrame:
+        return df.withColumn("bucket", F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int"))
+
+    def write(self, path: str, buckets: int = BUCKETS, substrings: bool = False) -> None:
+        """All tables of the index under a folder. Ranges of (bucket, term, id) are tasks of their own, so that a common
+        term is spread, and every file is sorted, so that ranges of terms and ids are pruned."""
+        self.buckets = buckets
+        spark = self.docs.sparkSession
+
+        def save(df: DataFrame, name: str, by_bucket: bool = True) -> DataFrame:
+            w = df.write.mode("overwrite").option("compression", "zstd")
+            (w.partitionBy("bucket") if by_bucket else w).parquet(f"{path}/{name}")
+            return spark.read.schema(df.schema).parquet(f"{path}/{name}")
+
+        postings = save(self.bucketed_postings(), "postings")
+        lengths = save(self.lengths, "lengths", False)
+        save(self.docs.repartitionByRange("id").sortWithinPartitions("id"), "docs", False)
+        counts = postings.groupBy("bucket", "term", "id").agg(F.count_if(F.col("col") == 0).cast("int").alias("names"), F.count_if(F.col("col") == 1).cast("int").alias("bodies"))
+        hits = counts.join(lengths.select("id", F.col("len").cast("int").alias("len")), "id")
+        hits = save(hits.repartitionByRange("bucket", "term", F.desc("id")).sortWithinPartitions("bucket", "term", F.desc("id")), "hits")
+        vocab = hits.groupBy("bucket", "term").agg(F.count("*").alias("doc"), F.sum(F.col("names") + F.col("bodies")).alias("cnt"))
+        vocab = save(vocab.repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term"), "vocab")
+        spans = hits.groupBy("bucket", "term", F.floor(F.col("id") / SPAN).alias("span")).agg(F.count("*").alias("docs"))
+        common = vocab.filter(F.col("doc") > SPAN).select("bucket", "term")
+        save(spans.join(common, ["bucket", "term"], "left_semi").repartitionByRange("bucket", "term", F.desc("span")).sortWithinPartitions("bucket", "term", F.desc("span")), "spans")
+        save(lengths.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"), F.sum("len").alias("total_len")).withColumn("buckets", F.lit(buckets)), "corpus", False)
+        if substrings:
+            grams = self.docs.select("id", F.explode(F.array_distinct(F.concat(trigrams(F.col("name")), trigrams(F.col("body"))))).alias("gram"))
+            save(self._bucketed(grams, "gram").repartitionByRange("bucket", "gram", "id").sortWithinPartitions("bucket", "gram", "id"), "grams")
 
     def updated(self, changed: DataFrame, gone: DataFrame | None = None) -> Index:
         """The index after documents (id, name, body) changed or came, and ids of gone went: their postings are dropped
@@ -99,13 +153,17 @@ class Index:
 
     @classmethod
     def read(cls, spark: SparkSession, path: str, files: DataFrame | None = None) -> Index:
-        return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"), spark.read.parquet(f"{path}/docs"), files, True)
+        t = {k: spark.read.schema(v).parquet(f"{path}/{k}") for k, v in SCHEMAS.items() if k != "grams" or exists(spark, f"{path}/{k}")}
+        c = t["corpus"].first()
+        return cls(t["postings"], t["lengths"], t["docs"], files, True, None, t["hits"], t["vocab"], t["spans"], t.get("grams"), (c.n_docs, c.avg_len or 0.0, c.total_len or 0), c.buckets)
 
     # ---- statistics
 
     def vocab(self) -> DataFrame:
-        """(term, doc, cnt). With token arrays each document gives its distinct terms and all its tokens, which are
+        """(term, doc, cnt). Stored ones if there are; with token arrays each document gives its distinct terms and all its tokens, which are
         counted before the shuffle."""
+        if self.terms is not None:
+            return self.terms.select("term", "doc", "cnt")
         if self.arrays is not None:
             every = self.arrays.select(F.concat("name", "body").alias("t")).select(F.concat(F.transform("t", lambda x: x["term"]), F.filter(F.transform("t", lambda x: x["whole"]), lambda x: x.isNotNull())).alias("t"))
             each = every.select(F.explode(F.array(F.struct(F.lit(0).alias("d"), F.col("t")), F.struct(F.lit(1).alias("d"), F.array_distinct("t").alias("t")))).alias("s")).select("s.d", F.explode("s.t").alias("term"))
@@ -113,6 +171,8 @@ class Index:
         return self.postings.groupBy("term").agg(F.count_distinct("id").alias("doc"), F.count("*").alias("cnt"))
 
     def corpus(self) -> DataFrame:
+        if self.stats is not None:
+            return self.docs.sparkSession.createDataFrame([self.stats], "n_docs long, avg_len double, total_len long")
         return self.lengths.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"), F.sum("len").alias("total_len"))
 
     def document_frequencies(self, text: str) -> DataFrame:
@@ -120,36 +180,35 @@ class Index:
         words = list(dict.fromkeys(w.lower() for w in text.split()))
         spark = self.postings.sparkSession
         asked = spark.createDataFrame([(w,) for w in words], "term string")
-        hits = self._terms(F.col("term").isin(words), words).groupBy("term").agg(F.count_distinct("id").alias("doc"))
+        if self.terms is not None:
+            hits = self._of_terms(self.terms, words).select("term", "doc")
+        else:
+            hits = self._of_terms(self.postings, words).groupBy("term").agg(F.count_distinct("id").alias("doc"))
         return asked.join(hits, "term", "left").select("term", F.coalesce("doc", F.lit(0)).alias("doc"))
 
     def is_common(self, text: str, common_df: int) -> bool:
-        """Whether every word of text is in more than common_df documents."""
+        """Whether every word of text is in more than common_df documents; with one that is nowhere, nothing is scored."""
         if not text.split() or common_df <= 0:
             return False
         return (self.document_frequencies(text).agg(F.min("doc")).first()[0] or 0) > common_df
 
     # ---- matching
 
-    def _terms(self, cond: Column, exact: list[str] | None) -> DataFrame:
-        p = self.postings
-        if self.bucketed and exact is not None:
-            buckets = p.sparkSession.createDataFrame([(t,) for t in exact], "t string").select(F.pmod(F.xxhash64("t"), F.lit(BUCKETS)).cast("int").alias("b")).collect() if exact else []
-            p = p.filter(F.col("bucket").isin([r.b for r in buckets]))
-        return p.filter(cond)
+    def _of_terms(self, table: DataFrame, terms: list[str]) -> DataFrame:
+        """Rows of some terms, from their buckets only."""
+        if self.bucketed:
+            table = table.filter(F.col("bucket").isin(sorted({bucket_of(t, self.buckets) for t in terms})))
+        return table.filter(F.col("term").isin(terms) if len(terms) != 1 else F.col("term") == terms[0])
 
-    def occurrences(self, phrase: Phrase) -> DataFrame:
-        """(id, col, pos) where a phrase starts; segments of a compound count as neighbours."""
+    def occurrences(self, phrase: Phrase, low: int | None = None) -> DataFrame:
+        """(id, col, pos) where a phrase starts, in documents from id low on; segments of a compound count as neighbours."""
         found = None
         for k, term in enumerate(phrase.terms):
-            last = k == len(phrase.terms) - 1
-            if last and phrase.prefix:
-                rows = self._terms(F.col("term").startswith(term), None)
-            else:
-                rows = self._terms(F.col("term") == term, [term])
+            prefix = phrase.prefix and k == len(phrase.terms) - 1
+            rows = self.postings.filter(F.col("term").startswith(term)) if prefix else self._of_terms(self.postings, [term])
+            rows = rows if low is None else rows.filter(F.col("id") >= low)
             rows = rows.select("id", "col", (F.col("pos") - k).alias("pos"))
-            if last and phrase.prefix:
-                rows = rows.distinct()
+            rows = rows.distinct() if prefix else rows
             found = rows if found is None else found.join(rows, ["id", "col", "pos"])
         return found
 
@@ -168,6 +227,27 @@ class Index:
         hits = hits.withColumn("one", F.lit(1)).join(F.broadcast(corpus.withColumn("one", F.lit(1))), "one")
         return hits.select("id", reduce(Column.__add__, [_part(F.col(t), F.col(f"df{k}")) for k, t in enumerate(names)]).alias("score"))
 
+    def _simple(self, wanted: list[Phrase]) -> bool:
+        """Whether hits answer it: words as they are, without segments."""
+        return self.hits is not None and bool(wanted) and all(len(p.terms) == 1 and not p.prefix for p in wanted)
+
+    def _found(self, wanted: list[Phrase], low: int | None = None) -> DataFrame:
+        """(id, len, tf0, tf1, ...) of the documents from id low on that have all words, joined from their hits."""
+        found = None
+        for k, p in enumerate(wanted):
+            h = self._of_terms(self.hits, [p.terms[0]])
+            h = h if low is None else h.filter(F.col("id") >= low)
+            h = h.select("id", *(["len"] if found is None else []), (WEIGHT_NAME * F.col("names") + WEIGHT_BODY * F.col("bodies")).alias(f"tf{k}"))
+            found = h if found is None else found.join(h, "id")
+        return found
+
+    def _weighed(self, found: DataFrame, wanted: list[Phrase]) -> DataFrame:
+        """(id, score) of found rows with stored statistics."""
+        n, average, _ = self.stats
+        df = {r.term: r.doc for r in self._of_terms(self.terms, list({p.terms[0] for p in wanted})).select("term", "doc").collect()}  # a row per word of the query
+        rows = found.withColumns({"n_docs": F.lit(n), "avg_len": F.lit(average)})
+        return rows.select("id", reduce(Column.__add__, [_part(F.col(f"tf{k}"), F.lit(df.get(p.terms[0], 0))) for k, p in enumerate(wanted)]).alias("score"))
+
     def _frequencies(self, wanted: list[Phrase], keep: DataFrame | None) -> DataFrame:
         """(id, phrase, tf) of documents with all phrases, and df of each phrase over all documents."""
         tf = None
@@ -183,25 +263,74 @@ class Index:
         """(id, score) of documents with all phrases (and in keep)."""
         if self.arrays is not None:
             return self._scan_scores(wanted, keep)
+        if self._simple(wanted):
+            found = self._found(wanted)
+            return self._weighed(found if keep is None else found.join(keep, "id", "left_semi"), wanted)
         corpus = self.corpus().select("n_docs", "avg_len", F.lit(1).alias("one"))
         hits = self._frequencies(wanted, keep).join(self.lengths, "id").withColumn("one", F.lit(1)).join(F.broadcast(corpus), "one")
         return hits.groupBy("id").agg(F.sum(_part(F.col("tf"), F.col("df"))).alias("score"), F.count("*").alias("k")).filter(F.col("k") == len(wanted)).select("id", "score")
 
+    def _floor(self, words: list[str], budget: int) -> int | None:
+        """An id from which on one of the words has `budget` documents at least; None if all of each are needed."""
+        if self.spans is None:
+            return None
+        # every span has a document, so that no more rows than the budget are looked at
+        rows = self._of_terms(self.spans, words).groupBy("term", "span").agg(F.first("docs").alias("docs"))
+        best = None
+        for w in dict.fromkeys(words):
+            total = 0
+            for r in rows.filter(F.col("term") == w).orderBy(F.desc("span")).limit(budget).collect():
+                total += r.docs
+                if total >= budget:
+                    low = r.span * SPAN
+                    best = low if best is None or low < best else best
+                    break
+        return best
+
     def newest(self, wanted: list[Phrase], budget: int, keep: DataFrame | None = None) -> DataFrame:
         """The `budget` highest ids among documents with all phrases."""
+        return self._newest(wanted, budget, keep).select("id")
+
+    def _newest(self, wanted: list[Phrase], budget: int, keep: DataFrame | None) -> DataFrame:
         if self.arrays is not None:
-            hits = self._matches(wanted).filter(reduce(Column.__and__, [F.col(f"tf{k}") > 0 for k in range(len(wanted))])).select("id")
+            hits = self._matches(wanted).filter(reduce(Column.__and__, [F.col(f"tf{k}") > 0 for k in range(len(wanted))]))
             hits = hits.join(keep, "id", "left_semi") if keep is not None else hits
             return hits.orderBy(F.desc("id")).limit(budget)
-        tf = self._frequencies(wanted, keep).groupBy("id").agg(F.count("*").alias("k")).filter(F.col("k") == len(wanted))
-        return tf.select("id").orderBy(F.desc("id")).limit(budget)
+
+        def matches(low: int | None) -> DataFrame:
+            if self._simple(wanted):
+                out = self._found(wanted, low)
+            else:
+                out = reduce(lambda a, b: a.join(b, "id"), [self.occurrences(p, low).select("id").distinct() for p in wanted])
+            out = out if keep is None else out.join(keep, "id", "left_semi")
+            return out.orderBy(F.desc("id")).limit(budget)
+
+        # words of common terms: the newest spans first, more of them until enough documents have all words
+        exact = [t for p in wanted for k, t in enumerate(p.terms) if not (p.prefix and k == len(p.terms) - 1)]
+        certain = self._simple(wanted) and len(wanted) == 1 and keep is None
+        reach = budget
+        while (low := self._floor(exact, reach)) is not None:
+            out = matches(low)
+            if certain or out.count() == budget:
+                return out
+            reach *= 8
+        return matches(None)
+
+    def bounded(self, wanted: list[Phrase], budget: int, keep: DataFrame | None = None) -> DataFrame:
+        """(id, score) of the `budget` newest documents with all phrases."""
+        new = self._newest(wanted, budget, keep)
+        return self._weighed(new, wanted) if self._simple(wanted) else self.scores(wanted, new.select("id"))
 
     def contains(self, text: str, keep: DataFrame | None = None) -> DataFrame:
-        """(id) of documents with every word of three or more characters as a substring of name or body, any case."""
+        """(id) of documents with every word of three or more characters as a substring of name or body, any case. With
+        trigrams only documents that have all those of the words are looked at."""
         hits = self.docs
-        words = [w for w in text.split() if len(w.encode()) >= 3]
-        for w in words:
-            low = w.lower()
+        words = [w.lower() for w in text.split() if len(w.encode()) >= 3]
+        if self.grams is not None and (needed := sorted({w[k : k + 3] for w in words for k in range(len(w) - 2)})):
+            rows = self.grams.filter(F.col("bucket").isin(sorted({bucket_of(g, self.buckets) for g in needed})) & F.col("gram").isin(needed))
+            able = rows.groupBy("id").agg(F.count("*").alias("n")).filter(F.col("n") == len(needed)).select("id")
+            hits = hits.join(able, "id", "left_semi")
+        for low in words:
             hits = hits.filter(F.lower(F.coalesce("name", F.lit(""))).contains(low) | F.lower(F.coalesce("body", F.lit(""))).contains(low))
         hits = hits.select("id") if words else hits.select("id").limit(0)
         return hits.join(keep, "id", "left_semi") if keep is not None else hits
@@ -228,30 +357,49 @@ class Index:
             wanted = phrases(text, prefix_last=plan == "full")
             if not wanted:
                 return self._empty()
-            if plan == "bounded":
-                keep = self.newest(wanted, max(limit, budget), keep)
-            ranked = self.scores(wanted, keep)
+            ranked = self.bounded(wanted, max(limit, budget), keep) if plan == "bounded" else self.scores(wanted, keep)
         top = ranked.orderBy(F.desc("score"), "id").limit(limit)
         if self.files is None:
-            return top.join(self.docs.select("id", "name"), "id").select("id", F.lit(None).cast("string").alias("path"), "name", F.lit(None).cast("string").alias("mime"), "score").orderBy(F.desc("score"), "id")
-        # at most `limit` rows on the broadcast side
-        return F.broadcast(top).join(self.files.select("id", "path", "name", "mime"), "id").select("id", "path", "name", "mime", "score").orderBy(F.desc("score"), "id")
-
-    def search_batch(self, texts: dict[int, str], limit: int = 10) -> DataFrame:
-        """(query, rank, id, score): the best `limit` documents of many queries (exact words, no predicates) in one job.
-
-        One pass over the postings of all their terms; phrases come together by the position of their first segment."""
-        rows = [(q, p, k, t, len(phrase.terms), len(wanted)) for q, text in texts.items() for wanted in [phrases(text, False)] for p, phrase in enumerate(wanted) for k, t in enumerate(phrase.terms)]
-        asked = self.postings.sparkSession.createDataFrame(rows, "query long, phrase int, k int, term string, segments int, phrases int")
-        exact = sorted({r[3] for r in rows})
-        # the side of the queries' terms has as many rows as the caller wrote words
-        hits = self._terms(F.col("term").isin(exact) if len(exact) <= 1000 else F.lit(True), exact).join(F.broadcast(asked) if len(rows) <= 100_000 else asked, "term")
-        places = hits.groupBy("query", "phrase", "phrases", "segments", "id", "col", (F.col("pos") - F.col("k")).alias("start")).agg(F.count_distinct("k").alias("n")).filter("n = segments")
-        tf = places.groupBy("query", "phrase", "phrases", "id").agg(F.sum(F.when(F.col("col") == 0, WEIGHT_NAME).otherwise(WEIGHT_BODY)).alias("tf"))
+            rows = self.docs.select("id", F.lit(None).cast("string").alias("path"), "name", F.lit(None).cast("string").alias("mime"))
+        else:
+            rows = self.files.select("id", "path", "name", "mime")
+        if limit <= FETCHED:  # the winners are looked up by their ids, which the scan is pruned by
+            best = top.collect()
+            rows = rows.filter(F.col("id").isin([r.id for r in best]))
+            top = self.docs.sparkSession.createDataFrame([(r.id, r.score) for r in best], "id long, score double")
+        return rows.join(top, "id").select("id", "path", "name", "mime", "score").orderBy(F.desc("score"), "id")
+
+    def asked(self, queries: DataFrame) -> DataFrame:
+        """(query, phrase, k, term, segments, phrases) of queries (query, text): words split at blanks are phrases of their
+        tokens; words without any are left out."""
+        words = queries.select(F.col("query").cast("long").alias("query"), F.posexplode(F.split("text", r"\s+")).alias("phrase", "w"))
+        cut = words.select("query", "phrase", F.transform(index_tokens(F.col("w")), lambda x: x["term"]).alias("t")).filter(F.size("t") > 0)
+        count = F.count("*").over(Window.partitionBy("query"))
+        return cut.withColumn("phrases", count.cast("int")).select("query", "phrase", F.posexplode("t").alias("k", "term"), F.size("t").alias("segments"), "phrases")
+
+    def search_batch(self, queries: DataFrame | dict[int, str], limit: int = 10) -> DataFrame:
+        """(query, rank, id, score): the best `limit` documents of each query (query, text), in one job; exact words, no
+        predicates, ranked by scores to nine places.
+
+        One pass over the hits of all words, and over the postings of compound words, whose segments come together by the
+        position of the first."""
+        if isinstance(queries, dict):
+            queries = self.docs.sparkSession.createDataFrame(list(queries.items()), "query long, text string")
+        asked = self.asked(queries)
+        one = ["query", "phrase", "phrases"]
+        if self.hits is None:
+            simple, parts = None, asked
+        else:
+            words = asked.filter("segments = 1").select(*one, "term")
+            hits = self.hits.select("term", "id", (WEIGHT_NAME * F.col("names") + WEIGHT_BODY * F.col("bodies")).alias("tf"))
+            simple, parts = hits.join(words, "term").select(*one, "id", "tf"), asked.filter("segments > 1")
+        places = self.postings.select("term", "id", "col", "pos").join(parts, "term").groupBy(*one, "segments", "id", "col", (F.col("pos") - F.col("k")).alias("start")).agg(F.count_distinct("k").alias("n")).filter("n = segments")
+        tf = places.groupBy(*one, "id").agg(F.sum(F.when(F.col("col") == 0, WEIGHT_NAME).otherwise(WEIGHT_BODY)).alias("tf"))
+        tf = tf if simple is None else tf.unionByName(simple)
         df = tf.groupBy("query", "phrase").agg(F.count("*").alias("df"))
         corpus = self.corpus().select("n_docs", "avg_len", F.lit(1).alias("one"))
         scored = tf.join(df, ["query", "phrase"]).join(self.lengths, "id").withColumn("one", F.lit(1)).join(F.broadcast(corpus), "one")
-        total = scored.groupBy("query", "id").agg(F.sum(_part(F.col("tf"), F.col("df"))).alias("score"), F.count("*").alias("found"), F.first("phrases").alias("phrases")).filter("found = phrases")
+        total = scored.groupBy("query", "id").agg(F.round(F.sum(_part(F.col("tf"), F.col("df"))), 9).alias("score"), F.count("*").alias("found"), F.first("phrases").alias("phrases")).filter("found = phrases")
         rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
         return total.withColumn("rank", rank).filter(F.col("rank") <= limit).select("query", "rank", "id", "score")
 

@@ -109,6 +109,16 @@ def live_docs(docs: DataFrame, files: DataFrame) -> DataFrame:
     return docs.join(files.filter(F.col("state") != TOMBSTONE).select("id"), "id", "left_semi")
 
 
+def lookup(files: DataFrame, path: str) -> DataFrame:
+    """The row of a path, or none."""
+    return files.filter(F.col("path") == path)
+
+
+def live_paths(files: DataFrame) -> DataFrame:
+    """(path) of all files but tombstones."""
+    return files.filter(F.col("state") != TOMBSTONE).select("path")
+
+
 def purged(files: DataFrame) -> DataFrame:
     return files.filter(F.col("state") != TOMBSTONE)
 

@@ -3,19 +3,18 @@
 from __future__ import annotations
 
 import io
-import os
 import zipfile
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.calc import calculate
+from ..functions.calc import calculate, calculate_degrees, is_calculation
 from ..functions.snippet import with_snippets
 from ..functions.tokens import BOUNDARY, trigrams
 from ..operators import fusion, maintain
 from ..operators.index import Index, browse
-from ..session import scratch_dir, table
+from ..session import scratch, table
 from ..sources.files import ContentConfig, applications, extracted
 from ..streaming import changes as stream
 from .query import Phrase, condition, parse, phrases
@@ -43,8 +42,22 @@ def _files(spark, d) -> DataFrame:
     return table(spark, d, "files")
 
 
+_written: dict[tuple[str, str], str] = {}
+
+
 def _index(spark, d, files: bool = False) -> Index:
-    return Index.of(_docs(spark, d), _files(spark, d) if files else None)
+    """The index of docs as written: once for each session and folder of tables, and read back."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _written:
+        path = scratch(spark, "index")
+        Index.of(_docs(spark, d)).write(path, substrings=True)
+        _written[key] = path
+    return Index.read(spark, _written[key], _files(spark, d) if files else None)
+
+
+def _scan(spark, d) -> Index:
+    """The index computed on the fly."""
+    return Index.of(_docs(spark, d))
 
 
 # ---------------------------------------------------------------- tokens and statistics
@@ -71,6 +84,11 @@ def vocab_df(spark, d):
     return _index(spark, d).vocab()
 
 
+@query(f"with {_POSTINGS} select term, count(distinct id)::bigint as doc, count(*)::bigint as cnt from postings group by term")
+def vocab_scan(spark, d):
+    return _scan(spark, d).vocab()
+
+
 @query(f"with {_POSTINGS} select id, len::bigint as len from lengths")
 def doc_lengths(spark, d):
     return _index(spark, d).lengths
@@ -81,11 +99,9 @@ def corpus_stats(spark, d):
     return _index(spark, d).corpus().select("n_docs", F.round("avg_len", 6).alias("avg_len"), "total_len")
 
 
-@query(f"with {_POSTINGS} select term, id, col, pos::int as pos, colocated from postings where id in (select id from docs where body_z is not null)")
+@query(f"with {_POSTINGS} select term, id, col, pos::int as pos, colocated from postings")
 def positional_postings(spark, d):
-    ix = _index(spark, d)
-    keep = ix.docs.filter("body is not null").select("id")
-    return ix.postings.join(keep, "id", "left_semi").select("term", "id", "col", "pos", "colocated")
+    return _index(spark, d).postings.select("term", "id", "col", "pos", "colocated")
 
 
 @query(
@@ -139,6 +155,17 @@ def bm25_two_terms(spark, d):
     return _ranked(_index(spark, d), phrases("archive folder", False), 10)
 
 
+@query(_bm25(["select id, col, pos from postings where term = 'archive'", "select distinct id, col, pos from postings where starts_with(term, 'fold')"], 10))
+def bm25_scan(spark, d):
+    return _ranked(_scan(spark, d), phrases("archive fold", True), 10)
+
+
+@query(_bm25(["select id, col, pos from postings where term = 'archive'"], 10, "where id in (select id from tf order by id desc limit 64)"))
+def bm25_bounded_scan(spark, d):
+    ix, wanted = _scan(spark, d), phrases("archive", False)
+    return _ranked(ix, wanted, 10, ix.newest(wanted, 64))
+
+
 @query(_bm25(["select distinct id, col, pos from postings where starts_with(term, 'arch')"], 10))
 def bm25_prefix(spark, d):
     return _ranked(_index(spark, d), phrases("arch", True), 10)
@@ -156,8 +183,8 @@ def bm25_phrase_prefix(spark, d):
 
 @query(_bm25(["select id, col, pos from postings where term = 'archive'"], 10, "where id in (select id from tf order by id desc limit 64)"))
 def bm25_bounded(spark, d):
-    ix, wanted = _index(spark, d), phrases("archive", False)
-    return _ranked(ix, wanted, 10, ix.newest(wanted, 64))
+    best = _index(spark, d).bounded(phrases("archive", False), 64).orderBy(F.desc("score"), "id").limit(10)
+    return best.select("id", F.round("score", 6).alias("score"))
 
 
 @query(f"with {_POSTINGS} select id from (select distinct id from postings where term = 'archive') order by id desc limit 64")
@@ -182,21 +209,26 @@ def search_full(spark, d):
     return hits.withColumn("score", F.round("score", 6))
 
 
-_BATCH = {1: "archive", 2: "archive folder", 3: "quickArchive", 4: "xyzzy", 5: "---"}
-
-
 @query(
-    " union all ".join(
-        f"select {q}::bigint as query, row_number() over (order by score desc, id)::int as rank, id, score from ({sql})"
-        for q, sql in (
-            (1, _bm25(["select distinct id, col, pos from postings where term = 'archive'"], 10)),
-            (2, _bm25(["select id, col, pos from postings where term = 'archive'", "select id, col, pos from postings where term = 'folder'"], 10)),
-            (3, _bm25(["select a.id, a.col, a.pos from postings a join postings b on a.id = b.id and a.col = b.col and b.pos = a.pos + 1 where a.term = 'quick' and b.term = 'archive'"], 10)),
-        )
-    )
+    f"""with {_POSTINGS},
+    qw as (select id as query, unnest(string_split_regex(name, '\\s+')) as w, generate_subscripts(string_split_regex(name, '\\s+'), 1) as p from docs where id % 100 = 0 and name is not null),
+    qt as (select query, p, unnest(regexp_extract_all(w, '[\\p{{L}}\\p{{N}}]+')) as tok, generate_subscripts(regexp_extract_all(w, '[\\p{{L}}\\p{{N}}]+'), 1) as i from qw),
+    qc as (select query, p, i, case when regexp_full_match(tok, '[A-Za-z0-9]{{2,256}}') then string_split(lower({_SPLIT}), ' ') else [strip_accents(lower(tok))] end as segs from qt),
+    qs as (select query, p, i, unnest(segs) as term, generate_subscripts(segs, 1) as j from qc),
+    asked as (select query, p, term, row_number() over (partition by query, p order by i, j) - 1 as k, count(*) over (partition by query, p) as segments from qs),
+    need as (select query, count(distinct p) as phrases from asked group by query),
+    places as (select query, p, id, col from asked join postings using (term) group by query, p, segments, id, col, pos - k having count(distinct k) = segments),
+    tf as (select query, p, id, sum(case col when 0 then 10.0 else 1.0 end) as tf from places group by 1, 2, 3),
+    df as (select query, p, count(*) as df from tf group by 1, 2),
+    scored as (select query, id, round(sum(case when ln((n_docs - df + 0.5) / (df + 0.5)) > 0 then ln((n_docs - df + 0.5) / (df + 0.5)) else 1e-6 end * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))), 9) as score, count(*) as found
+      from tf join df using (query, p) join lengths using (id) cross join corpus group by 1, 2),
+    ranked as (select query, id, score, row_number() over (partition by query order by score desc, id) as rank from scored join need using (query) where found = phrases)
+    select query, rank::int as rank, id, round(score, 6) as score from ranked where rank <= 10"""
 )
 def search_batch(spark, d):
-    return _index(spark, d).search_batch(_BATCH).withColumn("score", F.round("score", 6))
+    """The names of all documents whose id is divisible by 100, each as a query against all documents."""
+    queries = _docs(spark, d).filter("id % 100 = 0 and name is not null").select(F.col("id").alias("query"), F.col("name").alias("text"))
+    return _index(spark, d).search_batch(queries).withColumn("score", F.round("score", 6))
 
 
 @query(
@@ -207,6 +239,11 @@ def planner_df(spark, d):
     return _index(spark, d).document_frequencies("archive folder xyzzy archive")
 
 
+@query("select id from docs where contains(lower(coalesce(name, '')), 'ackage') or contains(lower(coalesce(body_z, '')), 'ackage')")
+def substring_scan(spark, d):
+    return _scan(spark, d).contains("ackage")
+
+
 @query("select id from docs where contains(lower(coalesce(name, '')), 'ackage') or contains(lower(coalesce(body_z, '')), 'ackage')")
 def substring_match(spark, d):
     return _index(spark, d).contains("ackage")
@@ -297,36 +334,45 @@ def excluded_paths(spark, d):
     return _files(spark, d).filter(T.excluded(F.col("path"), ["/home/desk/Notes"], ["inbox", "src/20"])).select("id")
 
 
-@query("select id, case when strlen(body_z) > 2048 then '' else body_z end as body from docs")
+@query("select id, case when strlen(coalesce(body_z, '')) between 1 and 2048 then 'text' else 'none' end as kept from docs where body_z is null or not regexp_matches(body_z, '[\\x00-\\x08\\x0e-\\x1f]')")
 def oversize_name_only(spark, d):
-    return _docs(spark, d).select("id", F.when(F.octet_length("body") > 2048, "").otherwise(F.col("body")).alias("body"))
+    """Files over a cap keep their name only: no text is read."""
+    plain = _docs(spark, d).filter(~F.coalesce(F.col("body").rlike(r"[\x00-\x08\x0e-\x1f]"), F.lit(False)))
+    packed = plain.select(F.col("id").cast("string").alias("path"), F.encode("body", "UTF-8").alias("content"), F.lit("text/plain").alias("mime"))
+    read = extracted(packed, ContentConfig(max_file_bytes=2048))
+    return read.select(F.col("path").cast("long").alias("id"), F.when(F.col("text") != "", "text").otherwise("none").alias("kept"))
 
 
 @query("select path, name, size from files where contains(lower(name), 'draft') order by path limit 200")
 def file_scan(spark, d):
-    return _files(spark, d).filter(F.instr(F.lower("name"), "draft") > 0).orderBy("path").limit(200).select("path", "name", "size")
+    return fusion.name_scan(_files(spark, d), "draft")
 
 
 @query("select path from files where state <> 2")
 def live_paths(spark, d):
-    return _files(spark, d).filter(F.col("state") != maintain.TOMBSTONE).select("path")
+    return maintain.live_paths(_files(spark, d))
 
 
 @query("select id, path, size, state from files where path = (select min(path) from files)")
 def point_lookup(spark, d):
     f = _files(spark, d)
-    first = f.agg(F.min("path").alias("path"))
-    return f.join(F.broadcast(first), "path", "left_semi").select("id", "path", "size", "state")
+    return maintain.lookup(f, f.agg(F.min("path")).first()[0]).select("id", "path", "size", "state")
 
 
-@query()
+@query(
+    """select result_id, case when text is null then 'unsupported' when regexp_full_match(text, '[\\s\\x{1c}-\\x{1f}\\x{85}\\p{Z}]*') then 'error' else 'ok' end as status, 'office' as importer,
+    case when text is null or regexp_full_match(text, '[\\s\\x{1c}-\\x{1f}\\x{85}\\p{Z}]*') then 0 else length(replace(text, chr(0), '')) + 2 end::int as chars from extract_results"""
+)
 def zip_extract(spark, d):
-    """Containers made of the texts of files, and their text taken out again."""
+    """Containers made of the texts of all extractions, and their text taken out again."""
 
     def pack(batches):
         for pdf in batches:
             out = []
             for t in pdf["text"]:
+                if t is None:
+                    out.append(None)
+                    continue
                 buf = io.BytesIO()
                 with zipfile.ZipFile(buf, "w") as z:
                     z.writestr("word/document.xml", "<w:t>" + t.replace("&", "&amp;").replace("<", "&lt;") + "</w:t>")
@@ -335,19 +381,33 @@ def zip_extract(spark, d):
             pdf["content"] = out
             yield pdf[["path", "content"]]
 
-    texts = table(spark, d, "extract_results").filter("text <> ''").groupBy("path").agg(F.max("text").alias("text"))
-    packed = texts.mapInPandas(pack, "path string, content binary").select(F.concat("path", F.lit(".docx")).alias("path"), "content", F.lit(None).cast("string").alias("mime"))
-    return extracted(packed, ContentConfig()).select("path", "status", "importer", F.length("text").alias("chars"))
+    texts = table(spark, d, "extract_results").select(F.concat(F.col("result_id").cast("string"), F.lit(".docx")).alias("path"), "text")
+    packed = texts.mapInPandas(pack, "path string, content binary").withColumn("mime", F.lit(None).cast("string"))
+    return extracted(packed, ContentConfig()).select(F.regexp_extract("path", r"^(\d+)", 1).cast("long").alias("result_id"), "status", "importer", F.length("text").alias("chars"))
 
 
-@query()
+@query(
+    """select '/apps/' || p_partkey || '.desktop' as path, p_name as name, 'run --part ' || p_partkey as exec, case when p_size % 3 = 0 then '' else p_brand end as icon, p_type as categories,
+    '' as comment, case when p_size % 4 = 0 then '' else p_brand end as generic_name from part where p_partkey % 11 <> 0 and p_size % 5 <> 0 and p_size % 7 <> 0"""
+)
 def desktop_entries(spark, d):
-    rows = [
-        ("/a/files.desktop", "[Desktop Entry]\nName=Files\nExec=files %U\nCategories=System;\n[Desktop Action new]\nName=New Window\n"),
-        ("/a/hidden.desktop", "[Desktop Entry]\nName=Gone\nNoDisplay=true\n"),
-        ("/a/edit.desktop", "# comment\n[Desktop Entry]\r\nName=Editor\r\nExec=edit --new %F\r\nComment=Edit text\r\n"),
-    ]
-    return applications(spark.createDataFrame(rows, "path string, value string"))
+    """Parts as application entries: comments, both line ends, other sections, repeated keys, hidden and unnamed ones."""
+    key = F.col("p_partkey").cast("string")
+    end = F.when(F.col("p_size") % 2 == 0, "\r\n").otherwise("\n")
+
+    def line(text, when=None):
+        out = F.concat(text if not isinstance(text, str) else F.lit(text), end)
+        return out if when is None else F.when(when, out).otherwise("")
+
+    text = F.concat(
+        line("# an entry"), line("[Other]"), line("Name=not this"), line("[Desktop Entry]"), line("Name=overwritten", F.col("p_partkey") % 11 != 0),
+        line(F.concat(F.lit("  Name="), F.col("p_name")), F.col("p_partkey") % 11 != 0), line(F.concat(F.lit("Exec=run --part "), key, F.lit(" %U --last"))),
+        line(F.concat(F.lit("Icon="), F.col("p_brand")), F.col("p_size") % 3 != 0), line(F.concat(F.lit("Categories="), F.col("p_type"))), line("no key"),
+        line(F.concat(F.lit("GenericName="), F.col("p_brand")), F.col("p_size") % 4 != 0), line("NoDisplay=true", F.col("p_size") % 5 == 0), line("Hidden=true", F.col("p_size") % 7 == 0),
+        line("[Desktop Action new]"), line("Name=New window"), line("Exec=other"),
+    )
+    entries = table(spark, d, "part").select(F.concat(F.lit("/apps/"), key, F.lit(".desktop")).alias("path"), text.alias("value"))
+    return applications(entries)
 
 
 # ---------------------------------------------------------------- scalar functions
@@ -373,10 +433,10 @@ def application_search(spark, d):
     return table(spark, d, "part").filter(T.application_matches("AL", ("p_name", "p_brand", "p_type"))).select("p_partkey")
 
 
-@query("select id, '<span foreground=\"#3584e4\" weight=\"bold\">' || regexp_extract(m, '^[A-Za-z]+') || '</span>' || substring(m, length(regexp_extract(m, '^[A-Za-z]+')) + 1) as markup from (select id, replace(replace(replace(replace(replace(name, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&apos;') as m from files where regexp_matches(name, '^[A-Za-z]'))")
+@query("select id, case when regexp_extract(m, '^[A-Za-z]+') = '' then m else '<span foreground=\"#3584e4\" weight=\"bold\">' || regexp_extract(m, '^[A-Za-z]+') || '</span>' || substring(m, length(regexp_extract(m, '^[A-Za-z]+')) + 1) end as markup from (select id, replace(replace(replace(replace(replace(name, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&apos;') as m from files)")
 def snippet_markup(spark, d):
     marked = F.regexp_replace("name", "^([A-Za-z]+)", "\x02$1\x03")
-    return _files(spark, d).filter(F.col("name").rlike("^[A-Za-z]")).select("id", T.snippet_markup(marked).alias("markup"))
+    return _files(spark, d).select("id", T.snippet_markup(marked).alias("markup"))
 
 
 @query("select result_id, regexp_replace(regexp_replace(text, '\\x00', '', 'g'), '[\\x01-\\x08\\x0e-\\x1f]', ' ', 'g') as text from extract_results")
@@ -430,9 +490,9 @@ def human_size(spark, d):
     return _files(spark, d).select("id", T.human_size(F.col("size")).alias("shown"))
 
 
-@query("select id, strftime(make_timestamp((mtime_ns // 1000000000) * 1000000), '%b %d, %Y  %H:%M') as shown from files where mtime_ns > 0 and mtime_ns < 4000000000000000000")
+@query("select id, strftime(make_timestamp((mtime_ns // 1000000000) * 1000000), '%b %d, %Y  %H:%M') as shown from files")
 def shown_date(spark, d):
-    return _files(spark, d).filter("mtime_ns > 0 and mtime_ns < 4000000000000000000").select("id", F.date_format(F.timestamp_seconds(F.floor(F.col("mtime_ns") / 1_000_000_000)), "MMM dd, yyyy  HH:mm").alias("shown"))
+    return _files(spark, d).select("id", T.local_time(F.col("mtime_ns")).alias("shown"))
 
 
 @query("select id, replace(replace(replace(replace(replace(body_z, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;') as markup from docs")
@@ -452,6 +512,41 @@ def calc_eval(spark, d):
     return table(spark, d, "orders").select("o_orderkey", calculate(price).alias("r")).select("o_orderkey", "r.valid", F.round("r.value", 4).alias("value"), "r.text")
 
 
+_CALC = (
+    ("sqrt(X)", "sqrt(X)"), ("cbrt(X)", "cbrt(X)"), ("log(X)", "log10(X)"), ("ln(X)", "ln(X)"), ("abs(-X)", "X"), ("sin(X)", "sin(X)"), ("COS(X)", "cos(X)"), ("tan(X)", "tan(X)"),
+    ("asin(1/X)", "asin(1/X)"), ("acos(1/X)", "acos(1/X)"), ("atan(X)", "atan(X)"), ("Pi*X", "pi()*X"), ("e^2+X", "exp(1)^2+X"), ("phi*X", "(1+sqrt(5))/2*X"), ("exp(1/X)", "exp(1/X)"), ("sign(-X)", "-1.0"), ("floor(X)", "floor(X)"), ("ceil(X)", "ceil(X)"),
+)
+
+
+def _calc_sql(turn: str, arc: str) -> str:
+    def one(e: str) -> str:
+        x = "(o_custkey % 500 + 1.25)"
+        for f in ("sin(", "cos(", "tan("):
+            e = e.replace("a" + f, f"{arc}A{f}").replace(f"({f}", f"({turn}{f}") if e.startswith("a") else e.replace(f, f + turn)
+        return e.replace("A", "a").replace("X", x)
+
+    cases = " ".join(f"when {k} then ({one(sql)})::double" for k, (_, sql) in enumerate(_CALC))
+    return f"select o_orderkey, true as asked, true as valid, round(case o_orderkey % {len(_CALC)} {cases} end, 6) as value from orders"
+
+
+def _calc(spark, d, evaluate) -> DataFrame:
+    x = F.format_string("%.2f", F.col("o_custkey") % 500 + 1.25)
+    text = F.element_at(F.array(*[F.lit(e) for e, _ in _CALC]), (F.col("o_orderkey") % len(_CALC) + 1).cast("int"))
+    o = table(spark, d, "orders").select("o_orderkey", F.replace(text, F.lit("X"), x).alias("text"))
+    return o.select("o_orderkey", is_calculation("text").alias("asked"), evaluate("text").alias("r")).select("o_orderkey", "asked", "r.valid", F.round("r.value", 6).alias("value"))
+
+
+@query(_calc_sql("", ""))
+def calc_functions(spark, d):
+    """Functions, constants and names in any case over order prices."""
+    return _calc(spark, d, calculate)
+
+
+@query(_calc_sql("pi()/180*", "180/pi()*"))
+def calc_degrees(spark, d):
+    return _calc(spark, d, calculate_degrees)
+
+
 # ---------------------------------------------------------------- maintenance
 
 
@@ -580,10 +675,19 @@ def changes_applied(spark, d):
     return stream.apply_batch(_files(spark, d), table(spark, d, "file_changes")).select("id", "state")
 
 
+@query(
+    f"""with a as (select distinct path as folder from (select *, {_ACTION} as action from {_ONCE}) where action = 'scan' and path is not null)
+    select distinct f.path from files f join a on f.path = a.folder or starts_with(f.path, a.folder || '/')"""
+)
+def scanned_folders(spark, d):
+    """Files under folders that were created or moved in, which have no event of their own."""
+    return stream.scanned(_files(spark, d), table(spark, d, "file_changes"))
+
+
 @query(f"with {_LAST} select path, action from last")
 def stream_apply(spark, d):
     """The change table read as a stream, batch by batch, into a table of the last action of each path."""
-    base = f"{scratch_dir(spark)}/stream-{os.urandom(8).hex()}"
+    base = scratch(spark, "stream")
     state: dict[str, DataFrame] = {}
 
     def apply(batch: DataFrame, number: int) -> None:
@@ -616,10 +720,10 @@ def _score_sql(name: str, q: str, longest: int, other: int) -> str:
 _RECENCY = f"case when ({NOW} - s) / 86400.0 < 1 then 60.0 when ({NOW} - s) / 86400.0 < 7 then 40.0 when ({NOW} - s) / 86400.0 < 30 then 20.0 when ({NOW} - s) / 86400.0 < 365 then 8.0 else 0.0 end"
 
 
-@query(f"select id, ({_score_sql('name', 're', 300, 200)} - 6.0 * (length(path) - length(replace(path, '/', ''))) + {_RECENCY})::double as score from (select *, mtime_ns // 1000000000 as s from files)")
+@query(f"select id, ({_score_sql('name', 're', 300, 200)} + case when mime is null then 15.0 else 0.0 end - 6.0 * (length(path) - length(replace(path, '/', ''))) + {_RECENCY})::double as score from (select *, mtime_ns // 1000000000 as s from files)")
 def file_score(spark, d):
     f = _files(spark, d).withColumn("s", F.floor(F.col("mtime_ns") / 1_000_000_000))
-    return f.select("id", T.file_score(F.col("name"), F.col("path"), F.lit(False), F.col("s"), "re", NOW).cast("double").alias("score"))
+    return f.select("id", T.file_score(F.col("name"), F.col("path"), F.col("mime").isNull(), F.col("s"), "re", NOW).cast("double").alias("score"))
 
 
 @query(f"select p_partkey, ({_score_sql('p_name', 'al', 500, 50)})::double as score from part where contains(lower(p_name), 'al') or contains(lower(p_type), 'al')")
@@ -630,7 +734,7 @@ def app_score(spark, d):
 
 @query("select s_suppkey, (case when instr(lower(s_name), 'supp') = 1 then 900.0 else 400.0 end - least(instr(lower(s_name), 'supp') - 1, 200))::double as score from supplier where contains(lower(s_name), 'supp')")
 def command_score(spark, d):
-    s = table(spark, d, "supplier").filter(F.lower("s_name").contains("supp"))
+    s = table(spark, d, "supplier").filter(T.command_matches("supp", "s_name", "s_name"))
     return s.select("s_suppkey", T.command_score(F.col("s_name"), "supp").cast("double").alias("score"))
 
 
@@ -709,7 +813,12 @@ def mru_cycle(spark, d):
 
 @query("select event_type, quantile_disc(value, 0.5) as p50, quantile_disc(value, 0.99) as p99, max(value) as worst from events where value is not null group by event_type")
 def nearest_rank(spark, d):
-    return table(spark, d, "events").filter("value is not null").groupBy("event_type").agg(F.expr("percentile_disc(0.5) within group (order by value)").alias("p50"), F.expr("percentile_disc(0.99) within group (order by value)").alias("p99"), F.max("value").alias("worst"))
+    return fusion.percentiles(table(spark, d, "events"), "event_type", "value", {"p50": 0.5, "p99": 0.99})
+
+
+@query("select path from files where path = '/home/desk' or starts_with(path, '/home/desk/') or path = '/srv' or starts_with(path, '/srv/')")
+def inside_roots(spark, d):
+    return _files(spark, d).filter(T.inside_roots(F.col("path"), ["/home/desk/", "/srv"])).select("path")
 
 
 ORACLES["calc_eval"] = """select o_orderkey, true as valid, round(v, 4) as value, case when v = v::bigint then (v::bigint)::varchar else printf('%g', v) end as text from

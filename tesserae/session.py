@@ -9,6 +9,8 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +47,11 @@ def scratch_dir(spark: SparkSession) -> str:
     return shared.rstrip("/")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def _drop(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
@@ -54,14 +61,35 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass  # the session may have ended first
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: cuts the lineage, survives lost executors.
+_scopes: list[list[str]] = []
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder. It is removed at the end of the `staging` around, or else of the program."""
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    else:
+        atexit.register(_drop, spark, path)
+    return path
 
-    The files are removed when the program ends."""
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Remove what is staged inside when it is done: for long-running programs."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            _drop(spark, path)
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/stage-{uuid.uuid4().hex}"
+    path = scratch(spark, "stage")
     df.write.parquet(path)
-    atexit.register(_drop, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -41,6 +41,7 @@ class ContentConfig:
     excludes: list[str] = field(default_factory=list)
     exclude_paths: list[str] = field(default_factory=list)
     max_file_mb: int = 8
+    max_file_bytes: int = 0  # if set, in place of max_file_mb
     max_text_mb: int = 2
     match: str = "prefix"
     min_query: int = 3
@@ -50,6 +51,10 @@ class ContentConfig:
     reconcile_interval_s: int = 900
     reconcile_interval_degraded_s: int = 180
 
+    @property
+    def most_bytes(self) -> int:
+        return self.max_file_bytes or self.max_file_mb << 20
+
     @classmethod
     def load(cls, path: str, home: str = "~") -> ContentConfig:
         """From the tables [content] and [search] of a TOML file. Roots and excludes are the first list that isn't empty
@@ -154,7 +159,7 @@ def clean_text(text: str, most: int) -> str:
 def extracted(files: DataFrame, config: ContentConfig) -> DataFrame:
     """(path, status, text, mime, importer) of files (path, content binary, mime). Oversize and unsupported files have an
     empty text; null contents are unsupported."""
-    typed = files.withColumn("mime", F.coalesce("mime", type_of_extension(extension(F.col("path"))), F.lit(""))).select("path", F.when(F.length("content") <= config.max_file_mb << 20, F.col("content")).alias("content"), "mime", extension(F.col("path")).alias("ext"), importer(F.col("mime"), F.col("path"), config.extractors).alias("importer"))
+    typed = files.withColumn("mime", F.coalesce("mime", type_of_extension(extension(F.col("path"))), F.lit(""))).select("path", F.when(F.length("content") <= config.most_bytes, F.col("content")).alias("content"), "mime", extension(F.col("path")).alias("ext"), importer(F.col("mime"), F.col("path"), config.extractors).alias("importer"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesserae.functions.snippet import excerpt
+from tesserae.operators import index
 from tesserae.operators.index import Index, browse
 from tesserae.plans.query import Phrase, phrases
 
@@ -69,13 +70,35 @@ def test_scores_match_an_independent_engine(spark):
         assert got == want
 
 
-def test_written_index(spark, tmp_path):
-    rows = [(k, f"doc {k}", f"common word{k % 5}") for k in range(50)]
+def test_written_index(spark, tmp_path, monkeypatch):
+    """All answers of the written index, scores included, are those of the scan; spans of four ids make all words common."""
+    monkeypatch.setattr(index, "SPAN", 4)
+    rng = random.Random(3)
+    rows = [(k, f"doc {k}", f"common word{k % 5} targetFile" + " rare" * (k % 17 == 0) + " filler" * rng.randint(0, 9)) for k in range(1, 90)]
     ix = make(spark, rows)
-    ix.write(str(tmp_path / "ix"))
+    ix.write(str(tmp_path / "ix"), buckets=5, substrings=True)
     back = Index.read(spark, str(tmp_path / "ix"))
-    for q in ("common", "word3", "com", "word"):
-        assert ids(back.search(q, 20)) == ids(ix.search(q, 20))
+    assert back.buckets == 5 and {r.term: (r.doc, r.cnt) for r in back.vocab().collect()} == {r.term: (r.doc, r.cnt) for r in ix.vocab().collect()}
+
+    def scored(df):
+        return sorted((r.id, round(r.score, 9)) for r in df.collect())
+
+    for text, prefix in (("word3 common", False), ("com", True), ("targetFile common", False), ("common rare", False), ("absent", False)):
+        wanted = phrases(text, prefix)
+        assert scored(back.scores(wanted)) == scored(ix.scores(wanted))
+        for budget in (3,):
+            assert scored(back.bounded(wanted, budget)) == scored(ix.scores(wanted, ix.newest(wanted, budget)))
+    keep = ix.docs.filter("id % 7 = 0").select("id")
+    assert scored(back.bounded(phrases("common", False), 3, keep)) == scored(ix.scores(phrases("common", False), ix.newest(phrases("common", False), 3, keep)))
+    assert back._floor(["common"], 10) == 80 and back._floor(["absent"], 1) is None and back._floor(["common"], 1000) is None
+    for q in ("common", "com"):
+        assert [(r.id, r.name) for r in back.search(q, 20).collect()] == [(r.id, r.name) for r in ix.search(q, 20).collect()]
+    assert sorted(ids(back.contains("getFil ord3"))) == sorted(ids(ix.contains("getFil ord3"))) != []
+    assert ids(back.contains("or")) == [] and back.is_common("common", 80) and not back.is_common("common absent", 1)
+    empty = make(spark, [])
+    empty.write(str(tmp_path / "none"))
+    assert Index.read(spark, str(tmp_path / "none")).search("common").count() == 0
+    assert index.bucket_of("é", 7) == spark.range(1).select(F.pmod(F.xxhash64(F.lit("é")), F.lit(7))).first()[0]
 
 
 def test_batch(spark):
@@ -91,24 +114,25 @@ def test_batch(spark):
     assert ix.search_batch({}).count() == 0
 
 
-def test_metadata(spark):
+def test_predicates(spark):
+    """Kinds, sizes with their bounds, ages with their bounds, names and extensions, alone and with text."""
+    kb = 1024
     rows = [
-        (1, "/d/report.pdf", "report.pdf", "application/pdf", 5000, NOW, 0),
-        (2, "/d/notes.txt", "notes.txt", "text/plain", 200, NOW - 10 * DAY, 0),
-        (3, "/d/Budget.xlsx", "Budget.xlsx", "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", 9000, NOW - 2 * DAY, 0),
-        (4, "/d/old.pdf", "old.pdf", None, 5000, NOW, 1),
-    ]
-    files = spark.createDataFrame([(a, b, c, m, s, t * 10**9, st) for a, b, c, m, s, t, st in rows], "id long, path string, name string, mime string, size long, mtime_ns long, state int")
+        (11, "plan.odp", "application/vnd.oasis.opendocument.presentation", 3 * kb, 0, 0), (12, "song.flac", "audio/flac", 3 * kb - 1, 1, 0),
+        (13, "main.rs", "text/x-rust", 3 * kb + 1, 6, 0), (14, "Songs of May.TXT", "text/plain", 40, 7, 0), (15, "lost.flac", "audio/flac", 3 * kb, 400, 2), (16, "odd", None, 0, 8, 0),
+    ]
+    files = spark.createDataFrame([(i, f"/home/u/{n}", n, m, s, (NOW - d * DAY) * 10**9, st) for i, n, m, s, d, st in rows], "id long, path string, name string, mime string, size long, mtime_ns long, state int")
 
     def found(q):
         return ids(browse(files, q, 10, NOW))
 
-    assert found("kind:pdf") == [1] and found("kind:spreadsheet") == [3] and found("ext:TXT") == [2]
-    assert found("size:>1k") == [1, 3] and found("size:<1k") == [2] and found("modified:7d") == [1, 3]
-    assert found("modified:>7d") == [2] and found("name:BUDGET") == [3] and found("kind:pdf kind:text") == [1, 2]
-    ix = Index.of(files.select("id", "name", F.lit("quarter numbers").alias("body")), files)
-    assert ids(ix.search("kind:pdf quarter", now=NOW)) == [1]
-    assert ids(ix.search("kind:pdf absent", now=NOW)) == []
+    assert found("size:>3k") == [13] and found("size:>=3k") == [11, 13] and found("size:<3k") == [12, 14, 16] and found("size:<=3k") == [11, 12, 14, 16]
+    assert found("kind:audio") == [12] and found("kind:presentation kind:code") == [11, 13] and found("kind:text") == [13, 14]
+    assert found("modified:6d") == [11, 12, 13] and found("date:>7d") == [14, 16] and found("mtime:1w size:<1k") == [14]
+    assert found("name:SONG") == [12, 14] and found("ext:txt") == [14] and found("ext:flac name:lost") == [] and found("ext:a%") == []
+    ix = Index.of(files.select("id", "name", F.lit("chorus and verse").alias("body")), files)
+    assert ids(ix.search("kind:text chorus", now=NOW)) == [13, 14] and ids(ix.search("kind:audio missing", now=NOW)) == []
+    assert ids(ix.search("size:>3k verse", now=NOW, plan="bounded")) == [13]
 
 
 def test_substring(spark):
