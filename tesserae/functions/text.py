@@ -55,11 +55,6 @@ def sanitized(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"\x00", ""), r"[\x01-\x08\x0e-\x1f]", " ")
 
 
-def capped(content: Column, most: int) -> Column:
-    """At most `most` bytes; a character cut in two becomes a replacement character."""
-    return F.decode(F.substring(F.encode(content, "UTF-8"), 1, most), "UTF-8") if most else content
-
-
 def looks_like_text(text: Column) -> Column:
     """No NUL in the first 8192 characters, and control characters under 5 % of them; empty isn't text."""
     head = F.substring(text, 1, 8192)

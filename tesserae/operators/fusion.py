@@ -77,6 +77,22 @@ def groups(windows: DataFrame) -> DataFrame:
     return numbered(g, F.desc("used"), "app").withColumn("rank", F.col("number").cast("int")).drop("number")
 
 
+def carried(windows: DataFrame, before: DataFrame, clock: int) -> DataFrame:
+    """groups of windows (handle, app, active, minimized, seq) with the use stamps of the state before (app, used): an app
+    known there keeps its stamp, new ones get the next ones after `clock` in order of their first window, and the app of
+    the active window (the first such app) gets the latest of all."""
+    first = windows.groupBy("app").agg(F.min(F.struct("seq", "handle")).alias("first"), F.bool_or(F.coalesce("active", F.lit(False))).alias("on"))
+    old = before.groupBy("app").agg(F.max("used").alias("old"))
+    j = first.join(old, first["app"].eqNullSafe(old["app"]), "left").select(first["app"], "first", "on", "old")
+    fresh = numbered(j.filter("old is null"), "first").withColumn("used", F.lit(clock) + F.col("number")).select("app", "first", "on", "used")
+    every = fresh.unionByName(j.filter("old is not null").withColumnRenamed("old", "used"))
+    head = every.filter("on").agg(F.min("first").alias("head"), F.lit(True).alias("one"))
+    top = every.agg(F.greatest(F.max("used"), F.lit(clock)).alias("top"), F.lit(True).alias("one"))
+    marks = F.broadcast(head.join(top, "one"))  # a row
+    stamped = every.withColumn("one", F.lit(True)).join(marks, "one", "left").select("app", F.when(F.col("first") == F.col("head"), F.col("top") + 1).otherwise(F.col("used")).alias("used"))
+    return groups(windows.drop("used").join(stamped.withColumnRenamed("app", "_app"), F.col("app").eqNullSafe(F.col("_app"))).drop("_app"))
+
+
 def cycle(ranked: DataFrame) -> DataFrame:
     """ranked (rank, app) with the next and previous app, around the ends, and whether it is preselected (the second)."""
     total = ranked.agg(F.count("*").cast("int").alias("n")).withColumn("one", F.lit(1))

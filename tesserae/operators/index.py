@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tokens import index_tokens, trigrams
 from ..plans.query import Phrase, condition, parse, phrases
-from ..session import exists, spread
+from ..session import collect_within, exists, spread
 
 WEIGHT_NAME, WEIGHT_BODY, K1, B = 10.0, 1.0, 1.2, 0.75
 BUCKETS = 64
@@ -337,11 +337,11 @@ class Index:
 
     # ---- search
 
-    def search(self, query: str, limit: int = 6, now: int = 0, common_df: int = 20_000, budget: int = 2048, mode: str = "prefix", plan: str | None = None) -> DataFrame:
+    def search(self, query: str, limit: int = 6, now: int = 0, common_df: int = 20_000, budget: int = 2048, mode: str = "prefix", plan: str | None = None, deadline_s: float | None = None) -> DataFrame:
         """Hits (id, path, name, mime, score) of a search string, best first.
 
         Words in more than common_df documents take the bounded plan: exact last word, only the newest `budget` matches
-        ranked. Predicates alone list files in state 0, newest first, scored limit, limit-1, ..."""
+        ranked. A full plan that takes longer than deadline_s is given up for the bounded one. Predicates alone list files in state 0, newest first, scored limit, limit-1, ..."""
         preds, text = parse(query, now)
         if self.files is None and preds.active:
             raise ValueError("predicates need files")
@@ -364,7 +364,9 @@ class Index:
         else:
             rows = self.files.select("id", "path", "name", "mime")
         if limit <= FETCHED:  # the winners are looked up by their ids, which the scan is pruned by
-            best = top.collect()
+            best = collect_within(top, deadline_s) if deadline_s is not None and plan == "full" else top.collect()
+            if best is None:
+                return self.search(query, limit, now, common_df, budget, mode, "bounded")
             rows = rows.filter(F.col("id").isin([r.id for r in best]))
             top = self.docs.sparkSession.createDataFrame([(r.id, r.score) for r in best], "id long, score double")
         return rows.join(top, "id").select("id", "path", "name", "mime", "score").orderBy(F.desc("score"), "id")

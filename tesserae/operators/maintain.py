@@ -1,6 +1,6 @@
 """Keeping the index tables up to date: change decisions, upserts, deletes, snapshots.
 
-All operations take and give whole DataFrames; SnapshotStore writes their results as new versions and swaps a pointer,
+All operations take and give whole DataFrames; SnapshotStore writes their results, or only what changed, as new versions,
 so that readers see one version or the other. States: 0 indexed, 1 pending, 2 tombstone, 3 error.
 
 Defined results: paths are keys - of several updates of one path the last by `seq` (else the greatest row) counts; null
@@ -10,11 +10,13 @@ paths are ignored; empty updates change nothing.
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.text import within
 from ..session import staged
@@ -55,6 +57,12 @@ def _latest(updates: DataFrame) -> DataFrame:
 def upsert(files: DataFrame, updates: DataFrame) -> DataFrame:
     """files with the rows of updates (all columns but id) in place of those of equal path, which keep their id; new
     paths get ids after the largest, in order of path."""
+    rows = upserted(files, updates)
+    return files.join(rows.select("path"), "path", "left_anti").select(rows.columns).unionByName(rows)
+
+
+def upserted(files: DataFrame, updates: DataFrame) -> DataFrame:
+    """The rows of updates with their ids."""
     given = [c for c in (*FILE_COLUMNS, "seq") if c in updates.columns]
     new = _latest(updates.select(given))
     ids = files.groupBy("path").agg(F.min("id").alias("id"))
@@ -62,9 +70,8 @@ def upsert(files: DataFrame, updates: DataFrame) -> DataFrame:
     fresh = new.drop("id").join(ids, "path", "left_anti")
     top = files.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).withColumn("one", F.lit(1))
     fresh = numbered(fresh, "path").withColumn("one", F.lit(1)).join(F.broadcast(top), "one").withColumn("id", F.col("top") + F.col("number")).drop("top", "one", "number")
-    kept = files.join(new.select("path"), "path", "left_anti")
     cols = [c for c in FILE_COLUMNS if c in files.columns]
-    return kept.select(cols).unionByName(known.select(cols)).unionByName(fresh.select(cols))
+    return known.select(cols).unionByName(fresh.select(cols))
 
 
 def numbered(df: DataFrame, *order: str | Column) -> DataFrame:
@@ -138,14 +145,23 @@ class IndexUnavailable(RuntimeError):
 
 @dataclass
 class Manifest:
-    schema_version: int = 2
+    """What a version consists of. segments: of each table (folder, number), number being the version that wrote it; gone:
+    of each table folders of ids whose rows in segments of lower number no longer count."""
+
+    schema_version: int = 3
+    version: int = 0
     match_mode: str = "prefix"
     tokenizer: str = "segments"
-    tables: dict[str, str] = field(default_factory=dict)  # name -> folder of its current version
+    segments: dict[str, list[list]] = field(default_factory=dict)
+    gone: dict[str, list[list]] = field(default_factory=dict)
+    schemas: dict[str, str] = field(default_factory=dict)
+    stats: dict[str, float] = field(default_factory=dict)
 
 
 class SnapshotStore:
-    """Tables as versioned Parquet under one folder; manifest.json names the current version of each."""
+    """Tables as Parquet segments under one folder. A version is a file manifest-<number>.json, made by one rename to a
+    name that isn't taken; readers take the highest number, so that they see one version or the other, whenever a
+    writer stops. Of two writers of one version the second fails."""
 
     def __init__(self, spark: SparkSession, path: str, writer: bool = False, match_mode: str = "prefix") -> None:
         self.spark, self.path = spark, path.rstrip("/")
@@ -155,48 +171,104 @@ class SnapshotStore:
         found = self._read()
         if writer:
             if found is None or found.schema_version != Manifest.schema_version or found.match_mode != match_mode:
-                found = Manifest(match_mode=match_mode)  # rebuilt from nothing
+                found = Manifest(match_mode=match_mode, version=max(self._versions(), default=0))  # rebuilt from nothing
         elif found is None:
             raise IndexUnavailable("no_index")
         elif found.schema_version != Manifest.schema_version:
             raise IndexUnavailable("version_mismatch")
         self.manifest, self.writer = found, writer
 
+    def _versions(self) -> list[int]:
+        folder = self._hadoop.Path(self.path)
+        names = [s.getPath().getName() for s in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
+        return [int(m[1]) for n in names if (m := re.fullmatch(r"manifest-(\d+)\.json", n))]
+
     def _read(self) -> Manifest | None:
-        p = self._hadoop.Path(f"{self.path}/manifest.json")
-        if not self._fs.exists(p):
+        versions = self._versions()
+        if not versions:
             return None
-        text = "".join(r.value for r in self.spark.read.text(f"{self.path}/manifest.json").collect())
+        text = "".join(r.value for r in self.spark.read.text(f"{self.path}/manifest-{max(versions):012d}.json").collect())
         known = json.loads(text)
         return Manifest(**{k: v for k, v in known.items() if k in Manifest.__dataclass_fields__})
 
     def table(self, name: str) -> DataFrame | None:
-        return self.spark.read.parquet(f"{self.path}/{self.manifest.tables[name]}") if name in self.manifest.tables else None
+        """The live rows of a table, or None."""
+        if name not in self.manifest.segments:
+            return None
+        schema = StructType.fromJson(json.loads(self.manifest.schemas[name]))
+        out = None
+        for folder, number in self.manifest.segments[name]:
+            part = self.spark.read.schema(schema).parquet(f"{self.path}/{folder}").withColumn("_number", F.lit(number))
+            out = part if out is None else out.unionByName(part)
+        least = min(n for _, n in self.manifest.segments[name])
+        lists = [(f, n) for f, n in self.manifest.gone.get(name, []) if n > least]
+        if lists:
+            gone = None
+            for folder, number in lists:
+                part = self.spark.read.schema("id long").parquet(f"{self.path}/{folder}").withColumn("_gone", F.lit(number))
+                gone = part if gone is None else gone.unionByName(part)
+            out = out.join(gone.groupBy("id").agg(F.max("_gone").alias("_gone")), "id", "left").filter("_gone is null or _number >= _gone").drop("_gone")
+        return out.drop("_number").select(schema.names)
+
+    def commit(self, partition: dict[str, str] | None = None, stats: dict[str, float] | None = None, **tables: DataFrame) -> None:
+        """A new version in which each table given is one segment; the others stay as they are."""
+        new = self._next()
+        for name, df in tables.items():
+            new.segments[name] = [self._save(new, name, df, partition)]
+            new.gone.pop(name, None)
+        self._publish(new, stats)
+
+    def append(self, gone: dict[str, DataFrame], partition: dict[str, str] | None = None, stats: dict[str, float] | None = None, **tables: DataFrame) -> None:
+        """A new version with further segments: rows of the ids gone (of each table) stop counting, those of tables are
+        added. What is written is as large as the change."""
+        new = self._next()
+        for name, ids in gone.items():
+            folder, _ = self._save(new, f"{name}-gone", ids.select("id").distinct(), None, keep=False)
+            new.gone.setdefault(name, []).append([folder, new.version])
+        for name, df in tables.items():
+            new.segments.setdefault(name, []).append(self._save(new, name, df, partition))
+        self._publish(new, stats)
 
-    def commit(self, partition: dict[str, str] | None = None, **tables: DataFrame) -> None:
-        """Write new versions of the tables given (partitioned by a column where named), then swap the manifest; the
-        others stay as they are."""
+    def _next(self) -> Manifest:
         if not self.writer:
             raise PermissionError("opened for reading")
-        version = uuid.uuid4().hex
-        for name, df in tables.items():
-            w = df.write.option("compression", "zstd")
-            (w.partitionBy(partition[name]) if partition and name in partition else w).parquet(f"{self.path}/{name}-{version}")
-            self.manifest.tables[name] = f"{name}-{version}"
-        tmp = self._hadoop.Path(f"{self.path}/manifest.{version}")
+        new = Manifest(**json.loads(json.dumps(asdict(self.manifest))))
+        new.version += 1
+        return new
+
+    def _save(self, new: Manifest, name: str, df: DataFrame, partition: dict[str, str] | None, keep: bool = True) -> list:
+        folder = f"{name}-{new.version:012d}-{uuid.uuid4().hex[:8]}"
+        w = df.write.option("compression", "zstd")
+        (w.partitionBy(partition[name]) if partition and name in partition else w).parquet(f"{self.path}/{folder}")
+        if keep:
+            new.schemas[name] = df.schema.json()
+        return [folder, new.version]
+
+    def _publish(self, new: Manifest, stats: dict[str, float] | None) -> None:
+        new.stats = new.stats | (stats or {})
+        tmp = self._hadoop.Path(f"{self.path}/.manifest-{uuid.uuid4().hex}")
         out = self._fs.create(tmp, True)
-        out.write(bytearray(json.dumps(asdict(self.manifest)), "utf-8"))
+        out.write(bytearray(json.dumps(asdict(new)), "utf-8"))
         out.close()
-        final = self._hadoop.Path(f"{self.path}/manifest.json")
-        self._fs.delete(final, False)
-        self._fs.rename(tmp, final)
+        self._swap(tmp, self._hadoop.Path(f"{self.path}/manifest-{new.version:012d}.json"))
+        self.manifest = new
+
+    def _swap(self, tmp, final) -> None:
+        if self._fs.exists(final) or not self._fs.rename(tmp, final):
+            self._fs.delete(tmp, False)
+            raise RuntimeError("another writer has made this version")
+
+    def scattered(self, most: int) -> list[str]:
+        """Tables of more than `most` segments."""
+        return [name for name, parts in self.manifest.segments.items() if len(parts) > most]
 
     def vacuum(self) -> None:
-        """Remove versions other than the current ones."""
+        """Remove manifests and folders other than the current ones."""
+        used = {f for parts in (*self.manifest.segments.values(), *self.manifest.gone.values()) for f, _ in parts} | {f"manifest-{self.manifest.version:012d}.json"}
         for status in self._fs.listStatus(self._hadoop.Path(self.path)):
-            if status.isDirectory() and status.getPath().getName() not in self.manifest.tables.values():
+            if status.getPath().getName() not in used:
                 self._fs.delete(status.getPath(), True)
 
     def bytes(self) -> int:
-        """Size of the current versions."""
-        return sum(self._fs.getContentSummary(self._hadoop.Path(f"{self.path}/{t}")).getLength() for t in self.manifest.tables.values())
+        """Size of the current version."""
+        return sum(self._fs.getContentSummary(self._hadoop.Path(f"{self.path}/{f}")).getLength() for parts in self.manifest.segments.values() for f, _ in parts)

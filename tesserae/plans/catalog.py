@@ -701,7 +701,7 @@ def stream_apply(spark, d):
     if not _is_dir(spark, source):  # a stream reads folders
         table(spark, d, "file_changes").write.parquet(f"{base}/in")
         source = f"{base}/in"
-    stream.start(spark, source, f"{base}/checkpoint", apply).awaitTermination()
+    stream.start(spark, source, f"{base}/checkpoint", apply, changes_per_call=0).awaitTermination()
     return state["t"].select("path", F.col("e.action").alias("action"))
 
 
@@ -804,6 +804,22 @@ def mru_groups(spark, d):
     return fusion.groups(_windows(spark, d))
 
 
+@query(
+    """with w as (select max(event_id) as handle, user_id as app, bool_or(event_type = 'purchase') as active, bool_and(coalesce(value, 0) < 10) as minimized from events group by user_id, event_type),
+    b as (select user_id as app, max(event_id) as old from events where ts < timestamp '2024-01-05' group by user_id),
+    f as (select app, min(handle) as first, bool_or(active) as used_now from w group by app),
+    u as (select app, first, used_now, old as used from f join b using (app)
+      union all select app, first, used_now, 1000000000 + row_number() over (order by first) from f where app not in (select app from b)),
+    t as (select app, case when first = (select min(first) from u where used_now) then (select greatest(max(used), 1000000000) from u) + 1 else used end as used from u),
+    g as (select app, max(t.used) as used, count(*) as windows, bool_or(active) as any_active, bool_and(minimized) as all_minimized, arg_min(handle, (case when active then 0 when not minimized then 1 else 2 end) * 1000000000000 + handle) as primary_handle from w join t using (app) group by app)
+    select app, used, windows::bigint as windows, any_active, all_minimized, primary_handle as "primary", row_number() over (order by used desc, app)::int as rank from g"""
+)
+def mru_carried(spark, d):
+    """Windows of all events, with the use stamps that their apps had before a day."""
+    before = table(spark, d, "events").filter("ts < timestamp '2024-01-05'").groupBy(F.col("user_id").alias("app")).agg(F.max("event_id").alias("used"))
+    return fusion.carried(_windows(spark, d), before, 1_000_000_000)
+
+
 @query(
     f"with {_GROUPS} select rank::int as rank, app, coalesce(lead(app) over (order by rank), (select app from r where rank = 1)) as next_app, coalesce(lag(app) over (order by rank), (select app from r order by rank desc limit 1)) as previous_app, rank = least(2, (select count(*) from r)) as preselected from r"
 )

@@ -7,13 +7,15 @@ import os
 import re
 import shutil
 import tempfile
+import threading
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import InheritableThread
+from pyspark.sql import DataFrame, Row, SparkSession
 
 
 def local_session(name: str = "tesserae", cpus: int | str = "*", partitions: int = 8) -> SparkSession:
@@ -93,6 +95,57 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def collect_within(df: DataFrame, seconds: float) -> list[Row] | None:
+    """The rows of df, or None if they take longer; its jobs are cancelled then."""
+    context, tag = df.sparkSession.sparkContext, f"within-{uuid.uuid4().hex}"
+    out: dict[str, object] = {}
+
+    def run() -> None:
+        context.addJobTag(tag)
+        try:
+            out["rows"] = df.collect()
+        except Exception as e:  # cancelled, or failed
+            out["error"] = e
+        finally:
+            context.removeJobTag(tag)
+
+    t = InheritableThread(target=run, daemon=True)
+    t.start()
+    t.join(seconds)
+    if t.is_alive():
+        context.cancelJobsWithTag(tag)
+        return None
+    if "error" in out:
+        raise out["error"]
+    return out["rows"]
+
+
+class Latest:
+    """Of several questions asked one after the other only the last is answered: a newer one cancels the jobs of those
+    before, which come back as None."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.context, self.generation, self._lock = spark.sparkContext, 0, threading.Lock()
+        self._name = uuid.uuid4().hex
+
+    def ask(self, make: Callable[[], DataFrame]) -> list[Row] | None:
+        with self._lock:
+            self.generation += 1
+            mine = self.generation
+        self.context.cancelJobsWithTag(f"{self._name}-{mine - 1}")
+        tag = f"{self._name}-{mine}"
+        self.context.addJobTag(tag)
+        try:
+            rows = make().collect()
+        except Exception:
+            if mine == self.generation:
+                raise
+            return None
+        finally:
+            self.context.removeJobTag(tag)
+        return rows if mine == self.generation else None
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores if it is a plain scan of so few partitions that half of the cores or more would idle.
 

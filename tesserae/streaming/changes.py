@@ -1,8 +1,8 @@
 """The change stream: events to actions, pairing of moves, last action per path, applying batches.
 
-Events: op (index, remove, remove_tree, moved_from, moved_to, overflow), path, is_dir, cookie, ts, arrived_at. A move is
+Events: op (index, remove, remove_tree, moved_from, moved_to, overflow, watch_limit), path, is_dir, cookie, ts, arrived_at. A move is
 a removal of its old path and an indexing of its new one; a lone moved_from is a removal, a lone moved_to an indexing.
-An overflow asks for a full reconciliation.
+An overflow asks for a full reconciliation; a watch_limit says that some folders will have no events.
 
 Defined results: events of null path other than overflow, and of unknown op, are dropped; events delivered twice count
 once; of several actions on a path the one of the latest ts counts (then of the highest change_id).
@@ -79,7 +79,10 @@ def apply_batch(files: DataFrame, changes: DataFrame) -> DataFrame:
     gone = last.filter("action = 'remove'").select("path")
     # also of folders that came again later
     trees = actions(changes).filter("action = 'remove_tree'").groupBy(F.col("path").alias("tree")).agg(F.max("ts").alias("tree_ts"))
-    under = files.select("path", F.explode(ancestors()).alias("tree")).join(trees, "tree").groupBy("path").agg(F.max("tree_ts").alias("tree_ts"))
+    if trees.isEmpty():  # no folder has gone: the files needn't be held against their folders
+        under = last.select("path", F.col("ts").alias("tree_ts")).limit(0)
+    else:
+        under = files.select("path", F.explode(ancestors()).alias("tree")).join(trees, "tree").groupBy("path").agg(F.max("tree_ts").alias("tree_ts"))
     own = last.select("path", F.col("ts").alias("own_ts"), "action")
     dead = under.join(own, "path", "left").filter("own_ts is null or own_ts <= tree_ts or action like 'remove%'").select("path").unionByName(gone).distinct()
     again = last.filter("action = 'index'").select("path").join(dead, "path", "left_anti").withColumn("_again", F.lit(True))
@@ -87,14 +90,16 @@ def apply_batch(files: DataFrame, changes: DataFrame) -> DataFrame:
     return out.withColumn("state", F.when(F.col("_again"), 1).otherwise(F.col("state"))).select(files.columns)
 
 
-def start(spark: SparkSession, source: str, checkpoint: str, apply: Callable[[DataFrame, int], None], files_per_batch: int = 512, housekeeping: Callable[[], None] | None = None, every: int = 20, reconcile: Callable[[], None] | None = None, available_now: bool = True) -> StreamingQuery:
-    """Read a folder of Parquet change files as a stream and apply it batch by batch: one call of apply per batch, a
-    call of reconcile after a batch with an overflow, of housekeeping after every `every` batches."""
+def start(spark: SparkSession, source: str, checkpoint: str, apply: Callable[[DataFrame, int], None], files_per_batch: int = 512, housekeeping: Callable[[], None] | None = None, every: int = 20, reconcile: Callable[[], None] | None = None, available_now: bool = True, changes_per_call: int = 0) -> StreamingQuery:
+    """Read a folder of Parquet change files as a stream and apply it: calls of apply of at most about changes_per_call
+    changes each, in order of arrival (0: one call a batch), a call of reconcile after a batch with an overflow, of
+    housekeeping after every `every` batches. A call that fails ends the stream before its batch counts as done."""
 
     def one(batch: DataFrame, number: int) -> None:
         batch.persist()
         try:
-            apply(batch, number)
+            for part in in_order(batch, changes_per_call):
+                apply(part, number)
             if reconcile and not batch.filter("op = 'overflow'").isEmpty():
                 reconcile()
             if housekeeping and number % every == every - 1:
@@ -107,6 +112,19 @@ def start(spark: SparkSession, source: str, checkpoint: str, apply: Callable[[Da
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="5 seconds")).start()
 
 
+def in_order(batch: DataFrame, most: int) -> list[DataFrame]:
+    """The batch in parts of about `most` changes by order of arrival; those that arrived together stay together."""
+    n = batch.count() if most else 0
+    if n <= most:
+        return [batch]
+    at = F.unix_micros("arrived_at")
+    cuts = batch.select(at.alias("t")).approxQuantile("t", [k * most / n for k in range(1, -(-n // most))], 0.0)
+    edges = sorted(set(cuts))
+    known = [batch.filter(at.isNull() | (at <= edges[0]))]
+    known += [batch.filter((at > a) & (at <= b)) for a, b in zip(edges, edges[1:])]
+    return [*known, batch.filter(at > edges[-1])]
+
+
 def pair_moves_stream(changes: DataFrame, wait: str = "10 minutes") -> DataFrame:
     """(cookie, old_path, new_path) of a stream, halves of a move up to `wait` of event time apart, across batches.
     Halves that stay alone come out with the other path null once the watermark has passed."""
@@ -117,4 +135,4 @@ def pair_moves_stream(changes: DataFrame, wait: str = "10 minutes") -> DataFrame
     return old.join(new, near, "fullOuter").select(F.coalesce("c1", "c2").alias("cookie"), "old_path", "new_path")
 
 
-__all__ = ["SCHEMA", "action", "actions", "ancestors", "apply_batch", "last_actions", "late_deliveries", "live_docs", "moves", "pair_moves_stream", "scanned", "start"]
+__all__ = ["SCHEMA", "action", "actions", "ancestors", "apply_batch", "in_order", "last_actions", "late_deliveries", "live_docs", "moves", "pair_moves_stream", "scanned", "start"]

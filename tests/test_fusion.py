@@ -33,3 +33,11 @@ def test_groups(spark):
 def test_caps(spark):
     df = spark.createDataFrame([("x", 1.0, 1), ("x", 2.0, 2), ("x", 2.0, 3), ("y", 0.0, 1)], "g string, score double, seq int")
     assert sorted((r.g, r.seq) for r in f.best_per_group(df, "g", 2).collect()) == [("x", 2), ("x", 3), ("y", 1)]
+
+
+def test_stamps_are_carried_over(spark):
+    w = spark.createDataFrame([(1, "a", False, False, 1), (2, "b", False, False, 2), (3, "c", True, False, 3), (4, "a", None, True, 4), (5, None, False, False, 5)], "handle long, app string, active boolean, minimized boolean, seq long")
+    before = spark.createDataFrame([("a", 7), ("gone", 9), ("c", 3)], "app string, used long")
+    got = [(r.app, r.used, r["rank"]) for r in f.carried(w, before, 10).orderBy("rank").collect()]
+    assert got == [("c", 13, 1), (None, 12, 2), ("b", 11, 3), ("a", 7, 4)]
+    assert [r.used for r in f.carried(w.filter("not active"), before.limit(0), 0).orderBy("rank").collect()] == [3, 2, 1]

@@ -79,6 +79,45 @@ def test_snapshots(spark, tmp_path):
     assert m.SnapshotStore(spark, path, writer=True).table("files") is None
 
 
+def test_crash_between_write_and_swap(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/store"
+    w = m.SnapshotStore(spark, path, writer=True)
+    w.commit(files=files(spark, [(1, "/a", 1, 1, None, 0)]))
+
+    def crash(*_):
+        raise OSError("gone")
+
+    with monkeypatch.context() as mp:
+        mp.setattr(m.SnapshotStore, "_swap", crash)
+        with pytest.raises(OSError):
+            w.append({"files": spark.createDataFrame([(1,)], "id long")}, files=files(spark, [(2, "/b", 1, 1, None, 0)]))
+    for store in (w, m.SnapshotStore(spark, path), m.SnapshotStore(spark, path, writer=True)):
+        assert [r.path for r in store.table("files").collect()] == ["/a"]
+    other = m.SnapshotStore(spark, path, writer=True)
+    w.append({"files": spark.createDataFrame([(1,)], "id long")}, files=files(spark, [(2, "/b", 1, 1, None, 0)]))
+    with pytest.raises(RuntimeError, match="another writer"):
+        other.commit(files=files(spark, []))
+    assert [r.path for r in m.SnapshotStore(spark, path).table("files").collect()] == ["/b"]
+    w.vacuum()
+    assert [r.path for r in m.SnapshotStore(spark, path).table("files").collect()] == ["/b"] and len(list((tmp_path / "store").glob("manifest-*.json"))) == 1
+
+
+def test_segments(spark, tmp_path):
+    """Rows gone in one version can come again in a later one."""
+    w = m.SnapshotStore(spark, f"file://{tmp_path}/store", writer=True)
+    w.commit(files=files(spark, [(k, f"/{k}", 1, 1, None, 0) for k in range(4)]))
+
+    def ids(*k):
+        return spark.createDataFrame([(x,) for x in k], "id long")
+
+    w.append({"files": ids(1, 2)}, files=files(spark, [(2, "/2", 7, 1, None, 0)]))
+    w.append({"files": ids(2, 3)}, files=files(spark, [(3, "/3", 8, 1, None, 0), (1, "/1", 9, 1, None, 0)]))
+    w.append({"files": ids()}, files=files(spark, []))
+    assert {r.id: r.size for r in w.table("files").collect()} == {0: 1, 1: 9, 3: 8} and w.scattered(3) == ["files"]
+    w.commit(files=w.table("files"))
+    assert {r.id: r.size for r in w.table("files").collect()} == {0: 1, 1: 9, 3: 8} and w.scattered(1) == []
+
+
 def test_clashing_columns(spark):
     f = files(spark, [(1, "/a", 1, 1, None, 0)])
     more = f.withColumns({c: F.lit(5) for c in ("old_size", "old_state", "top", "one", "number", "_part", "s", "action")})
