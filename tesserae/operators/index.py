@@ -4,13 +4,13 @@ A written index of docs (id, name, body) is these tables, in a hash bucket of th
 
 - postings (term, id, col, pos, colocated), by term and newest id first: phrases and prefixes
 - hits (term, id, names, bodies, len), one row per term and document, newest first: words as they are
-- vocab (term, doc, cnt): document frequencies and counts
-- spans (term, span, docs): documents of a common term by range of ids; tells how far down the newest of them reach
+- vocab (term, doc, cnt, floors): document frequencies and counts; of a common term also how far down its newest documents
+  reach: floors[k] is an id from which on it has 1024 * 2^k of them at least
 - lengths (id, len), docs (id, name, body) by id, corpus (n_docs, avg_len, total_len, buckets), one row
 - grams (gram, id), for an index written for substrings
 
 A query reads only the buckets of its terms, and statistics are looked up, not counted. The bounded plan reads a common
-term's newest hits only: spans give an id below which nothing is needed, and the filter on it skips row groups.
+term's newest hits only: the filter on a floor skips the row groups below it.
 
 An index computed on the fly (Index.of) answers from the token arrays of each document instead: no posting is shuffled,
 and only (id, length, frequencies) of the documents that match go on. Ranking is BM25 with the name weighing ten times the
@@ -22,7 +22,7 @@ or a limit of 0 or less, gives no rows; ids are expected to be unique; extra col
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 import xxhash
@@ -31,14 +31,14 @@ from pyspark.sql import functions as F
 
 from ..functions.tokens import index_tokens, trigrams
 from ..plans.query import Phrase, condition, parse, phrases
-from ..session import collect_within, exists, spread
+from ..session import collect_within, exists, spread, staged, staging
 
 WEIGHT_NAME, WEIGHT_BODY, K1, B = 10.0, 1.0, 1.2, 0.75
 BUCKETS = 64
-SPAN = 4096  # ids of a span
+SPAN, FIRST_FLOOR = 1024, 1024  # ids that are counted together for floors; documents above the first
 SCHEMAS = {
     "postings": "term string, id long, col int, pos int, colocated boolean, bucket int", "hits": "term string, id long, names int, bodies int, len int, bucket int",
-    "vocab": "term string, doc long, cnt long, bucket int", "spans": "term string, span long, docs long, bucket int", "grams": "id long, gram string, bucket int",
+    "vocab": "term string, doc long, cnt long, floors array<long>, bucket int", "grams": "id long, gram string, bucket int",
     "lengths": "id long, len long", "docs": "id long, name string, body string", "corpus": "n_docs long, avg_len double, total_len long, buckets int",
 }
 FETCHED = 1000  # winners up to this number are fetched by their ids
@@ -54,6 +54,15 @@ def _length() -> Column:
     return (F.size("name") + F.size("body")).cast("long").alias("len")
 
 
+def _exploded(arrays: DataFrame) -> DataFrame:
+    """(term, id, col, pos, colocated, len) of all tokens, and of compounds as a whole."""
+    cols = arrays.select("id", _length(), F.posexplode(F.array("name", "body")).alias("col", "tokens"))
+    each = cols.select("id", "len", "col", F.posexplode("tokens").alias("pos", "t"))
+    part, whole = F.struct(F.col("t.term").alias("term"), F.lit(False).alias("colocated")), F.struct(F.col("t.whole").alias("term"), F.lit(True).alias("colocated"))
+    both = F.when(F.col("t.whole").isNull(), F.array(part)).otherwise(F.array(part, whole))
+    return each.select("id", "len", "col", "pos", F.explode(both).alias("p")).select("p.term", "id", "col", "pos", "p.colocated", "len")
+
+
 def _count(array: str, phrase: Phrase) -> Column:
     """Places of a token array where a phrase starts."""
     n = len(phrase.terms)
@@ -88,10 +97,10 @@ class Index:
     arrays: DataFrame | None = None  # (id, name, body) as arrays of tokens
     hits: DataFrame | None = None
     terms: DataFrame | None = None
-    spans: DataFrame | None = None
     grams: DataFrame | None = None
     stats: tuple[int, float, int] | None = None  # documents, average and total length
     buckets: int = BUCKETS
+    _looked: dict[str, tuple[int, list[int]]] = field(default_factory=dict, repr=False)  # words of former queries
 
     # ---- building
 
@@ -102,10 +111,7 @@ class Index:
         # through a generator, so that the optimizer doesn't repeat the tokenizing in every expression on the arrays
         tokens = F.struct(index_tokens(F.col("name")).alias("name"), index_tokens(F.col("body")).alias("body"))
         arrays = docs.select("id", F.explode(F.array(tokens)).alias("t")).select("id", "t.name", "t.body")
-        cols = arrays.select("id", F.posexplode(F.array("name", "body")).alias("col", "tokens"))
-        each = cols.select("id", "col", F.posexplode("tokens").alias("pos", "t"))
-        postings = each.select("id", "col", "pos", F.explode(F.when(F.col("t.whole").isNull(), F.array(F.struct(F.col("t.term").alias("term"), F.lit(False).alias("colocated")))).otherwise(F.array(F.struct(F.col("t.term").alias("term"), F.lit(False).alias("colocated")), F.struct(F.col("t.whole").alias("term"), F.lit(True).alias("colocated"))))).alias("p")).select("p.term", "id", "col", "pos", "p.colocated")
-        return cls(postings, arrays.select("id", _length()), docs, files, arrays=arrays)
+        return cls(_exploded(arrays).drop("len"), arrays.select("id", _length()), docs, files, arrays=arrays)
 
     def bucketed_postings(self) -> DataFrame:
         return self._bucketed(self.postings, "term").repartitionByRange("bucket", "term", F.desc("id")).sortWithinPartitions("bucket", "term", F.desc("id"), "col", "pos")
@@ -115,30 +121,46 @@ class Index:
 
     def write(self, path: str, buckets: int = BUCKETS, substrings: bool = False) -> None:
         """All tables of the index under a folder. Ranges of (bucket, term, id) are tasks of their own, so that a common
-        term is spread, and every file is sorted, so that ranges of terms and ids are pruned."""
+        term is spread, and every file is sorted, so that ranges of terms and ids are pruned. Texts become tokens once."""
         self.buckets = buckets
-        spark = self.docs.sparkSession
-
-        def save(df: DataFrame, name: str, by_bucket: bool = True) -> DataFrame:
-            w = df.write.mode("overwrite").option("compression", "zstd")
-            (w.partitionBy("bucket") if by_bucket else w).parquet(f"{path}/{name}")
-            return spark.read.schema(df.schema).parquet(f"{path}/{name}")
-
-        postings = save(self.bucketed_postings(), "postings")
-        lengths = save(self.lengths, "lengths", False)
-        save(self.docs.repartitionByRange("id").sortWithinPartitions("id"), "docs", False)
-        counts = postings.groupBy("bucket", "term", "id").agg(F.count_if(F.col("col") == 0).cast("int").alias("names"), F.count_if(F.col("col") == 1).cast("int").alias("bodies"))
-        hits = counts.join(lengths.select("id", F.col("len").cast("int").alias("len")), "id")
-        hits = save(hits.repartitionByRange("bucket", "term", F.desc("id")).sortWithinPartitions("bucket", "term", F.desc("id")), "hits")
-        vocab = hits.groupBy("bucket", "term").agg(F.count("*").alias("doc"), F.sum(F.col("names") + F.col("bodies")).alias("cnt"))
-        vocab = save(vocab.repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term"), "vocab")
-        spans = hits.groupBy("bucket", "term", F.floor(F.col("id") / SPAN).alias("span")).agg(F.count("*").alias("docs"))
-        common = vocab.filter(F.col("doc") > SPAN).select("bucket", "term")
-        save(spans.join(common, ["bucket", "term"], "left_semi").repartitionByRange("bucket", "term", F.desc("span")).sortWithinPartitions("bucket", "term", F.desc("span")), "spans")
-        save(lengths.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"), F.sum("len").alias("total_len")).withColumn("buckets", F.lit(buckets)), "corpus", False)
+        with staging(self.docs.sparkSession):
+            arrays = staged(self.arrays)
+            tokens = self._bucketed(_exploded(arrays), "term")
+            postings = tokens.drop("len").repartitionByRange("bucket", "term", F.desc("id")).sortWithinPartitions("bucket", "term", F.desc("id"), "col", "pos")
+            self._save(postings, path, "postings")
+            lengths = arrays.select("id", _length())
+            self._save(lengths, path, "lengths", False)
+            counts = tokens.groupBy("bucket", "term", "id", F.col("len").cast("int").alias("len")).agg(F.count_if(F.col("col") == 0).cast("int").alias("names"), F.count_if(F.col("col") == 1).cast("int").alias("bodies"))
+            hits = self._save(counts.repartitionByRange("bucket", "term", F.desc("id")).sortWithinPartitions("bucket", "term", F.desc("id")), path, "hits")
+            vocab = hits.groupBy("bucket", "term").agg(F.count("*").alias("doc"), F.sum(F.col("names") + F.col("bodies")).alias("cnt"))
+            self._save(vocab.join(self._floors(hits), ["bucket", "term"], "left").repartition("bucket").sortWithinPartitions("bucket", "term"), path, "vocab")
+            self._save(lengths.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"), F.sum("len").alias("total_len")).withColumn("buckets", F.lit(buckets)), path, "corpus", False)
+        self._save(self.docs.repartitionByRange("id").sortWithinPartitions("id"), path, "docs", False)
         if substrings:
-            grams = self.docs.select("id", F.explode(F.array_distinct(F.concat(trigrams(F.col("name")), trigrams(F.col("body"))))).alias("gram"))
-            save(self._bucketed(grams, "gram").repartitionByRange("bucket", "gram", "id").sortWithinPartitions("bucket", "gram", "id"), "grams")
+            self.write_substrings(path)
+
+    def write_substrings(self, path: str) -> None:
+        """The trigrams of an index written there."""
+        grams = self.docs.select("id", F.explode(F.array_distinct(F.concat(trigrams(F.col("name")), trigrams(F.col("body"))))).alias("gram"))
+        self._save(self._bucketed(grams, "gram").repartitionByRange("bucket", "gram", "id").sortWithinPartitions("bucket", "gram", "id"), path, "grams")
+
+    def _save(self, df: DataFrame, path: str, name: str, by_bucket: bool = True) -> DataFrame:
+        w = df.write.mode("overwrite").option("compression", "zstd")
+        (w.partitionBy("bucket") if by_bucket else w).parquet(f"{path}/{name}")
+        return df.sparkSession.read.schema(df.schema).parquet(f"{path}/{name}")
+
+    def _floors(self, hits: DataFrame) -> DataFrame:
+        """(bucket, term, floors) of terms with more than FIRST_FLOOR documents: hits are counted by spans of ids before they
+        come together by term, newest span first."""
+        spans = hits.groupBy("bucket", "term", F.floor(F.col("id") / SPAN).alias("span")).agg(F.count("*").alias("docs"))
+        down = spans.withColumn("total", F.sum("docs").over(Window.partitionBy("bucket", "term").orderBy(F.desc("span"))))
+
+        def reached(x: Column) -> Column:
+            return F.when(x >= FIRST_FLOOR, F.floor(F.log2(x / FIRST_FLOOR) + 1e-9)).otherwise(-1).cast("int")
+
+        new, old = reached(F.col("total")), reached(F.col("total") - F.col("docs"))
+        steps = down.filter(new > old).select("bucket", "term", F.explode(F.sequence(old + 1, new)).alias("k"), (F.col("span") * SPAN).alias("low"))
+        return steps.groupBy("bucket", "term").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "low"))), lambda x: x["low"]).alias("floors"))
 
     def updated(self, changed: DataFrame, gone: DataFrame | None = None) -> Index:
         """The index after documents (id, name, body) changed or came, and ids of gone went: their postings are dropped
@@ -155,7 +177,7 @@ class Index:
     def read(cls, spark: SparkSession, path: str, files: DataFrame | None = None) -> Index:
         t = {k: spark.read.schema(v).parquet(f"{path}/{k}") for k, v in SCHEMAS.items() if k != "grams" or exists(spark, f"{path}/{k}")}
         c = t["corpus"].first()
-        return cls(t["postings"], t["lengths"], t["docs"], files, True, None, t["hits"], t["vocab"], t["spans"], t.get("grams"), (c.n_docs, c.avg_len or 0.0, c.total_len or 0), c.buckets)
+        return cls(t["postings"], t["lengths"], t["docs"], files, True, None, t["hits"], t["vocab"], t.get("grams"), (c.n_docs, c.avg_len or 0.0, c.total_len or 0), c.buckets)
 
     # ---- statistics
 
@@ -190,8 +212,20 @@ class Index:
         """Whether every word of text is in more than common_df documents; with one that is nowhere, nothing is scored."""
         if not text.split() or common_df <= 0:
             return False
+        if self.terms is not None:
+            return min(d for d, _ in self._lookup([w.lower() for w in text.split()]).values()) > common_df
         return (self.document_frequencies(text).agg(F.min("doc")).first()[0] or 0) > common_df
 
+    def _lookup(self, words: list[str]) -> dict[str, tuple[int, list[int]]]:
+        """word -> (document frequency, floors) from the stored vocabulary: a row per word that isn't known yet."""
+        new = sorted({w for w in words if w not in self._looked})
+        if new:
+            if len(self._looked) > 10_000:
+                self._looked.clear()
+            found = {r.term: (r.doc, r.floors or []) for r in self._of_terms(self.terms, new).select("term", "doc", "floors").collect()}
+            self._looked.update({w: found.get(w, (0, [])) for w in new})
+        return {w: self._looked[w] for w in words}
+
     # ---- matching
 
     def _of_terms(self, table: DataFrame, terms: list[str]) -> DataFrame:
@@ -244,9 +278,9 @@ class Index:
     def _weighed(self, found: DataFrame, wanted: list[Phrase]) -> DataFrame:
         """(id, score) of found rows with stored statistics."""
         n, average, _ = self.stats
-        df = {r.term: r.doc for r in self._of_terms(self.terms, list({p.terms[0] for p in wanted})).select("term", "doc").collect()}  # a row per word of the query
+        df = self._lookup([p.terms[0] for p in wanted])
         rows = found.withColumns({"n_docs": F.lit(n), "avg_len": F.lit(average)})
-        return rows.select("id", reduce(Column.__add__, [_part(F.col(f"tf{k}"), F.lit(df.get(p.terms[0], 0))) for k, p in enumerate(wanted)]).alias("score"))
+        return rows.select("id", reduce(Column.__add__, [_part(F.col(f"tf{k}"), F.lit(df[p.terms[0]][0])) for k, p in enumerate(wanted)]).alias("score"))
 
     def _frequencies(self, wanted: list[Phrase], keep: DataFrame | None) -> DataFrame:
         """(id, phrase, tf) of documents with all phrases, and df of each phrase over all documents."""
@@ -272,20 +306,10 @@ class Index:
 
     def _floor(self, words: list[str], budget: int) -> int | None:
         """An id from which on one of the words has `budget` documents at least; None if all of each are needed."""
-        if self.spans is None:
+        if self.terms is None:
             return None
-        # every span has a document, so that no more rows than the budget are looked at
-        rows = self._of_terms(self.spans, words).groupBy("term", "span").agg(F.first("docs").alias("docs"))
-        best = None
-        for w in dict.fromkeys(words):
-            total = 0
-            for r in rows.filter(F.col("term") == w).orderBy(F.desc("span")).limit(budget).collect():
-                total += r.docs
-                if total >= budget:
-                    low = r.span * SPAN
-                    best = low if best is None or low < best else best
-                    break
-        return best
+        k = max(0, (-(-budget // FIRST_FLOOR) - 1).bit_length())
+        return min((f[k] for _, f in self._lookup(words).values() if k < len(f)), default=None)
 
     def newest(self, wanted: list[Phrase], budget: int, keep: DataFrame | None = None) -> DataFrame:
         """The `budget` highest ids among documents with all phrases."""
@@ -305,7 +329,7 @@ class Index:
             out = out if keep is None else out.join(keep, "id", "left_semi")
             return out.orderBy(F.desc("id")).limit(budget)
 
-        # words of common terms: the newest spans first, more of them until enough documents have all words
+        # common words: down to a floor first, and further until enough documents have all words
         exact = [t for p in wanted for k, t in enumerate(p.terms) if not (p.prefix and k == len(p.terms) - 1)]
         certain = self._simple(wanted) and len(wanted) == 1 and keep is None
         reach = budget
@@ -357,6 +381,9 @@ class Index:
             wanted = phrases(text, prefix_last=plan == "full")
             if not wanted:
                 return self._empty()
+            exact = [t for p in wanted for k, t in enumerate(p.terms) if not (p.prefix and k == len(p.terms) - 1)]
+            if self.terms is not None and exact and not all(d for d, _ in self._lookup(exact).values()):
+                return self._empty()  # a word is nowhere
             ranked = self.bounded(wanted, max(limit, budget), keep) if plan == "bounded" else self.scores(wanted, keep)
         top = ranked.orderBy(F.desc("score"), "id").limit(limit)
         if self.files is None:

@@ -14,7 +14,7 @@ from ..functions.snippet import with_snippets
 from ..functions.tokens import BOUNDARY, trigrams
 from ..operators import fusion, maintain
 from ..operators.index import Index, browse
-from ..session import scratch, table
+from ..session import exists, scratch, table
 from ..sources.files import ContentConfig, applications, extracted
 from ..streaming import changes as stream
 from .query import Phrase, condition, parse, phrases
@@ -45,13 +45,15 @@ def _files(spark, d) -> DataFrame:
 _written: dict[tuple[str, str], str] = {}
 
 
-def _index(spark, d, files: bool = False) -> Index:
+def _index(spark, d, files: bool = False, substrings: bool = False) -> Index:
     """The index of docs as written: once for each session and folder of tables, and read back."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _written:
         path = scratch(spark, "index")
-        Index.of(_docs(spark, d)).write(path, substrings=True)
+        Index.of(_docs(spark, d)).write(path)
         _written[key] = path
+    if substrings and not exists(spark, f"{_written[key]}/grams"):
+        Index.read(spark, _written[key]).write_substrings(_written[key])
     return Index.read(spark, _written[key], _files(spark, d) if files else None)
 
 
@@ -246,7 +248,7 @@ def substring_scan(spark, d):
 
 @query("select id from docs where contains(lower(coalesce(name, '')), 'ackage') or contains(lower(coalesce(body_z, '')), 'ackage')")
 def substring_match(spark, d):
-    return _index(spark, d).contains("ackage")
+    return _index(spark, d, substrings=True).contains("ackage")
 
 
 @query()
@@ -576,6 +578,11 @@ def touch_metadata(spark, d):
     return maintain.touch(f, seen).select("id", "path", "size", "state")
 
 
+@query("select id, path from files where path not in (select path from extract_results where path is not null)")
+def hard_delete(spark, d):
+    return maintain.remove(_files(spark, d), table(spark, d, "extract_results").filter("path is not null").select("path")).select("id", "path")
+
+
 @query("select id, path from files where not (path = '/home/desk/src' or starts_with(path, '/home/desk/src/'))")
 def subtree_delete(spark, d):
     return maintain.remove_subtree(_files(spark, d), "/home/desk/src").select("id", "path")
@@ -676,12 +683,13 @@ def changes_applied(spark, d):
 
 
 @query(
-    f"""with a as (select distinct path as folder from (select *, {_ACTION} as action from {_ONCE}) where action = 'scan' and path is not null)
+    """with a as (select distinct path as folder from file_changes where op = 'remove_tree' and path is not null)
     select distinct f.path from files f join a on f.path = a.folder or starts_with(f.path, a.folder || '/')"""
 )
 def scanned_folders(spark, d):
-    """Files under folders that were created or moved in, which have no event of their own."""
-    return stream.scanned(_files(spark, d), table(spark, d, "file_changes"))
+    """The folders that the changes remove come back: files under them, which have no event of their own, are to be read."""
+    back = table(spark, d, "file_changes").withColumn("op", F.when(F.col("op") == "remove_tree", "moved_to").otherwise(F.col("op")))
+    return stream.scanned(_files(spark, d), back)
 
 
 @query(f"with {_LAST} select path, action from last")

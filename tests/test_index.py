@@ -71,8 +71,9 @@ def test_scores_match_an_independent_engine(spark):
 
 
 def test_written_index(spark, tmp_path, monkeypatch):
-    """All answers of the written index, scores included, are those of the scan; spans of four ids make all words common."""
+    """All answers of the written index, scores included, are those of the scan; floors after four documents make all words common."""
     monkeypatch.setattr(index, "SPAN", 4)
+    monkeypatch.setattr(index, "FIRST_FLOOR", 4)
     rng = random.Random(3)
     rows = [(k, f"doc {k}", f"common word{k % 5} targetFile" + " rare" * (k % 17 == 0) + " filler" * rng.randint(0, 9)) for k in range(1, 90)]
     ix = make(spark, rows)
@@ -90,7 +91,7 @@ def test_written_index(spark, tmp_path, monkeypatch):
             assert scored(back.bounded(wanted, budget)) == scored(ix.scores(wanted, ix.newest(wanted, budget)))
     keep = ix.docs.filter("id % 7 = 0").select("id")
     assert scored(back.bounded(phrases("common", False), 3, keep)) == scored(ix.scores(phrases("common", False), ix.newest(phrases("common", False), 3, keep)))
-    assert back._floor(["common"], 10) == 80 and back._floor(["absent"], 1) is None and back._floor(["common"], 1000) is None
+    assert back._floor(["common"], 10) == 72 and back._floor(["common"], 8) == 80 and back._floor(["absent"], 1) is None and back._floor(["common"], 1000) is None
     for q in ("common", "com"):
         assert [(r.id, r.name) for r in back.search(q, 20).collect()] == [(r.id, r.name) for r in ix.search(q, 20).collect()]
     assert sorted(ids(back.contains("getFil ord3"))) == sorted(ids(ix.contains("getFil ord3"))) != []
