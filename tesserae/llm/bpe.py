@@ -23,6 +23,7 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 ASCII_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?[A-Za-z]+| ?[0-9]+| ?[^ \t\n\r\x0b\x0cA-Za-z0-9]+|[ \t\n\r\x0b\x0c]+(?![^ \t\n\r\x0b\x0c])|[ \t\n\r\x0b\x0c]+"
 
 _SEPARATOR, _DEAD = 0xFFFF, 0xFFFE
+MANY = 10_000  # symbols of a list from which on whole buckets are merged as arrays; the ids are the same either way
 
 
 def _byte_symbols() -> list[str]:
@@ -121,7 +122,7 @@ class BytePairEncoder:
             filled = dict(zip(rank[cut].tolist(), np.split(hit, cut[1:])))
             for r in filled:
                 queue.add(r)
-            symbol = (self._merge_many if n > 10_000 else self._merge_few)(symbol, queue, filled)
+            symbol = (self._merge_many if n > MANY else self._merge_few)(symbol, queue, filled)
         live = symbol != _DEAD
         place = np.cumsum(live)
         flat = symbol[live].tolist()

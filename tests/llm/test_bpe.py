@@ -35,6 +35,18 @@ def test_very_long_words(reference):
     assert encoder().ids(texts) == want
 
 
+def test_both_ways_of_merging_agree(monkeypatch):
+    from tesserae.llm import bpe
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choices(PARTS, k=rng.randint(1, 60))) for _ in range(200)] + ["a" * 999, "ab" * 500, "的" * 300]
+    got = []
+    for many in (0, 1 << 60):
+        monkeypatch.setattr(bpe, "MANY", many)
+        got.append(bpe.BytePairEncoder().ids(texts))
+    assert got[0] == got[1]
+
+
 def test_bitmap():
     rng = random.Random(2)
     q, model = RankBitmap(), set()
