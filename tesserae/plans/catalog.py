@@ -201,11 +201,12 @@ def bm25_with_predicate(spark, d):
     return _ranked(ix, phrases(text, False), 10, ix.files.filter(condition(preds)).select("id"))
 
 
-@query(
-    _bm25(["select id, col, pos from postings where term = 'archive'", "select distinct id, col, pos from postings where starts_with(term, 'fold')"], 6).replace(
-        "select id, round(score, 6) as score from scored where k = 2 order by score desc, id limit 6", "select f.id, f.path, f.name, f.mime, round(s.score, 6) as score from (select id, score from scored where k = 2 order by score desc, id limit 6) s join files f using (id)"
-    )
+_FULL = _bm25(["select id, col, pos from postings where term = 'archive'", "select distinct id, col, pos from postings where starts_with(term, 'fold')"], 6).replace(
+    "select id, round(score, 6) as score from scored where k = 2 order by score desc, id limit 6", "select f.id, f.path, f.name, f.mime, round(s.score, 6) as score from (select id, score from scored where k = 2 order by score desc, id limit 6) s join files f using (id)"
 )
+
+
+@query(_FULL)
 def search_full(spark, d):
     hits = _index(spark, d, True).search("archive fold", 6, NOW, plan="full")
     return hits.withColumn("score", F.round("score", 6))
@@ -251,11 +252,26 @@ def substring_match(spark, d):
     return _index(spark, d, substrings=True).contains("ackage")
 
 
-@query()
+@query(
+    _FULL.replace("select f.id, f.path", ", top as (select f.id, f.path", 1)
+    + f"""),
+    b as (select t.id, regexp_extract_all(coalesce(body_z, ''), '[\\p{{L}}\\p{{N}}]+') as toks, string_split_regex(coalesce(body_z, ''), '[\\p{{L}}\\p{{N}}]+') as seps from top t left join docs using (id)),
+    tk as (select id, len(toks) as n, unnest(toks) as tok, generate_subscripts(toks, 1) - 1 as k from b),
+    sg as (select *, case when regexp_full_match(tok, '[A-Za-z0-9]{{2,256}}') then string_split(lower({_SPLIT}), ' ') else [strip_accents(lower(tok))] end as segs from tk),
+    h as (select id, n, k, 0 as p from sg where list_contains(segs, 'archive') union all select id, n, k, 1 from sg where len(list_filter(segs, lambda s: starts_with(s, 'fold'))) > 0),
+    w as (select *, greatest(0, least(k - 5, n - 12)) as a from h),
+    c as (select w.id, w.a, w.p, w.k, count(distinct x.p) as inside from w join h x on x.id = w.id and x.k >= w.a and x.k < w.a + 12 group by 1, 2, 3, 4),
+    pick as (select id, a from (select *, row_number() over (partition by id order by inside desc, p, k) as r from c) where r = 1),
+    s as (select b.id, coalesce(a, 0) as a, toks, seps from b left join pick using (id)),
+    o as (select s.id, string_agg(case when tk.k > a then seps[tk.k + 1] when a = 0 then seps[1] else '…' end || case when exists (select 1 from h where h.id = s.id and h.k = tk.k) then '[' || tok || ']' else tok end, '' order by tk.k)
+        || case when any_value(a) + 12 >= len(any_value(toks)) then any_value(seps)[len(any_value(toks)) + 1] else '…' end as snippet from s join tk on tk.id = s.id and tk.k >= a and tk.k < a + 12 group by s.id)
+    select top.*, coalesce(snippet, '') as snippet from top left join o using (id)"""
+)
 def snippets(spark, d):
     ix = _index(spark, d, True)
     wanted = phrases("archive fold", True)
-    return with_snippets(ix.search("archive fold", 6, NOW, plan="full"), ix.docs, wanted)
+    hits = ix.search("archive fold", 6, NOW, plan="full").withColumn("score", F.round("score", 6))
+    return with_snippets(hits, ix.docs, wanted)
 
 
 # ---------------------------------------------------------------- predicates
@@ -692,6 +708,19 @@ def scanned_folders(spark, d):
     return stream.scanned(_files(spark, d), back)
 
 
+@query(
+    """with recursive k as (select epoch_us(arrived_at) // 60000000 * 60 as t, bool_or(op = 'overflow') as degraded from file_changes where arrived_at is not null group by 1),
+    ticks as (select t, bool_or(degraded) over (order by t) as short from k),
+    r(t) as (select min(t) from ticks union all select (select min(x.t) from ticks x where x.t - r.t >= case when x.short then 180 else 900 end) from r where r.t is not null)
+    select r.t::bigint as t, ticks.short as degraded from r join ticks using (t)"""
+)
+def reconciliation_times(spark, d):
+    """Every minute in which changes arrive is a turn of the clock; from the first overflow on the short interval holds."""
+    minute = F.expr("unix_micros(arrived_at) div 60000000 * 60")
+    ticks = table(spark, d, "file_changes").select(minute.alias("t"), (F.col("op") == "overflow").alias("degraded"))
+    return stream.due_times(ticks, 900, 180)
+
+
 @query(f"with {_LAST} select path, action from last")
 def stream_apply(spark, d):
     """The change table read as a stream, batch by batch, into a table of the last action of each path."""

@@ -112,6 +112,23 @@ def start(spark: SparkSession, source: str, checkpoint: str, apply: Callable[[Da
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="5 seconds")).start()
 
 
+def due_times(ticks: DataFrame, interval_s: int, degraded_s: int) -> DataFrame:
+    """(t, degraded) of the ticks (t in seconds, degraded) at which a full reconciliation falls due: the first, and then the
+    first at least an interval after the last one. From a tick that says so on the interval is the degraded one, for good.
+    Ticks are as many as there are turns of a clock, and go through one row."""
+    each = ticks.filter("t is not null").groupBy("t").agg(F.bool_or(F.coalesce("degraded", F.lit(False))).alias("degraded"))
+    turns = each.agg(F.sort_array(F.collect_list(F.struct("t", "degraded"))).alias("turns"))
+    start = F.struct(F.lit(None).cast("long").alias("last"), F.lit(False).alias("short"), F.expr("cast(array() as array<struct<t:bigint,degraded:boolean>>)").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        short = acc["short"] | x["degraded"]
+        due = acc["last"].isNull() | (x["t"] - acc["last"] >= F.when(short, degraded_s).otherwise(interval_s))
+        out = F.when(due, F.concat(acc["out"], F.array(F.struct(x["t"].alias("t"), short.alias("degraded"))))).otherwise(acc["out"])
+        return F.struct(F.when(due, x["t"]).otherwise(acc["last"]).alias("last"), short.alias("short"), out.alias("out"))
+
+    return turns.select(F.explode(F.aggregate("turns", start, step)["out"]).alias("d")).select("d.t", "d.degraded")
+
+
 def in_order(batch: DataFrame, most: int) -> list[DataFrame]:
     """The batch in parts of about `most` changes by order of arrival; those that arrived together stay together."""
     n = batch.count() if most else 0
@@ -135,4 +152,4 @@ def pair_moves_stream(changes: DataFrame, wait: str = "10 minutes") -> DataFrame
     return old.join(new, near, "fullOuter").select(F.coalesce("c1", "c2").alias("cookie"), "old_path", "new_path")
 
 
-__all__ = ["SCHEMA", "action", "actions", "ancestors", "apply_batch", "in_order", "last_actions", "late_deliveries", "live_docs", "moves", "pair_moves_stream", "scanned", "start"]
+__all__ = ["SCHEMA", "action", "actions", "ancestors", "apply_batch", "due_times", "in_order", "last_actions", "late_deliveries", "live_docs", "moves", "pair_moves_stream", "scanned", "start"]
