@@ -162,17 +162,6 @@ class Index:
         steps = down.filter(new > old).select("bucket", "term", F.explode(F.sequence(old + 1, new)).alias("k"), (F.col("span") * SPAN).alias("low"))
         return steps.groupBy("bucket", "term").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "low"))), lambda x: x["low"]).alias("floors"))
 
-    def updated(self, changed: DataFrame, gone: DataFrame | None = None) -> Index:
-        """The index after documents (id, name, body) changed or came, and ids of gone went: their postings are dropped
-        by an anti-join and those of the changed ones, computed alone, are added."""
-        new = Index.of(changed)
-        out = changed.select("id") if gone is None else changed.select("id").unionByName(gone.select("id"))
-
-        def swap(old: DataFrame, more: DataFrame) -> DataFrame:
-            return old.join(out, "id", "left_anti").select(more.columns).unionByName(more)
-
-        return Index(swap(self.postings, new.postings), swap(self.lengths, new.lengths), swap(self.docs, new.docs), self.files)
-
     @classmethod
     def read(cls, spark: SparkSession, path: str, files: DataFrame | None = None) -> Index:
         t = {k: spark.read.schema(v).parquet(f"{path}/{k}") for k, v in SCHEMAS.items() if k != "grams" or exists(spark, f"{path}/{k}")}

@@ -124,11 +124,16 @@ def name_trigrams(spark, d):
 
 @query(f"with {_POSTINGS} select term, id, col, pos::int as pos, colocated from postings where id % 4 <> 0")
 def incremental_postings(spark, d):
-    """An index of other texts, brought up to date: even ids have changed, every fourth document has gone."""
+    """An index of other texts, brought up to date by a segment: even ids have changed, every fourth document has gone."""
     docs = _docs(spark, d)
     stale = docs.withColumn("body", F.when(F.col("id") % 2 == 0, F.reverse("body")).otherwise(F.col("body")))
-    ix = Index.of(stale).updated(docs.filter("id % 2 = 0 and id % 4 <> 0"), docs.filter("id % 4 = 0").select("id"))
-    return ix.postings.select("term", "id", "col", "pos", "colocated")
+    by = {"postings": "bucket"}
+    store = maintain.SnapshotStore(spark, scratch(spark, "store"), writer=True)
+    store.commit(by, postings=Index.of(stale).bucketed_postings())
+    changed = docs.filter("id % 2 = 0 and id % 4 <> 0")
+    old = docs.filter("id % 4 = 0").select("id").unionByName(changed.select("id"))
+    store.append({"postings": old}, by, postings=Index.of(changed).bucketed_postings())
+    return store.table("postings").select("term", "id", "col", "pos", "colocated")
 
 
 # ---------------------------------------------------------------- ranking

@@ -63,14 +63,14 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass  # the session may have ended first
 
 
-_scopes: list[list[str]] = []
+_scopes = threading.local()  # a thread's stagings hold what it stages itself
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder. It is removed at the end of the `staging` around, or else of the program."""
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if _scopes:
-        _scopes[-1].append(path)
+    if getattr(_scopes, "open", None):
+        _scopes.open[-1].append(path)
     else:
         atexit.register(_drop, spark, path)
     return path
@@ -79,11 +79,11 @@ def scratch(spark: SparkSession, name: str) -> str:
 @contextmanager
 def staging(spark: SparkSession) -> Iterator[None]:
     """Remove what is staged inside when it is done: for long-running programs."""
-    _scopes.append([])
+    _scopes.open = [*getattr(_scopes, "open", []), []]
     try:
         yield
     finally:
-        for path in _scopes.pop():
+        for path in _scopes.open.pop():
             _drop(spark, path)
 
 
