@@ -78,10 +78,25 @@ class ContentService:
             files = self._files()
             todo = staged(m.decide(seen, files).filter("action <> 'unchanged'"))
             touched = seen.join(todo.filter("action = 'touch'").select("path"), "path", "left_semi")
-            self._update(todo.filter("action in ('new', 'index')").select("path"), m.vanished(files, seen), touched)
+            new = todo.filter("action in ('new', 'index')").select("path")
+            cap = self.config.max_index_mb << 20
+            if not cap:
+                self._update(new, m.vanished(files, seen), touched)
+            else:
+                self._update(new.limit(0), m.vanished(files, seen), touched)
+                self._crawl(new, seen, cap)
             self.counters["reconciled"] += 1
             self.last_reconcile = self._clock()
 
+    def _crawl(self, new: DataFrame, seen: DataFrame, cap: int) -> None:
+        """Read new files in rounds as large as what is left under the cap, until it is reached; the others stay unknown."""
+        size = seen.join(new, "path", "left_semi").agg(F.sum("size")).first()[0] or 0
+        rounds = -(-size // max(1, cap - self.store.bytes())) if self.store.bytes() < cap else 0
+        for k in range(rounds):
+            if self.store.bytes() >= cap:
+                return
+            self._update(new.filter(F.pmod(F.xxhash64("path"), F.lit(rounds)) == k), self._files().select("path").limit(0))
+
     def apply(self, changes: DataFrame, number: int = 0) -> None:
         """A batch of change events; an overflow reconciles instead. While paused the batch is refused, so that a stream
         stops before it and delivers it again."""

@@ -53,6 +53,7 @@ class ContentConfig:
     min_query: int = 3
     max_results: int = 6
     extractors: tuple[str, ...] = ("text", "pdf", "office", "html")
+    max_index_mb: int = 0  # size of the index at which a crawl stops; 0: none
     timeout_ms: int = 10_000
     cpu_seconds: int = 20  # limits of an external tool
     mem_limit_mb: int = 512

@@ -116,3 +116,17 @@ def test_renamed_folder(spark, tmp_path):
     os.rename(root / "old", root / "new")
     s.apply(spark.createDataFrame([(1, "moved_from", str(root / "old"), True, 5, T0, T0), (2, "moved_to", str(root / "new"), True, 5, T0, T0)], SCHEMA))
     assert sorted(r.path for r in s.search("alpha").collect()) == [str(root / "new/a.txt"), str(root / "new/deep/b.txt")]
+
+
+def test_crawl_stops_at_the_cap(spark, tmp_path, monkeypatch):
+    root = tmp_path / "home"
+    root.mkdir()
+    for k in range(9):
+        (root / f"{k}.txt").write_text(f"alpha {k} " * 50)
+    s = ContentService(spark, f"file://{tmp_path}/store", ContentConfig(roots=[str(root)], max_index_mb=1), buckets=3)
+    rounds = []
+    update, size = s._update, {"now": (1 << 20) - 1500}
+    monkeypatch.setattr(s, "_update", lambda *a: (rounds.append(1), size.update(now=size["now"] + 1000), update(*a)))
+    monkeypatch.setattr(s.store, "bytes", lambda: size["now"])
+    s.reconcile()
+    assert len(rounds) == 2 and 0 < s.status()["total"] < 9
