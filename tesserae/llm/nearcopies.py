@@ -346,17 +346,18 @@ def near_copy_pairs(docs: DataFrame, id_col: str = "id", text_col: str = "body_z
     """All pairs (id_a < id_b) of documents, exact copies included. Its size is that of the answer: a class of k equal
     documents has k(k-1)/2 pairs, made in groups of at most two blocks; near_copies gives the same answer unexpanded."""
     members, links = near_copies(docs, id_col, text_col, block=block, **options)
-    links = links.select("id_a", "id_b")
-    m = members.select("rep", "id")
-    between = (
-        links.join(m.select(F.col("rep").alias("id_a"), F.col("id").alias("x")), "id_a")
-        .join(m.select(F.col("rep").alias("id_b"), F.col("id").alias("y")), "id_b")
-        .select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
-    )
-    many = m.groupBy("rep").agg(F.count("*").alias("k")).filter("k > 1").select("rep", F.ceil(F.col("k") / block).cast("int").alias("blocks"))
-    copies = m.join(many, "rep").withColumn("cell", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    # every copy once by its own cell, and once for each cell to meet those of it: no key holds more than a block
-    spread_out = copies.select("rep", F.col("id").alias("id_b"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("cell"))
+    many = members.groupBy("rep").agg(F.count("*").alias("k")).filter("k > 1").select("rep", F.ceil(F.col("k") / block).cast("int").alias("blocks"))
+    m = members.join(many, "rep", "left").select("rep", "id", "blocks", F.pmod(F.xxhash64("id"), F.coalesce("blocks", F.lit(1))).cast("int").alias("cell"))
+    cells = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))
+    # a link meets the members of its classes cell by cell: no key holds more than a block of a class
+    between = links.select("id_a", "id_b")
+    for s in ("a", "b"):
+        between = between.join(many.withColumnRenamed("rep", f"id_{s}"), f"id_{s}", "left").withColumn("cell", cells).drop("blocks")
+        between = between.join(m.select(F.col("rep").alias(f"id_{s}"), "cell", F.col("id").alias(f"x_{s}")), [f"id_{s}", "cell"]).drop("cell")
+    between = between.select(F.least("x_a", "x_b").alias("id_a"), F.greatest("x_a", "x_b").alias("id_b"))
+    # every copy once by its own cell, and once for each cell to meet those of it
+    copies = m.filter("blocks is not null")
+    spread_out = copies.select("rep", F.col("id").alias("id_b"), cells.alias("cell"))
     within = copies.select("rep", F.col("id").alias("id_a"), "cell").join(spread_out, ["rep", "cell"]).filter("id_a < id_b").select("id_a", "id_b")
     return between.unionByName(within)
 
