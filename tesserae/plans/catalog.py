@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from ..functions.snippet import with_snippets
 from ..functions.tokens import BOUNDARY, trigrams
 from ..operators import fusion, maintain
 from ..operators.index import Index, browse
-from ..session import exists, scratch, table
+from ..session import scratch, table
 from ..sources.files import ContentConfig, applications, extracted
 from ..streaming import changes as stream
 from .query import Phrase, condition, parse, phrases
@@ -42,19 +43,22 @@ def _files(spark, d) -> DataFrame:
     return table(spark, d, "files")
 
 
-_written: dict[tuple[str, str], str] = {}
+_written: dict[tuple[str, str], tuple[str, Index]] = {}
 
 
 def _index(spark, d, files: bool = False, substrings: bool = False) -> Index:
-    """The index of docs as written: once for each session and folder of tables, and read back."""
+    """The index of docs as written: once for each session and folder of tables, and opened once."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _written:
         path = scratch(spark, "index")
         Index.of(_docs(spark, d)).write(path)
-        _written[key] = path
-    if substrings and not exists(spark, f"{_written[key]}/grams"):
-        Index.read(spark, _written[key]).write_substrings(_written[key])
-    return Index.read(spark, _written[key], _files(spark, d) if files else None)
+        _written[key] = path, Index.read(spark, path)
+    path, ix = _written[key]
+    if substrings and ix.grams is None:
+        ix.write_substrings(path)
+        ix = Index.read(spark, path)
+        _written[key] = path, ix
+    return replace(ix, files=_files(spark, d)) if files else ix
 
 
 def _scan(spark, d) -> Index:
