@@ -82,7 +82,9 @@ def apply_batch(files: DataFrame, changes: DataFrame) -> DataFrame:
     if trees.isEmpty():  # no folder has gone: the files needn't be held against their folders
         under = last.select("path", F.col("ts").alias("tree_ts")).limit(0)
     else:
-        under = files.select("path", F.explode(ancestors()).alias("tree")).join(trees, "tree").groupBy("path").agg(F.max("tree_ts").alias("tree_ts"))
+        # merged: by its estimate, which doesn't see what explode adds, the planner would broadcast every folder of every file
+        every = files.select("path", F.explode(ancestors()).alias("tree")).hint("merge")
+        under = every.join(trees, "tree").groupBy("path").agg(F.max("tree_ts").alias("tree_ts"))
     own = last.select("path", F.col("ts").alias("own_ts"), "action")
     dead = under.join(own, "path", "left").filter("own_ts is null or own_ts <= tree_ts or action like 'remove%'").select("path").unionByName(gone).distinct()
     again = last.filter("action = 'index'").select("path").join(dead, "path", "left_anti").withColumn("_again", F.lit(True))

@@ -41,6 +41,16 @@ def test_folder_removed_and_made_again(spark):
     assert [r.path for r in c.scanned(files, events(spark, rows[1:])).orderBy("path").collect()] == ["/d/x", "/d/y"]
 
 
+def test_folders_of_all_files_are_no_broadcast(spark, tmp_path):
+    """A small file of long paths: its estimate is below the threshold, the exploded folders are not."""
+    spark.createDataFrame([(k, f"/a/b/c/d/e/f/{k}", 0) for k in range(50)], "id long, path string, state int").write.parquet(str(tmp_path / "files"))
+    events(spark, [(1, "remove_tree", "/a/b", True, None, 1), (2, "index", "/a/b/c/d/e/f/7", False, None, 2)]).write.parquet(str(tmp_path / "changes"))
+    out = c.apply_batch(spark.read.parquet(str(tmp_path / "files")), spark.read.parquet(str(tmp_path / "changes")))
+    assert {r.id: r.state for r in out.collect()} == {k: 1 if k == 7 else 2 for k in range(50)}
+    joins = [x for x in out._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join [tree#" in x]
+    assert joins and all("SortMergeJoin" in x for x in joins)
+
+
 def test_stream(spark, tmp_path):
     for k in range(0, len(ROWS), 4):
         events(spark, ROWS[k : k + 4]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
