@@ -25,6 +25,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 from ..functions.tokens import index_tokens, trigrams
 from ..plans.query import Phrase, condition, parse, phrases
 from ..session import collect_within, exists, spread, staged, staging
+from .batch import Asked, PhraseTree, best_of, phrases_of
 
 WEIGHT_NAME, WEIGHT_BODY, K1, B = 10.0, 1.0, 1.2, 0.75
 BUCKETS = 64
@@ -399,10 +401,11 @@ class Index:
         """(query, rank, id, score): the best `limit` documents of each query (query, text), in one job; exact words, no
         predicates, ranked by scores to nine places.
 
-        One pass over the hits of all words, and over the postings of compound words, whose segments come together by the
-        position of the first."""
-        if isinstance(queries, dict):
-            queries = self.docs.sparkSession.createDataFrame(list(queries.items()), "query long, text string")
+        A table of queries takes one pass over all documents (`_in_one_pass`). A few from the program take one over the hits
+        of their words, and over the postings of compound words, whose segments come together by the position of the first."""
+        if not isinstance(queries, dict):
+            return self._in_one_pass(queries, limit)
+        queries = self.docs.sparkSession.createDataFrame(list(queries.items()), "query long, text string")
         asked = self.asked(queries)
         one = ["query", "phrase", "phrases"]
         if self.hits is None:
@@ -421,6 +424,31 @@ class Index:
         rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
         return total.withColumn("rank", rank).filter(F.col("rank") <= limit).select("query", "rank", "id", "score")
 
+    def _in_one_pass(self, queries: DataFrame, limit: int) -> DataFrame:
+        """search_batch of a table. Equal queries are answered once, under the least number of them. The distinct phrases
+        come to the driver and go to all tasks; their documents are staged, and again read with their frequencies."""
+        spark = self.docs.sparkSession
+        words = self.asked(queries).groupBy("query", "phrase").agg(F.sort_array(F.collect_list(F.struct("k", "term")))["term"].alias("terms"))
+        sets = words.groupBy("query").agg(F.sort_array(F.collect_list("terms")).alias("terms"))
+        sets = staged(sets.select("query", "terms", F.min("query").over(Window.partitionBy("terms")).alias("asked")))
+        each = sets.filter("query = asked").select("asked", "terms").toArrow()
+        number: dict[tuple[str, ...], int] = {}
+        wanted = {q: [number.setdefault(tuple(p), len(number)) for p in terms] for q, terms in zip(each["asked"].to_pylist(), each["terms"].to_pylist())}
+        if not wanted:
+            return spark.createDataFrame([], "query long, rank int, id long, score double")
+        arrays = self.arrays if self.arrays is not None else Index.of(self.docs).arrays
+        found = arrays.select("id", _length(), "name", "body").mapInArrow(phrases_of(PhraseTree.of(list(number)), {"name": WEIGHT_NAME, "body": WEIGHT_BODY}), "id long, len long, phrases array<int>, tf array<double>")
+        found = staged(found)
+        n, average = found.agg(F.count("*"), F.avg("len")).first()
+        counts = found.select(F.explode("phrases").alias("phrase")).groupBy("phrase").agg(F.count("*").alias("df")).toArrow()
+        df = np.zeros(len(number), np.int64)
+        df[counts["phrase"].to_numpy()] = counts["df"].to_numpy()
+        idf = np.log((n - df + 0.5) / (df + 0.5))
+        best = found.mapInArrow(best_of(Asked.of(wanted, df), np.where(idf > 0, idf, 1e-6), average or 1.0, limit, K1, B), "asked long, id long, score double")
+        rank = F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("score"), "id"))
+        top = best.withColumn("rank", rank).filter(F.col("rank") <= limit)
+        return sets.select("query", "asked").join(top, "asked").select("query", "rank", "id", "score")
+
     def _empty(self) -> DataFrame:
         return self.postings.sparkSession.createDataFrame([], "id long, path string, name string, mime string, score double")
 

@@ -1,11 +1,13 @@
 import random
 import sqlite3
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tesserae.functions.snippet import excerpt
-from tesserae.operators import index
+from tesserae.operators import batch, index
 from tesserae.operators.index import Index, browse
 from tesserae.plans.query import Phrase, phrases
 
@@ -115,6 +117,34 @@ def test_batch(spark):
     assert ix.search_batch({}).count() == 0
 
 
+def test_batch_of_a_table(spark, tmp_path):
+    """Many queries, equal ones among them, give the results of the few, and no row per query and document is shuffled."""
+    rows = [(k, f"part {k % 9}_file.txt", f"common word{k % 5} targetFile target fileTxt" + " filler" * (k % 7)) for k in range(60)] + [(97, None, None), (98, "", ""), (99, "common", None)]
+    ix = make(spark, rows)
+    texts = dict(enumerate(["common", "word3 common", "targetFile", "absent", "", "part 3_file.txt", "common common", "targetfile", "target file", "file.txt common", "absent common", "part", "targetfile.file", "---", "common"], 5))
+    want = sorted((r["query"], r["rank"], r.id, round(r.score, 8)) for r in ix.search_batch(texts, 5).collect())
+    table = spark.createDataFrame(list(texts.items()), "query long, text string")
+    got = ix.search_batch(table, 5)
+    assert sorted((r["query"], r["rank"], r.id, round(r.score, 8)) for r in got.collect()) == want and len(want) > 40
+    assert got.schema.simpleString() == ix.search_batch(texts, 5).schema.simpleString()
+    assert got._jdf.queryExecution().sparkPlan().toString().count("Join") == 1  # of queries and their best, none of words and postings
+    ix.write(str(tmp_path / "ix"))
+    assert sorted((r["query"], r["rank"], r.id, round(r.score, 8)) for r in Index.read(spark, str(tmp_path / "ix")).search_batch(table, 5).collect()) == want
+    assert ix.search_batch(table.limit(0)).count() == 0 and make(spark, []).search_batch(table).count() == 0
+    assert ix.search_batch(table.filter("text in ('absent', '')")).count() == 0
+
+
+def test_batch_in_parts(monkeypatch):
+    """Candidates looked at in many parts give the same best."""
+    rng, df = np.random.default_rng(5), np.array([3, 9, 5, 7])
+    has = [sorted(set(rng.integers(0, 4, 3).tolist())) for _ in range(40)]
+    docs = pa.RecordBatch.from_pydict({"id": pa.array(range(40), pa.int64()), "len": pa.array(rng.integers(1, 9, 40), pa.int64()), "phrases": pa.array(has, pa.list_(pa.int32())), "tf": pa.array([[1.0 + k for k in x] for x in has])})
+    run = batch.best_of(batch.Asked.of({7: [0], 8: [1, 3], 9: [2, 2, 0], 10: [0]}, df), np.array([1.0, 2.0, 3.0, 4.0]), 4.0, 3, 1.2, 0.75)
+    whole = [b.to_pylist() for b in run(iter([docs]))]
+    monkeypatch.setattr(batch, "CANDIDATES", 2)
+    assert [b.to_pylist() for b in run(iter([docs]))] == whole and {r["asked"] for r in whole[0]} == {7, 8, 9, 10}
+
+
 def test_predicates(spark):
     """Kinds, sizes with their bounds, ages with their bounds, names and extensions, alone and with text."""
     kb = 1024
