@@ -14,9 +14,9 @@ samples have), costs DOUBT more, or ODD_COST if capitals inside words or unknown
 every reading that explains something and still leaves something; a reading met again by a longer chain isn't tried twice,
 as the shorter chain is the cheaper one.
 
-The word lists are made from a bounded sample of labelled texts (`LanguageModel.fit`): per language sample_docs texts of at
-most sample_chars characters, chosen by hash; the dictionary of a language from those of them, in order of the hash, that
-fit into dictionary_bytes as a whole.
+Word lists and dictionaries are made from counts over all labelled texts, whole (`LanguageModel.fit`): of each language the
+words and signs that one of COMMON of its texts has, the dictionary being these words in order of frequency. The share
+bounds them by the number of words in a text, whatever the number of texts.
 
 Defined results: null and empty texts are unchanged and no case; a text with U+FFFD other than one at its very end is a
 case that can't be recovered, marked as lossy (the passages around are still mended); repeated rows are handled each; an empty table, or
@@ -48,6 +48,7 @@ UTF8_COST = 0.5  # the same if the bytes turn out to be UTF-8, which they hardly
 MARGIN = 0.5  # bytes by which a chain has to beat the text as it is
 MAX_STEPS = 3
 ODD_COST = 1.0  # bytes for a reading that leaves as many suspicious places and is less odd otherwise
+COMMON = 2000  # a word or sign belongs to a language if one of so many of its texts has it
 DOUBT = 8.0  # bytes for a reading as odd as the text, and for each further odd place
 
 _WORD = regex.compile(r"[\p{L}\p{M}]*[^\x00-\x7f\P{L}][\p{L}\p{M}]*")
@@ -130,19 +131,34 @@ class LanguageModel:
         return self.__dict__ | {"_tools": None, "_edged": {}, "_chains": {}}
 
     @classmethod
-    def fit(cls, documents: DataFrame, languages: tuple[str, ...] = ("de", "en", "es", "fr", "pt", "ru"), sample_docs: int = 250, sample_chars: int = 8000) -> LanguageModel:
-        """From documents (doc_id, text, lang). The sample is at most sample_docs texts of sample_chars characters for each
-        language; it is found in one pass, and read in another that looks at the ids only but for its rows."""
-        usable = documents.filter(F.col("lang").isin(*languages) & F.length("text").between(40, sample_chars))
-        rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-        ranked = usable.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).withColumn("n", rank)
-        chosen = [r.doc_id for r in ranked.filter(F.col("n") <= sample_docs).select("doc_id").collect()]
-        rows = documents.filter(F.col("doc_id").isin(chosen)).select("lang", "text", F.xxhash64("doc_id").alias("h")).collect() if chosen else []
-        samples: dict[str, list[str]] = {}
-        for r in sorted(rows, key=lambda r: (r.h, r.text or "")):
-            if r.lang in languages and r.text:
-                samples.setdefault(r.lang, []).append(r.text)
-        return cls(samples)
+    def fit(cls, documents: DataFrame, languages: tuple[str, ...] = ("de", "en", "es", "fr", "pt", "ru"), sample_docs: int | None = None) -> LanguageModel:
+        """From all labelled texts of documents (doc_id, text, lang), of any length. Words, as between blanks and as runs of letters, and signs are counted by language
+        in the tasks, once a text; those in a COMMON-th of its texts come to the driver. sample_docs, for trials only, takes
+        as many texts a language."""
+        usable = documents.filter(F.col("lang").isin(*languages) & (F.length("text") > 0))
+        if sample_docs is not None:
+            usable = usable.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))).filter(F.col("n") <= sample_docs)
+        each = spread(usable.select("lang", "text", F.xxhash64("text").alias("h"))).mapInArrow(_counted, "lang string, part string, texts long, low long, high long")
+        counts = each.groupBy("lang", "part").agg(F.sum("texts").alias("texts"), F.min("low").alias("low"), F.max("high").alias("high"))
+        totals = {r.lang: r["count"] for r in usable.groupBy("lang").count().collect()}
+        total = F.lit(None).cast("long")
+        for k, n in totals.items():
+            total = F.when(F.col("lang") == k, F.lit(n)).otherwise(total)
+        common = counts.filter(F.col("texts") * COMMON >= total)
+        rows = sorted(tuple(r) for r in common.select("lang", "texts", "part", "low", "high").collect())
+        model = cls({})
+        # the most frequent words last, where they are cheapest to refer to
+        words = {k: [part for lang, _, part, *_ in rows if lang == k] for k in sorted({r[0] for r in rows})}
+        model.data = {k: " ".join(v).encode("utf-8", "surrogatepass") for k, v in words.items() if v}
+        within: dict[str, tuple[int, int]] = {}
+        for _, _, part, low, high in rows:
+            if _WORD.fullmatch(part):
+                a, b = within.get(part.lower(), (low, high))
+                within[part.lower()] = min(a, low), max(b, high)
+        model.words = frozenset(w for w, (a, b) in within.items() if a < b)  # in two different texts at least
+        model.signs = frozenset(part for _, _, part, *_ in rows if len(part) == 1 and part > "\x7f" and not part.isalpha())
+        model.letters = frozenset(c for v in words.values() for w in v for c in w if c.isalpha())
+        return model
 
     def length(self, text: str) -> int:
         """Bytes of text compressed with the best language's dictionary."""
@@ -204,6 +220,27 @@ class LanguageModel:
         return self._edged[token]
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, text, h) -> (lang, part, texts, low, high): the texts that hold a word or a sign beyond ASCII, and the least and
+    greatest hash of them."""
+    for b in slices(batches, "text"):
+        found: dict[tuple[str, str], list[int]] = {}
+        for lang, text, h in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), b.column("h").to_pylist()):
+            parts = set(text.split())
+            if not text.isascii():
+                parts.update(_WORD.findall(_beyond(text)))
+                parts.update(c for c in set(text) if c > "\x7f" and not c.isalpha())
+            for p in parts:
+                x = found.setdefault((lang, p), [0, h, h])
+                x[0] += 1
+                if h < x[1]:
+                    x[1] = h
+                elif h > x[2]:
+                    x[2] = h
+        keys, values = list(found), list(found.values())
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.string()), pa.array([p for _, p in keys], pa.string()), *(pa.array([v[i] for v in values], pa.int64()) for i in range(3))], names=["lang", "part", "texts", "low", "high"])
+
+
 def word_candidates(text: str, model: LanguageModel) -> dict[str, str]:
     """Readings one step away in which only suspicious words are read again, all that can be in the same way."""
     spans = [m.span() for m in _CHUNK.finditer(text)]

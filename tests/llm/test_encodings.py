@@ -105,3 +105,14 @@ def test_fit(spark):
     m = LanguageModel.fit(df, sample_docs=3)
     assert set(m.data) == {"de", "ru"} and "über" in m.words | {"über"}
     assert LanguageModel.fit(df.limit(0)).data == {}
+
+
+def test_fit_counts_all_texts(spark):
+    """Long texts, and texts beyond any number a language: a word of two of them is known, one of a repeated text isn't."""
+    long = "Der Prüfbericht liegt vor. " + "Zeile ohne Besonderes. " * 500
+    rows = [(k, f"Eintrag {k}: die Wörter wurden später gelöscht und gezählt.", "de") for k in range(700)]
+    rows += [(1001, long, "de"), (1002, long + "Ende.", "de"), (1003, "Nur einmal: Bögen.", "de"), (1004, "Nur einmal: Bögen.", "de"), (1005, None, "de"), (1006, "", "de")]
+    m = LanguageModel.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert {"prüfbericht", "wörter", "später"} <= m.words and "bögen" not in m.words
+    assert "Prüfbericht" in m.data["de"].decode().split(" ") and set("öäü") <= m.letters
+    assert mend("Der PrÃ¼fbericht fehlt", m)[0] == "Der Prüfbericht fehlt"
