@@ -3,6 +3,7 @@ import unicodedata
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from tesserae.llm.catalog import p3_found
 from tesserae.llm.lookalike import plain_forms, same_look
 
 CASES = {
@@ -52,3 +53,16 @@ def test_column(spark):
     got = {r.rec_id: (r.form, r.changed) for r in plain_forms(df, "id", "name").collect()}
     assert got == {1: ("é", True), 2: (None, False), 3: ("", False), 4: ("x" * 100_000 + " ", True)}
     assert plain_forms(df.limit(0), "id", "name").count() == 0
+
+
+def test_garbled_by_all_documents(spark, tmp_path):
+    """The test of problem 5 knows the words of all documents, also of long ones: a garbled text is no case here."""
+    long = "Der Prüfbericht liegt vor. " + "Zeile ohne Besonderes. " * 500
+    tables = {
+        "documents": spark.createDataFrame([(1, long, "de"), (2, long + "Ende.", "de")], "doc_id long, text string, lang string"),
+        "extract_results": spark.createDataFrame([(1, "Der PrÃ¼fbericht fehlt, er\u00a0fehlt"), (2, "Der Prüfbericht fehlt, er\u00a0fehlt"), (3, "Der Prüfbericht fehlt")], "result_id long, text string"),
+        "files": spark.createDataFrame([(7, "plain.txt"), (8, "ｗide.txt")], "id long, name string"),
+    }
+    for name, df in tables.items():
+        df.write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert sorted(map(tuple, p3_found(spark, str(tmp_path)).collect())) == [("name", 8), ("text", 2)]
